@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomespark.llm import line_dedup
+from tomespark.llm import line_dedup, substring_dedup
 from tomespark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,31 @@ SELECT doc_id, count(*) AS n_lines,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM frequent)), '')) AS kept_sha256
 FROM lines GROUP BY doc_id
 """
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p+49], ' ')) AS k
+  FROM w, unnest(range(1, greatest(len(ws) - 48, 1))) AS u(p)
+), first_doc AS (
+  SELECT k, min(doc_id) AS d0 FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT win.doc_id, q FROM win JOIN first_doc USING (k), unnest(range(p, p + 50)) AS v(q)
+  WHERE d0 < win.doc_id
+), word AS (
+  SELECT doc_id, q, ws[q] AS word FROM w, unnest(range(1, len(ws) + 1)) AS v(q)
+), kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY q) AS text
+  FROM word ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
