@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tomespark.llm import line_dedup, ngram_join, quality_rules, substring_dedup, token_counts, warc
+from tomespark.llm import line_dedup, ngram_join, packing, quality_rules, substring_dedup, token_counts, warc
 from tomespark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN top <> page_id THEN top END AS refers_to
 FROM k
 """
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
