@@ -75,11 +75,34 @@ def _drop_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _marked(docs: DataFrame, min_documents: int, min_key_chars: int) -> DataFrame:
+    """(row_key, marked): the hashes of the frequent lines of each document that has some."""
+    named = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    stated = named.mapInArrow(_state_keys(min_key_chars), "row_key long, hi long, lo long")
+    frequent = stated.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
+    return stated.join(frequent, ["hi", "lo"]).groupBy("row_key").agg(F.collect_set(F.struct("hi", "lo")).alias("marked"))
+
+
 def drop_repeated_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped, kept_sha256, one row per row of ``docs``."""
     # A document is known by doc_id and the hash of its text: equal rows are marked alike.
     named = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stated = named.select("row_key", "text").mapInArrow(_state_keys(min_key_chars), "row_key long, hi long, lo long")
-    frequent = stated.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
-    marked = stated.join(frequent, ["hi", "lo"]).groupBy("row_key").agg(F.collect_set(F.struct("hi", "lo")).alias("marked"))
+    marked = _marked(docs, min_documents, min_key_chars)
     return named.join(marked, "row_key", "left").select("doc_id", "text", "marked").mapInArrow(_drop_marked, "doc_id long, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
+
+
+def with_kept_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
+    """``docs`` with ``text`` replaced by what is kept of it; all other columns as they are."""
+    rest = [c for c in docs.columns if c != "text"]
+    marked = _marked(docs, min_documents, min_key_chars)
+    held = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*rest).alias("rest"), F.col("text").cast("string").alias("text"))
+    joined = held.join(marked, "row_key", "left").select("rest", "text", "marked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column("marked")], ["doc_id", "text", "marked"])
+            for cut in _drop_marked(iter((plain,))):
+                yield pa.RecordBatch.from_arrays([batch.column("rest"), cut.column("kept_text")], ["rest", "text"])
+
+    out = joined.mapInArrow(run, joined.drop("marked").schema)
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns))

@@ -378,6 +378,18 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, n_links (linked documents, copies included) and n_texts (linked different texts), a row per row."""
+    return _linked(docs, threshold, block).drop("row_key", "stays")
+
+
+def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each class, once; texts without words stay."""
+    rest = _linked(docs, threshold, block).where("NOT stays").select(F.col("row_key").alias("_other")).distinct()
+    own = [c for c in docs.columns]
+    once = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(rest, F.col("_key") == F.col("_other"), "left_anti")
+    return once.dropDuplicates(["_key"]).select(*own)
+
+
+def _linked(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
     signed = stash(named.mapInArrow(_signed, "doc_id long, row_key long, one long, two long, n_words long, sig binary"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
@@ -401,13 +413,17 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> D
 
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
     labels = components(found.where("a <> b").select("a", "b"))
-    labelled = texts.select("one", "two", "n_words", "node", "first_id", "copies").join(counts, "node", "left").join(labels, "node", "left")
+    labelled = texts.select("one", "two", "n_words", "node", "first_id", "row_key", "copies").join(counts, "node", "left").join(labels, "node", "left")
     labelled = labelled.withColumn("class", F.coalesce("class", "node"))
-    names = labelled.groupBy("class").agg(F.min("first_id").alias("name"))
-    known = stash(labelled.join(names, "class").select("one", "two", "n_words", F.coalesce("name", "class").alias("class_id"), "copies", "links", "n_texts"), "classes")
+    head = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node", F.col("row_key").alias("key"))).alias("head")
+    names = labelled.groupBy("class").agg(head)
+    named_texts = labelled.join(names, "class").select("one", "two", "n_words", F.coalesce("head.first_id", "class").alias("class_id"), F.col("head.key").alias("head_key"), "copies", "links", "n_texts")
+    known = stash(named_texts, "classes")
     zero = F.lit(0).cast("long")
-    out = signed.select("doc_id", "one", "two", "n_words").join(known, ["one", "two", "n_words"], "left")
+    out = signed.select("doc_id", "row_key", "one", "two", "n_words").join(known, ["one", "two", "n_words"], "left")
     return out.select(
+        "row_key",
+        F.coalesce(F.col("row_key") == F.col("head_key"), F.lit(True)).alias("stays"),
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("links", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),

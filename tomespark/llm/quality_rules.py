@@ -51,14 +51,14 @@ _PAIRS = [(i, j) for i in _P for j in range(i + 1)]
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of the base rule, a row per row of ``docs``."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    """row_key, doc_id, lang, source and the counts of the base rule, a row per row of ``docs``."""
+    held = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    cut_up = held.select("doc_id", "lang", "source", (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("ls"), words_column(F.col("t")).alias("w"))
-    sized = cut_up.select("doc_id", "lang", "source", "n_symbols", (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"), "w", F.size("w").cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"), F.expr("CAST(ceil(log2(size(w) + 2)) AS INT)").alias("bits"))
+    cut_up = held.select("row_key", "doc_id", "lang", "source", (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("ls"), words_column(F.col("t")).alias("w"))
+    sized = cut_up.select("row_key", "doc_id", "lang", "source", "n_symbols", (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"), "w", F.size("w").cast("long").alias("n_words"), F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"), F.expr("CAST(ceil(log2(size(w) + 2)) AS INT)").alias("bits"))
     # Each three-word window as one number: its hash above, its place in the low bits; sorting brings equal windows together.
     windows = F.expr("IF(n_words < 3, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, CAST(n_words AS INT) - 3), i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), bits) | CAST(i AS BIGINT)))")
-    kept = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    kept = ["row_key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     ordered = sized.select(*kept, "bits", F.sort_array(windows).alias("s"))
     places = F.expr(
         "sort_array(transform(filter(s, (x, i) -> (i > 0 AND shiftright(s[i - 1], bits) = shiftright(x, bits))"
@@ -148,7 +148,7 @@ def fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFram
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Counts, base_failed, robust distance and kept, one row per row of ``docs``."""
+    """Counts, base_failed, robust distance and kept, one row per row of ``docs``; ``row_key`` is xxhash64(doc_id, text)."""
     stats = text_counts(docs)
     own, language, everything = _key(F.col("lang"), F.col("source")), _key(F.col("lang"), None), _key(None, None)
     stats = cut(stats.select("*", *_features(), own.alias("own"), language.alias("language"), everything.alias("everything")))
@@ -159,8 +159,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, steps
     order = Window.partitionBy("own").orderBy("rank")
     usable = choices.join(fitted, "g").where((F.col("size") >= min_group) | (F.col("rank") == 2)).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     chosen = cut(usable.select("own", *(f"m{i}" for i in _P), *(f"l{i}{j}" for i, j in _PAIRS)))
-    kept = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = ["row_key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = _with_group(stats.where("NOT base_failed"), chosen, "own").withColumn("distance", F.sqrt(_distance_squared()))
     passed = passed.select(*kept, "distance", (F.col("distance") <= cutoff).alias("kept"))
     failed = stats.where("base_failed").select(*kept, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return passed.unionByName(failed)
+
+
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept. Equal texts of unequal groups are judged by the strictest of them."""
+    rejected = judge(docs).where("NOT kept").select(F.col("row_key").alias("_rejected")).distinct()
+    return docs.join(rejected, F.xxhash64("doc_id", "text") == F.col("_rejected"), "left_anti")
