@@ -1,10 +1,13 @@
-"""Every query of the library, by name, with the SQL that checks it."""
+"""Every query of the library, by name, with the SQL that checks it.
 
-from __future__ import annotations
+The queries read the driver's tables as stand-ins: ``events`` are visits and
+feed items, ``documents`` are indexed texts, ``pages`` are web pages and
+``conversations`` are threads of posts.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tomespark.plans import pages, reading, tables, talks, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**reading.QUERIES, **texts.QUERIES, **talks.QUERIES, **pages.QUERIES, **tables.QUERIES}
+ORACLE_SQL = {**reading.SQL, **texts.SQL, **talks.SQL, **pages.SQL, **tables.SQL}
