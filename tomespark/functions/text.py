@@ -26,8 +26,8 @@ def collapse_space(s: Column) -> Column:
 
 def slug(s: Column, longest: int = 32) -> Column:
     """ASCII letters and digits joined by single hyphens."""
-    joined = F.trim(F.lit("-"), F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"))
-    return F.trim(F.lit("-"), F.substring(joined, 1, longest))
+    joined = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.trim(F.substring(joined, 1, longest), F.lit("-"))
 
 
 def base_subject(s: Column) -> Column:

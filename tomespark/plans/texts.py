@@ -14,7 +14,7 @@ from tomespark.plans.inputs import TEXTS, table, texts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _FOLD = f"translate(lower(translate(coalesce({{0}}, ''), 'İ', 'i')), '{fn.FOLD_FROM}', '{fn.FOLD_TO.replace(chr(39), chr(39) * 2)}')"
-_TOKENS = "list_filter(string_split_regex({0}, '[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')"
+_TOKENS = "list_filter(string_split_regex({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _POSTINGS = f"""{TEXTS}, cols AS (
   SELECT target, 0 AS col, {_TOKENS.format(_FOLD.format('title'))} AS ts FROM texts
   UNION ALL SELECT target, 1, {_TOKENS.format(_FOLD.format('text'))} FROM texts
@@ -134,7 +134,7 @@ SELECT target, words, CASE WHEN words > 0 THEN long_words / words ELSE 0.0 END A
  CASE WHEN words < 300 THEN 'short' END,
  CASE WHEN words >= 50 AND long_words / words < 0.2 THEN 'fragments' END,
  CASE WHEN NOT (starts >= 3 AND lower_starts * 2 > starts) AND o <> '' AND regexp_matches(o, '^[\\p{{Ll}},;.)\\-]') THEN 'starts mid-text' END,
- CASE WHEN words < 3000 AND e <> '' AND NOT regexp_matches(e, '[.!?…:]["''”’)\\]]*$') AND regexp_matches(e, '[\\p{{Ll}},\\-]$') THEN 'ends mid-text' END], x -> x IS NOT NULL), ', ') AS reasons
+ CASE WHEN words < 3000 AND e <> '' AND NOT regexp_matches(e, '[.!?…:]["''”’)\\]]*$') AND regexp_matches(e, '[\\p{{Ll}},\\-]$') THEN 'ends mid-text' END], lambda x: x IS NOT NULL), ', ') AS reasons
 FROM m JOIN texts USING (target) WHERE NOT regexp_matches(title, '(?i)^\\d|review|news|index|contents|home|gallery|books|report')""")
 def judge(spark, sf):
     docs = texts(spark, sf)
@@ -160,8 +160,8 @@ def joined_paragraphs(spark, sf):
     return quality.joined_paragraphs(lines)
 
 
-@query(f"""WITH {TEXTS}, w AS (SELECT target, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), x -> x <> '') AS ws FROM texts)
-SELECT target, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, x -> x IN ({", ".join("'" + w + "'" for w in quality.AD_WORDS)}))) / len(ws) ELSE 0.0 END AS share FROM w""")
+@query(f"""WITH {TEXTS}, w AS (SELECT target, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS ws FROM texts)
+SELECT target, CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: x IN ({", ".join("'" + w + "'" for w in quality.AD_WORDS)}))) / len(ws) ELSE 0.0 END AS share FROM w""")
 def advertising_share(spark, sf):
     return texts(spark, sf).select("target", quality.ad_share(F.col("text")).alias("share"))
 
