@@ -71,9 +71,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def _features() -> list[Column]:
-    """The vector of a document, as fixed-point integers."""
-    share = lambda c: F.log1p(100.0 * F.col(c) / F.col("n_words"))
-    values = [F.log(F.col("word_chars") / F.col("n_words")), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words"), F.log(F.col("n_words").cast("double"))]
+    """The vector of a document, as fixed-point integers; nulls where it has no words."""
+    share = lambda c: F.log1p(F.try_divide(100.0 * F.col(c), F.col("n_words")))
+    values = [F.log(F.try_divide("word_chars", "n_words")), share("n_symbols"), share("n_dup_lines"), share("n_repeat_words"), F.log(F.col("n_words").cast("double"))]
     return [F.round(v * UNIT).cast("long").alias(f"x{i}") for i, v in zip(_P, values)]
 
 
