@@ -88,35 +88,25 @@ def _sums() -> list[Column]:
     return [F.count("*").alias("n"), *first, *second]
 
 
-def _estimate(sums: DataFrame, keep: list[str], diagonal: Column) -> DataFrame:
+def _estimate(sums: DataFrame, keep: list[str], diagonal: str) -> DataFrame:
     """Centres m*, and the Cholesky factor l* of each covariance with the floors added."""
-    n = F.col("n").cast("double")
-    out = sums.select(*keep, "n", *((F.col(f"s{i}").cast("double") / n / UNIT).alias(f"m{i}") for i in _P), *((F.col(f"q{i}{j}").cast("double") / n / UNIT / UNIT).alias(f"e{i}{j}") for i, j in _PAIRS), diagonal.alias("_d"))
+    rules = [f"s{i} / CAST(n AS DOUBLE) / {UNIT} AS m{i}" for i in _P]
     for i, j in _PAIRS:
-        cov = F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-        cov = F.greatest(cov, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else F.when(F.col("_d"), 0.0).otherwise(cov)
-        for k in range(j):
-            cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        # The floors keep the matrix positive definite; the bound only guards against rounding.
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-9))) if i == j else cov / F.col(f"l{j}{j}"))
-    det = F.lit(1.0)
-    for i in _P:
-        det = det * F.col(f"l{i}{i}")
-    return out.select(*keep, "n", *(f"m{i}" for i in _P), *(f"l{i}{j}" for i, j in _PAIRS), det.alias("det"))
-
-
-def _distance_squared() -> Column:
-    """Through the factor: solve L y = x - m, then sum the squares of y."""
-    y: list[Column] = []
-    for i in _P:
-        v = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
-        for k in range(i):
-            v = v - F.col(f"l{i}{k}") * y[k]
-        y.append(v / F.col(f"l{i}{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
+        cov = f"q{i}{j} / CAST(n AS DOUBLE) / {UNIT} / {UNIT} - m{i} * m{j}"
+        less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        if i == j:  # the floors keep the matrix positive definite; the bound only guards against rounding
+            rules.append(f"sqrt(greatest(greatest({cov}, 0D) + {FLOORS[i] ** 2}D{less}, 1e-9D)) AS l{i}{j}")
+        else:
+            rules.append(f"(IF({diagonal}, 0D, {cov}){less}) / l{j}{j} AS l{i}{j}")
+    det = " * ".join(f"l{i}{i}" for i in _P)
+    # Each rule may use the names of those before it.
+    return sums.selectExpr(*keep, "n", *rules, f"{det} AS det").select(*keep, "n", *(f"m{i}" for i in _P), *(f"l{i}{j}" for i, j in _PAIRS), "det")
+
+
+def _with_distance(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and d2, the squared distance, through the factor: solve L y = x - m, then sum the squares of y."""
+    rules = [f"(x{i} / {float(UNIT)}D - m{i}{''.join(f' - l{i}{k} * y{k}' for k in range(i))}) / l{i}{i} AS y{i}" for i in _P]
+    return rows.selectExpr(*keep, *rules, " + ".join(f"y{i} * y{i}" for i in _P) + " AS d2").select(*keep, "d2")
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -131,18 +121,19 @@ def fit(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFram
     """The estimate of each group ``g`` of ``rows`` (g, x0, x1, ...), with its number of rows ``size``."""
     totals = cut(rows.groupBy("g").agg(*_sums()))
     start = totals.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    best = cut(_estimate(start, ["g", "start"], F.col("start") == 1).join(totals.select("g", F.col("n").alias("size")), "g"))
-    moved = F.least(F.floor(16 * F.log2(1 + 16 * _distance_squared())), F.lit(LEVELS - 1)).cast("int")
+    best = cut(_estimate(start, ["g", "start"], "start = 1").join(totals.select("g", F.col("n").alias("size")), "g"))
+    xs = [f"x{i}" for i in _P]
+    level = F.least(F.floor(16 * F.log2(1 + 16 * F.col("d2"))), F.lit(LEVELS - 1)).cast("int")
     for _ in range(steps):
         near = _with_group(rows, best.drop("n", "det"), "g")
-        levels = near.withColumn("level", moved).groupBy("g", "start", "size", "level").agg(*_sums())
+        levels = _with_distance(near, ["g", "start", "size", *xs]).withColumn("level", level).groupBy("g", "start", "size", "level").agg(*_sums())
         so_far = Window.partitionBy("g", "start").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
         names = ["n", *(f"s{i}" for i in _P), *(f"q{i}{j}" for i, j in _PAIRS)]
         running = levels.select("g", "start", "size", "level", *(F.sum(c).over(so_far).alias(c) for c in names))
         reached = running.where(F.col("n") >= F.ceil(F.col("size") * subset))
         whole = Window.partitionBy("g", "start").orderBy("level")
         reached = reached.withColumn("_r", F.row_number().over(whole)).where("_r = 1")
-        best = cut(_estimate(reached, ["g", "start", "size"], F.lit(False)))
+        best = cut(_estimate(reached, ["g", "start", "size"], "false"))
     order = Window.partitionBy("g").orderBy("det", "start")
     return best.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "start", "n", "det")
 
@@ -160,7 +151,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, subset: float = SUBSET, steps
     usable = choices.join(fitted, "g").where((F.col("size") >= min_group) | (F.col("rank") == 2)).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     chosen = cut(usable.select("own", *(f"m{i}" for i in _P), *(f"l{i}{j}" for i, j in _PAIRS)))
     kept = ["row_key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = _with_group(stats.where("NOT base_failed"), chosen, "own").withColumn("distance", F.sqrt(_distance_squared()))
+    passed = _with_distance(_with_group(stats.where("NOT base_failed"), chosen, "own"), kept).withColumn("distance", F.sqrt("d2"))
     passed = passed.select(*kept, "distance", (F.col("distance") <= cutoff).alias("kept"))
     failed = stats.where("base_failed").select(*kept, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return passed.unionByName(failed)
