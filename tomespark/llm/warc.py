@@ -214,7 +214,9 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(folder))
         return [_Archive(x.path) for x in sorted(found, key=lambda x: x.path) if x.base_name.endswith(_SUFFIX) and not x.base_name.startswith((".", "_"))]
 
-    def read(self, partition: _Archive) -> Iterator[tuple]:
+    def read(self, partition: _Archive | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without archives
+            return
         system, _ = _file_system(self.path)
         with system.open_input_stream(partition.path, compression=None, buffer_size=1 << 20) as stream:
             yield from read_archive(stream, partition.path, self.with_payload)
