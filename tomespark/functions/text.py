@@ -97,3 +97,49 @@ def sentence_end(s: Column) -> Column:
 
 def clip(s: Column, longest: int) -> Column:
     return F.when(F.char_length(s) > longest, F.concat(F.rtrim(F.substring(s, 1, longest - 1)), F.lit("…"))).otherwise(s)
+
+
+# Words that stay small inside a title.
+_SMALL = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "the", "to", "with")
+
+
+def title_case(s: Column) -> Column:
+    """Words with a capital, small words aside unless they come first."""
+    words = F.split(F.lower(s), " ")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.char_length(w)))
+    return F.array_join(F.transform(words, lambda w, i: F.when(w.isin(*_SMALL) & (i > 0), w).otherwise(capital(w))), " ")
+
+
+def upper_in(s: Column, lang: Column) -> Column:
+    """Upper case; Turkish and Azerbaijani keep the dot of their i."""
+    return F.when(lang.isin("tr", "az"), F.upper(F.translate(s, "iı", "İI"))).otherwise(F.upper(s))
+
+
+def poster_name(sender: Column) -> Column:
+    """The name in a From header, else the address before its at sign."""
+    quoted = F.regexp_extract(sender, r'^\s*"?([^"<]*?)"?\s*<', 1)
+    comment = F.regexp_extract(sender, r"\(([^)]*)\)\s*$", 1)
+    return F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(comment, F.lit("")), F.regexp_extract(sender, r"^\s*<?([^@<>\s]*)", 1))
+
+
+def series_key(title: Column) -> Column:
+    """A title without its part number and its marks of finality, folded."""
+    bare = F.regexp_replace(fold(title), r"[\[(](?:final|update[ds]?|end)[^\])]*[\])]", "")
+    return F.trim(F.regexp_replace(bare, r"[\s,:;|–—-]*[\[(]?\b(?:part|pt\.?|chapter|ch\.?|#)\s*(?:\d+|[ivxlc]+)\b[\])]?.*$", ""))
+
+
+def part_number(title: Column) -> Column:
+    """The part number of a title, in figures or Roman numerals; 0 without one."""
+    number = F.regexp_extract(F.lower(title), r"\b(?:part|pt\.?|chapter|ch\.?|#)\s*(\d+|[ivxlc]+)\b", 1)
+    return F.coalesce(number.try_cast("int"), roman_value(number), F.lit(0))
+
+
+def file_name(title: Column, longest: int = 80) -> Column:
+    """A title as a safe file name."""
+    safe = collapse_space(F.regexp_replace(title, r'[\\/:*?"<>|\x00-\x1f]', " "))
+    return F.regexp_replace(F.substring(safe, 1, longest), r"[. ]+$", "")
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Whether a scan may have read one word as the other: four letters alike and nearly one length."""
+    return (F.substring(fold(a), 1, 4) == F.substring(fold(b), 1, 4)) & (F.abs(F.char_length(a) - F.char_length(b)) <= 1)

@@ -1,3 +1,113 @@
-"""Placeholder."""
-QUERIES = {}
-SQL = {}
+"""Queries over the small relational tables: orders, lookups, state from events."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomespark.functions import text as fn
+from tomespark.operators import feeds, history, ordering, state
+from tomespark.plans.inputs import ITEMS, VISITS, items, table, visits
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+NOW = datetime(2024, 1, 31)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 5000 ORDER BY o_orderkey DESC LIMIT 300")
+def articles_before(spark, sf):
+    return ordering.keyset_page(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5000, 300)
+
+
+@query("SELECT p_partkey, 'Part ' || p_partkey AS name, 'part ' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS key FROM part")
+def natural_keys(spark, sf):
+    name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", name.alias("name"), fn.natural_key(name).alias("key"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_brand AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)
+SELECT p_partkey, CASE WHEN k = 1 THEN name ELSE name || '-' || k END AS unique_name FROM n""")
+def unique_brands(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("name"))
+    return ordering.unique_names(rows, "name", "p_partkey").select("p_partkey", "unique_name")
+
+
+@query("""SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_custkey) AS r FROM customer) WHERE r = 1""")
+def preferred_customers(spark, sf):
+    rank = ordering.by_preference(["MACHINERY", "BUILDING"], F.col("c_mktsegment"))
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_custkey", (rank * F.lit(1 << 40) + F.col("c_custkey")).alias("at"))
+    return ordering.first_of_each(rows, ["c_nationkey"], "at").select("c_nationkey", "c_custkey")
+
+
+@query("""WITH e AS (SELECT user_id % 500 AS u, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'done' WHEN 'purchase' THEN 'move' WHEN 'error' THEN 'remove' END AS action, props, event_id % 7 AS section, event_id AS pos FROM events WHERE event_type <> 'signup'),
+s AS (SELECT u AS url, arg_max(props, pos) FILTER (WHERE action = 'add') AS title, arg_max(section, pos) FILTER (WHERE action IN ('add', 'move')) AS section,
+ max(pos) FILTER (WHERE action = 'add') AS a, max(pos) FILTER (WHERE action = 'done') AS d, max(pos) FILTER (WHERE action = 'remove') AS g FROM e GROUP BY u)
+SELECT url, title, section, coalesce(d > a, false) AS done FROM s WHERE a IS NOT NULL AND (g IS NULL OR g < a)""")
+def reading_queue(spark, sf):
+    e = table(spark, sf, "events").where("event_type <> 'signup'")
+    action = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "done").when(F.col("event_type") == "purchase", "move").when(F.col("event_type") == "error", "remove")
+    return state.folded_queue(e.select((F.col("user_id") % 500).alias("url"), action.alias("action"), F.col("props").alias("title"), (F.col("event_id") % 7).alias("section"), F.col("event_id").alias("pos")))
+
+
+@query(f"WITH {VISITS} SELECT target, kind, pos FROM visits QUALIFY row_number() OVER (PARTITION BY kind ORDER BY pos DESC) <= 300")
+def last_shown(spark, sf):
+    return state.last_shown(visits(spark, sf), "kind").select("target", "kind", "pos")
+
+
+@query(f"WITH {VISITS} SELECT DISTINCT target FROM visits WHERE target NOT IN (SELECT target FROM visits WHERE seen_at >= TIMESTAMP '2024-01-29 00:00:00')")
+def not_shown_lately(spark, sf):
+    v = visits(spark, sf)
+    return state.not_shown(v.select("target").distinct(), v, datetime(2024, 1, 29))
+
+
+@query("""WITH r AS (SELECT p_partkey AS pos, p_brand || p_size AS key, p_name AS title, p_type AS extra FROM part),
+a AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos) = 1)
+SELECT pos, key FROM a QUALIFY row_number() OVER (PARTITION BY lower(title), lower(extra) ORDER BY pos) = 1""")
+def merged_results(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_brand", "p_size").alias("key"), F.col("p_name").alias("title"), F.col("p_type").alias("extra"))
+    return state.merged_results(rows).select("pos", "key")
+
+
+@query("SELECT DISTINCT p_name AS word FROM part WHERE lower(p_name) LIKE 'b%' ORDER BY lower(p_name), p_name LIMIT 20")
+def suggestions(spark, sf):
+    return state.suggestions(table(spark, sf, "part").select(F.col("p_name").alias("word")).distinct(), "B", 20)
+
+
+@query("""SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND lower(p_brand) LIKE '%1%' AND p_size = 7""")
+def field_search(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("publisher"), F.col("p_size").alias("year"))
+    conditions, _ = state.field_query("title:A publisher:1 year:7 tales")
+    return p.where(state.and_all(conditions)).select("p_partkey")
+
+
+@query(f"""WITH {ITEMS}, {VISITS}, facts AS (
+ SELECT 'absent' AS fact, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(max(seen_at)))) / 86400) AS BIGINT) AS n FROM visits
+ UNION ALL SELECT 'unread', count(*) FILTER (WHERE NOT read) FROM items
+ UNION ALL SELECT 'queue', count(*) FROM customer WHERE c_acctbal > 0
+ UNION ALL SELECT 'habit', count(DISTINCT CAST(seen_at AS DATE)) FROM visits WHERE seen_at >= TIMESTAMP '2024-01-24 00:00:00'),
+f AS (SELECT * FROM facts WHERE n >= CASE fact WHEN 'absent' THEN 3 WHEN 'unread' THEN 15 WHEN 'queue' THEN 3 ELSE 5 END)
+SELECT fact, n FROM f WHERE fact = 'absent' OR NOT EXISTS (SELECT 1 FROM f WHERE fact = 'absent')""")
+def desk_facts(spark, sf):
+    v = visits(spark, sf)
+    queue = table(spark, sf, "customer").select((F.col("c_acctbal") <= 0).alias("done"))
+    return state.desk_facts(history.history(v), feeds.counts(items(spark, sf)), queue, history.reading_days(v, NOW), NOW)
+
+
+@query("""SELECT n_nationkey, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) || ' of the ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS title FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'""")
+def titles_in_case(spark, sf):
+    both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region: a row a continent
+    plain = both.where("n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'")
+    return plain.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))

@@ -1,3 +1,81 @@
-"""Placeholder."""
-QUERIES = {}
-SQL = {}
+"""Queries over conversations: threads, kill files, series."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomespark.functions import text as fn
+from tomespark.operators import threads
+from tomespark.plans.inputs import posts, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Turn n refers to n - 2 and n - 1, and every fifth turn to a lost post only: that one goes to the first turn, which has its subject.
+_PARENTS = """p AS (SELECT conv_id, turn AS num, text, role,
+ CASE WHEN turn = 0 OR turn NOT IN (SELECT turn FROM conversations) THEN NULL
+      WHEN turn % 5 = 4 THEN (SELECT min(r.turn) FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn = 0)
+      ELSE (SELECT max(r.turn) FROM conversations r WHERE r.conv_id = c.conv_id AND r.turn IN (c.turn - 1, c.turn - 2)) END AS parent
+ FROM conversations c)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {_PARENTS} SELECT conv_id, num, parent FROM p")
+def thread_parents(spark, sf):
+    return threads.parents(posts(spark, sf), "conv_id")
+
+
+_WALK = f"""WITH RECURSIVE {_PARENTS}, walk AS (
+  SELECT conv_id, num, num AS root, 0 AS depth, CAST(num AS VARCHAR) AS path FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.num, w.root, w.depth + 1, w.path || '/' || p.num FROM walk w JOIN p ON p.conv_id = w.conv_id AND p.parent = w.num)"""
+
+
+@query(f"{_WALK} SELECT conv_id, num, root, least(depth, 8) AS depth, path FROM walk")
+def thread_walk(spark, sf):
+    return threads.threads(spark, posts(spark, sf), "conv_id").withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
+
+
+@query(f"{_WALK} SELECT conv_id, root, count(*) AS posts, max(num) AS last, max(least(depth, 8)) AS depth FROM walk GROUP BY conv_id, root")
+def thread_activity(spark, sf):
+    p = posts(spark, sf)
+    return threads.activity(threads.threads(spark, p, "conv_id"), p, "conv_id")
+
+
+@query("SELECT conv_id, turn AS num FROM conversations WHERE NOT contains(lower(role), 'system') AND NOT contains(lower(coalesce(text, '')), 'the')")
+def without_killed(spark, sf):
+    return threads.without_killed(posts(spark, sf), ["SYSTEM", " the ", ""], ["sender", "body"]).select("conv_id", "num")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 'A Tale (Final), Part ' || CASE turn % 4 WHEN 0 THEN 'iv' WHEN 1 THEN '1' WHEN 2 THEN 'II' ELSE '3' END || ': more' AS title FROM conversations)
+SELECT conv_id, turn, 'a tale' AS series, CASE turn % 4 WHEN 0 THEN 4 ELSE turn % 4 END AS part FROM t""")
+def series_of_titles(spark, sf):
+    number = F.get(F.array(*map(F.lit, ("iv", "1", "II", "3"))), (F.col("turn") % 4).cast("int"))
+    title = F.concat(F.lit("A Tale (Final), Part "), number, F.lit(": more"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", fn.series_key(title).alias("series"), fn.part_number(title).alias("part"))
+
+
+@query("""WITH parts AS (SELECT conv_id, turn AS id, CASE WHEN conv_id % 2 = 0 THEN 100 - turn ELSE 7 END AS part, turn AS posted FROM conversations),
+s AS (SELECT conv_id, count(DISTINCT part) = count(*) AND min(part) > 0 AS by_number FROM parts GROUP BY conv_id)
+SELECT conv_id, id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN by_number THEN part END, posted, id) AS place FROM parts JOIN s USING (conv_id)""")
+def ordered_parts(spark, sf):
+    part = F.when(F.col("conv_id") % 2 == 0, 100 - F.col("turn")).otherwise(7)
+    parts = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("id"), part.alias("part"), F.col("turn").alias("posted"))
+    return threads.ordered_parts(parts, "conv_id").select("conv_id", "id", "place")
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bo' ELSE 'cy' END AS poster FROM conversations""")
+def poster_names(spark, sf):
+    sender = F.get(F.array(F.lit('"Ann Lee" <ann@a.example>'), F.lit("bo@b.example (Bo)"), F.lit("cy@c.example")), (F.col("turn") % 3).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", fn.poster_name(sender).alias("poster"))
