@@ -29,6 +29,7 @@ def threads(spark, posts: DataFrame, group: str) -> DataFrame:
     A recursive query walks one level of all threads at a time; its rows are the
     posts, and a path is at most as long as a thread is deep.
     """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the walk has a row a post, however many those are
     parents(posts, group).createOrReplaceTempView("_thread_parents")
     return spark.sql(f"""
         WITH RECURSIVE walk(g, num, root, depth, path) MAX RECURSION LEVEL 10000 AS (

@@ -14,11 +14,12 @@ _ATOM = "title string, entry array<struct<title: string, id: string, link: array
 _JSON = "title string, items array<struct<id: string, url: string, title: string, date_published: string, date_modified: string, summary: string, content_html: string, content_text: string>>"
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 #: Date forms of feeds; the first that parses counts.
-_FORMS = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd")
+_FORMS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd")
 
 
 def feed_date(s: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(s, F.lit(form)) for form in _FORMS))
+    bare = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3,9},\s*", "")  # the day of the week says nothing new
+    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(form)) for form in _FORMS))
 
 
 def feed_items(feeds: DataFrame, now: datetime) -> DataFrame:
