@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomespark.llm import tokens
+from tomespark.llm.common import cut
 
 BLOCK = 1024
 
@@ -71,7 +72,8 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def length_table(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, block: int = BLOCK) -> DataFrame:
     """One row per encoded length, with its suffix sums, share of documents up to it and truncated total."""
-    histogram = with_lengths(docs, [], vocabulary).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # Both the blocks' totals and the sums within them read the histogram: kept, so that texts are encoded once.
+    histogram = cut(with_lengths(docs, [], vocabulary).groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
     sums = suffix_sums(histogram, block)
     longer = F.col("docs_from") - F.col("n_docs")
     return sums.withColumns(
