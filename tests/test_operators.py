@@ -131,6 +131,28 @@ def test_judge(spark):
     assert got == {"good": (960, []), "short": (400, ["short"]), "small": (400, []), "list": (960, ["title"])}
 
 
+def test_judge_knows_verse_and_bad_print(spark):
+    poem = "\n\n".join("\n".join(["the sea lies grey,"] * 4) for _ in range(12))
+    scan = "\n".join([" ".join(["Known"] + ["known"] * 29 + ["qzx"] * 20) + "."] * 14)
+    docs = spark.createDataFrame([("poem", "fiction", "News", poem), ("scan", "weird", "A tale", scan), ("web", "smallweb", "A tale", scan), ("few", "weird", "A tale", scan[:900])], "target string, kind string, title string, text string")
+    blocks = quality.plain_blocks(docs)
+    words = spark.createDataFrame([("known",), ("the",), ("sea",), ("lies",), ("grey",)], "word string")
+    measured = quality.with_clean(quality.measures(blocks), blocks, words).join(docs.select("target", "kind", "title"), "target")
+    got = {r["target"]: (r["verse"], r["reasons"]) for r in quality.verdicts(measured, F.col("kind"), F.col("title")).collect()}
+    assert got == {"poem": (True, []), "scan": (False, ["garbled"]), "web": (False, []), "few": (False, ["short"])}
+
+
+def test_judge_of_pages(spark):
+    lines = "<br>".join(["the sea lies grey,"] * 30)
+    para = "<p>and so it " + " ".join(["went"] * 400) + " on,</p>"
+    pages = spark.createDataFrame([("poem", "http://a.org/x", f"<title>Sea</title><p>{lines}"), ("cut", "http://a.org/y", f"<title>News &amp; more</title>{para}"), ("own", "http://a.org/z", f"<title> And so\n</title>{para}"), ("at", "https://poets.org/poem/z", f"<p>{'word ' * 50}"), ("none", None, None)], "target string, url string, html string")
+    titles = files.page_titles(pages)
+    assert {r["target"]: r["title"] for r in titles.collect()} == {"poem": "Sea", "cut": "News & more", "own": "And so", "at": "", "none": ""}
+    rows = titles.join(quality.measures(files.page_blocks(pages)), "target")
+    got = {r["target"]: r["reasons"] for r in quality.verdicts(rows, F.lit("web"), F.col("title"), F.col("url"), F.col("title")).collect()}
+    assert got == {"poem": [], "cut": ["title", "starts mid-text", "ends mid-text"], "own": ["ends mid-text"], "at": []}
+
+
 def test_threads(spark):
     rows = [(1, "Hello", "<1>", []), (2, "Re: Hello", "<2>", ["<1>"]), (3, "Re: Hello", "<3>", ["<0>", "<2>"]), (4, "Re: Hello", "<4>", ["<gone>"]), (5, "Other", "<5>", []), (6, "x", "<6>", ["<6>"])]
     posts = spark.createDataFrame([("g", n, s, m, r, n) for n, s, m, r in rows], "g string, num long, subject string, message_id string, references array<string>, date long")

@@ -1,8 +1,10 @@
 """Judging pages by rule, and mending scanned text.
 
-A page is a set of block rows (target, block_no, kind, in_list, text, link_words)
-with kind one of paragraph, heading, pre, cell. Measures are one aggregation
-over the blocks; verdicts are expressions over the measures.
+A page is a set of block rows (target, block_no, kind, in_list, text, link_words,
+set_lines, set_words) with kind one of paragraph, heading, pre, cell; the last two
+count the lines with words, and their words, of paragraphs set in three lines or
+more. Measures are one aggregation over the blocks; verdicts are expressions over
+the measures.
 """
 
 from __future__ import annotations
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 from tomespark.functions.text import collapse_space, sentence_end
 
 LONG_PARAGRAPH = 30
-VERSE_LINE, VERSE_LINES = 10.0, 4
+VERSE_LINE, VERSE_LINES, STANZA = 10.0, 4, 3
+CLEAN_WORDS = 150
+# Fixed value: where the poetry sites keep their poems.
+POEM_ADDRESS = r"poets\.org/poem/|poetryfoundation\.org/poems/"
 
 # The fewest words of a page of each shelf.
 SHELF_BARS = {"literature": 600, "fiction": 600, "weird": 600, "knowledge": 600, "print": 600, "esoteric": 400, "nature": 400, "sufism": 300, "folklore": 300, "encyclopedic": 300, "textfiles": 200, "smallweb": 200, "underground": 200}
@@ -39,9 +44,17 @@ def n_words(text: Column) -> Column:
 
 
 def plain_blocks(docs: DataFrame) -> DataFrame:
-    """Block rows of plain text documents (target, title, text): a paragraph for every line with a word."""
-    lines = docs.select("target", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_no", "text"))
-    return lines.select("target", "block_no", F.lit("paragraph").alias("kind"), F.lit(False).alias("in_list"), collapse_space(F.col("text")).alias("text"), F.lit(0).alias("link_words")).where("text <> ''")
+    """Block rows of plain text documents (target, title, text): a paragraph for every line with a word.
+
+    A line is set when it lies in a run of STANZA lines or more without a blank one.
+    """
+    split = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), collapse_space)
+    held = docs.select("target", split.alias("l"))
+    filled = lambda at: F.when(at >= 0, F.coalesce(F.get("l", at) != "", F.lit(False))).otherwise(False)
+    run = lambda i: (filled(i - 2) & filled(i - 1)) | (filled(i - 1) & filled(i + 1)) | (filled(i + 1) & filled(i + 2))
+    lines = held.select("target", F.posexplode(F.transform("l", lambda x, i: F.struct(x.alias("text"), run(i).alias("set")))).alias("block_no", "x")).where("x.text <> ''")
+    text = F.col("x.text")
+    return lines.select("target", "block_no", F.lit("paragraph").alias("kind"), F.lit(False).alias("in_list"), text.alias("text"), F.lit(0).alias("link_words"), F.when(F.col("x.set"), 1).otherwise(0).alias("set_lines"), F.when(F.col("x.set"), n_words(text)).otherwise(0).alias("set_words"))
 
 
 def measures(blocks: DataFrame) -> DataFrame:
@@ -58,6 +71,8 @@ def measures(blocks: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "heading", F.col("w")).otherwise(0)).alias("head_words"),
         F.sum("link_words").alias("link_words"),
         F.count_if(F.col("prose")).alias("paras"),
+        F.sum("set_lines").alias("set_lines"),
+        F.sum("set_words").alias("set_words"),
         F.sum(F.when(F.col("prose") & (F.col("w") >= LONG_PARAGRAPH), F.col("w")).otherwise(0)).alias("long_words"),
         F.count_if(counted).alias("starts"),
         F.count_if(counted & lower).alias("lower_starts"),
@@ -81,8 +96,32 @@ def cut_off(last: Column) -> Column:
     return (trimmed != "") & ~sentence_end(trimmed) & trimmed.rlike(r"[\p{Ll},\-]$")
 
 
-def verdicts(measured: DataFrame, family: Column, title: Column) -> DataFrame:
-    """words, shares and the reasons against a page, in a fixed order; no reason means that it passes."""
+def opens_on(first: Column, title: Column) -> Column:
+    """The text opens on the first word of its title, as an entry does on its headword."""
+    head = F.split(F.lower(F.trim(title)), " ")[0]
+    return (head != "") & F.startswith(F.lower(F.regexp_replace(first, _OPEN_MARKS, "")), head)
+
+
+def with_clean(measured: DataFrame, blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The measures with ``clean``, the share of a page's prose that the vocabulary has; null for fewer than CLEAN_WORDS words."""
+    prose = blocks.where(F.col("kind").isin("paragraph", "pre") & ~F.col("in_list")).select("target", "text")
+    enough = F.when(F.col("known") + F.col("unknown") >= CLEAN_WORDS, F.col("clean"))
+    return measured.join(cleanliness(prose, vocabulary).select("target", enough.alias("clean")), "target", "left")
+
+
+def verdicts(measured: DataFrame, family: Column, title: Column, address: Column | None = None, headword: Column | None = None) -> DataFrame:
+    """words, shares and the reasons against a page, in a fixed order; no reason means that it passes.
+
+    ``clean`` comes from with_clean(); measures without it, or with null, are never garbled.
+    ``headword`` is the title that an entry may open on in small letters.
+    """
+    clean = F.col("clean") if "clean" in measured.columns else F.lit(None).cast("double")
+    poem = F.lit(False) if address is None else F.coalesce(address.rlike(POEM_ADDRESS), F.lit(False))
+    set_short = (F.col("set_lines") >= VERSE_LINES) & (F.col("set_words") * 2 >= F.col("prose")) & (F.col("set_words") <= VERSE_LINE * F.col("set_lines"))
+    verse = set_short | poem
+    starts_badly = opens_badly(F.col("first"))
+    if headword is not None:
+        starts_badly = starts_badly & ~F.coalesce(opens_on(F.col("first"), headword), F.lit(False))
     words = F.col("prose") + F.col("list_words")
     everything = words + F.col("head_words") + F.col("link_words")
     share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
@@ -94,15 +133,16 @@ def verdicts(measured: DataFrame, family: Column, title: Column) -> DataFrame:
     small_hand = (F.col("starts") >= 3) & (F.col("lower_starts") * 2 > F.col("starts"))
     reasons = [
         F.when(error, "error page"),
-        F.when(F.col("words") < F.col("bar"), "short"),
+        F.when(F.when(verse, (F.col("set_lines") < VERSE_LINES) & (F.col("words") < 40)).otherwise(F.col("words") < F.col("bar")), "short"),
         F.when(F.col("link_share") > 0.5, "links"),
         F.when(F.col("list_share") > 0.6, "lists"),
-        F.when((F.col("words") >= 50) & (F.col("long_share") < 0.2), "fragments"),
-        F.when(not_whole_title(title), "title"),
-        F.when(formal & ~small_hand & F.coalesce(opens_badly(F.col("first")), F.lit(False)), "starts mid-text"),
-        F.when(formal & (F.col("words") < 3000) & F.coalesce(cut_off(F.col("last")), F.lit(False)), "ends mid-text"),
+        F.when(~verse & (F.col("words") >= 50) & (F.col("long_share") < 0.2), "fragments"),
+        F.when(~verse & not_whole_title(title), "title"),
+        F.when(formal & ~verse & ~small_hand & F.coalesce(starts_badly, F.lit(False)), "starts mid-text"),
+        F.when(formal & ~verse & (F.col("words") < 3000) & F.coalesce(cut_off(F.col("last")), F.lit(False)), "ends mid-text"),
+        F.when(formal & (F.col("words") >= 400) & (clean >= 0.5) & (clean < 0.7), "garbled"),
     ]
-    return out.withColumn("reasons", F.array_compact(F.array(*reasons)))
+    return out.withColumn("verse", verse).withColumn("reasons", F.array_compact(F.array(*reasons)))
 
 
 def cleanliness(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:

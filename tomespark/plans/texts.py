@@ -138,11 +138,23 @@ SELECT target, words, CASE WHEN words > 0 THEN long_words / words ELSE 0.0 END A
 FROM m JOIN texts USING (target) WHERE NOT regexp_matches(title, '(?i)^\\d|review|news|index|contents|home|gallery|books|report')""")
 def judge(spark, sf):
     docs = texts(spark, sf)
-    measured = quality.measures(quality.plain_blocks(docs)).join(docs.select("target", "title", "kind"), "target")
+    # The SQL knows no verse and no vocabulary; text_verdicts has the whole rule.
+    measured = quality.measures(quality.plain_blocks(docs)).withColumns({"set_lines": F.lit(0), "set_words": F.lit(0)}).join(docs.select("target", "title", "kind"), "target")
     found = quality.verdicts(measured, F.col("kind"), F.col("title")).where(~F.col("title").rlike("(?i)^\\d|review|news|index|contents|home|gallery|books|report"))
     return found.select("target", "words", "long_share", F.array_join("reasons", ", ").alias("reasons"))
 
 
+@query()
+def text_verdicts(spark, sf):
+    """The whole rule over every document, one without words included."""
+    docs = texts(spark, sf)
+    blocks = quality.plain_blocks(docs)
+    measured = quality.with_clean(quality.measures(blocks), blocks, search.vocabulary(docs))
+    rows = docs.select("target", "kind", F.coalesce("title", F.lit("")).alias("title")).join(measured, "target", "left").fillna(0, [c for c in measured.columns if c not in ("target", "first", "last", "clean")])
+    found = quality.verdicts(rows, F.col("kind"), F.col("title"))
+    return found.select("target", "words", "long_share", "verse", F.array_join("reasons", ", ").alias("reasons"))
+
+
 @query(f"""WITH {TEXTS}, w AS (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS word FROM texts),
 v AS (SELECT word FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM texts) WHERE length(word) >= 3 GROUP BY word HAVING count(DISTINCT target) >= 6 AND count(*) >= 10)
 SELECT target, count(v.word) AS known, count(*) - count(v.word) AS unknown, round(count(v.word) / count(*), 9) AS clean FROM w LEFT JOIN v USING (word) GROUP BY target""")

@@ -9,6 +9,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -114,6 +115,7 @@ def overviews(lines: DataFrame) -> DataFrame:
 _BLOCKS = {"p": "paragraph", "li": "paragraph", "blockquote": "paragraph", "pre": "pre", "td": "cell", "th": "cell", **{f"h{k}": "heading" for k in range(1, 7)}}
 _SKIPPED = ("script", "style", "noscript", "template", "head", "nav", "footer", "form", "button")
 _INLINE = ("a", "b", "i", "em", "strong", "span", "code", "small", "sup", "sub", "u", "s", "br", "img", "font", "abbr", "cite", "q", "mark")
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _EMPTY = ("br", "img", "hr", "input", "meta", "link", "wbr")
 
 
@@ -126,18 +128,24 @@ class _Blocks(HTMLParser):
         self.rows: list[tuple] = []
         self.links: list[tuple[str, str]] = []
         self.kind, self.text, self.linked, self.href, self.label = "paragraph", [], 0, None, []
+        self.breaks: list[int] = []
 
     def close_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.rows.append((len(self.rows), self.kind, any(x in ("ul", "ol", "dl") for x in self.stack), text, self.linked))
-        self.text, self.linked = [], 0
+            in_list = any(x in ("ul", "ol", "dl") for x in self.stack)
+            cuts = [0, *self.breaks, len(self.text)]
+            lines = [len("".join(self.text[a:b]).split()) for a, b in zip(cuts, cuts[1:])]
+            held = [n for n in lines if n] if len(lines) >= 3 and self.kind == "paragraph" and not in_list else []
+            self.rows.append((len(self.rows), self.kind, in_list, text, self.linked, len(held), sum(held)))
+        self.text, self.linked, self.breaks = [], 0, []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "a":
             self.href, self.label = dict(attrs).get("href"), []
         if tag == "br":
             self.text.append(" ")
+            self.breaks.append(len(self.text))
         if tag not in _INLINE:
             self.close_block()
             if tag in ("p", "li", "td", "th", "tr") and self.stack and self.stack[-1] == tag:
@@ -166,7 +174,7 @@ class _Blocks(HTMLParser):
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """(target, block_no, kind, in_list, text, link_words): block rows of pages (target, html), as the judge takes them."""
+    """(target, block_no, kind, in_list, text, link_words, set_lines, set_words): block rows of pages (target, html), as the judge takes them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,9 +185,20 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                 p.close()
                 p.close_block()
                 rows += [(target, *r) for r in p.rows]
-            yield pd.DataFrame(rows, columns=["target", "block_no", "kind", "in_list", "text", "link_words"])
+            yield pd.DataFrame(rows, columns=["target", "block_no", "kind", "in_list", "text", "link_words", "set_lines", "set_words"])
 
-    return pages.select("target", "html").mapInPandas(run, "target string, block_no int, kind string, in_list boolean, text string, link_words int")
+    return pages.select("target", "html").mapInPandas(run, "target string, block_no int, kind string, in_list boolean, text string, link_words int, set_lines int, set_words int")
+
+
+def page_titles(pages: DataFrame) -> DataFrame:
+    """(target, url, title) of pages (target, url, html); a page without a title has an empty one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_TITLE.search(page or "") for page in batch["html"]]
+            yield pd.DataFrame({"target": batch["target"], "url": batch["url"], "title": [" ".join(unescape(m[1]).split()) if m else "" for m in found]})
+
+    return pages.select("target", "url", "html").mapInPandas(run, "target string, url string, title string")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
