@@ -123,6 +123,18 @@ def test_search_by_kind_and_replacement(indexed, spark):
     assert [r["target"] for r in search.search(changed.unionByName(docs.where("target <> '1'")), search.reindexed(index, changed), "statue").collect()] == ["2"]
 
 
+def test_kin_of_pages_read_before(spark):
+    letters = lambda n: "".join(chr(97 + int(d)) for d in f"{n:05d}")
+    rare = "quasar nebula"
+    rows = [(f"f{n}", f"T{letters(n)}", letters(n), n) for n in range(400)]
+    rows += [("w5f:s/ch/2", "Story Two", rare, 1010), ("w5f:s/ch/1", "Story One", rare, 1001), ("copy", "STORY TWO", rare, 1002), ("later", "Later", rare, 1011), ("unread", "Unread", rare, None), ("long", "Long", rare + " and so on" * 20, 1003), ("short", "Short", rare, 1004)]
+    docs = spark.createDataFrame(rows, "target string, title string, text string, last long")
+    asked = docs.where("target = 'w5f:s/ch/2'").select("target", F.col("last").alias("before"))
+    got = search.read_kin(docs.select("target", "title", "text"), docs.select("target", "last"), asked).collect()
+    assert [tuple(r) for r in got] == [("w5f:s/ch/2", "short", 2)]
+    assert search.read_kin(docs.select("target", "title", "text"), docs.select("target", "last"), asked.withColumn("before", F.lit(1003).cast("long"))).count() == 0
+
+
 def test_judge(spark):
     para = " ".join(["Words"] + ["words"] * 79) + "."
     docs = spark.createDataFrame([("good", "fiction", "A tale", "\n".join([para] * 12)), ("short", "fiction", "A tale", "\n".join([para] * 5)), ("small", "smallweb", "A tale", "\n".join([para] * 5)), ("list", "fiction", "10 best books of the year", "\n".join([para] * 12))], "target string, kind string, title string, text string")

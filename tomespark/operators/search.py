@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions.text import FOLD_FROM, FOLD_TO, collapse_space, fold
+from tomespark.functions.urls import work_of
 
 TITLE_WEIGHT, BODY_WEIGHT = 5.0, 1.0
 K1, B = 1.2, 0.75
@@ -129,10 +130,13 @@ RARE_TERMS, USED_TERMS, LEAST_CORPUS = 10, 400, 20
 def rare_words(docs: DataFrame) -> DataFrame:
     """(target, word, score): of each document's most used words of 5 to 24 letters, those that few other documents have."""
     runs = docs.select("target", F.explode(F.regexp_extract_all(fold(F.col("text")), F.lit(r"\p{L}+"), 0)).alias("word")).where(F.char_length("word").between(5, 24))
-    tf = runs.groupBy("target", "word").agg(F.count("*").alias("tf"))
+    return _rarest(runs.groupBy("target", "word").agg(F.count("*").alias("tf")), docs.agg(F.count("*").alias("total")))
+
+
+def _rarest(tf: DataFrame, total: DataFrame) -> DataFrame:
+    """The rare words among the counts (target, word, tf) of a number of documents."""
     used = Window.partitionBy("target").orderBy(F.desc("tf"), "word")
     tf_used = tf.withColumn("_r", F.row_number().over(used)).where(F.col("_r") <= USED_TERMS).drop("_r")
-    total = docs.agg(F.count("*").alias("total"))
     most = F.greatest(F.lit(3), F.floor(F.col("total") / 50))
     df = tf.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where((F.col("df") >= 2) & (F.col("df") <= most) & (F.col("total") >= LEAST_CORPUS))
     score = (1 + F.log(F.col("tf").cast("double"))) * F.log((F.col("total") + 1) / F.col("df"))
@@ -153,6 +157,36 @@ def kin(docs: DataFrame, least_shared: int = 2) -> DataFrame:
     return shared.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+def read_kin(docs: DataFrame, reads: DataFrame, asked: DataFrame, least_shared: int = 2) -> DataFrame:
+    """(target, kin, shared): among the pages read before a time, the one that shares most of a page's rare words.
+
+    ``docs`` are (target, title, text), ``reads`` (target, last) and ``asked``
+    (target, before). A page of the same work or with an equal title is no kin,
+    and is left out before the best is chosen; ties go to the better BM25 of the
+    rare words, over runs of letters.
+    """
+    runs = lambda c: F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit(r"\p{L}+"), 0)
+    weighted = lambda c, w: F.transform(F.filter(c, lambda x: F.char_length(x).between(5, 24)), lambda x: F.struct(x.alias("word"), F.lit(w).alias("weight")))
+    about = docs.select("target", F.lower(F.coalesce("title", F.lit(""))).alias("title"), work_of(F.col("target")).alias("work"))
+    # Dealt by target once: the counts of a document then need no further shuffle.
+    dealt = docs.select("target", "title", "text").repartition("target").select("target", runs(F.col("title")).alias("t"), runs(F.col("text")).alias("b"))
+    each = dealt.select("target", (F.size("t") + F.size("b")).alias("len"), F.explode(F.concat(weighted(F.col("t"), TITLE_WEIGHT), weighted(F.col("b"), BODY_WEIGHT))).alias("x"))
+    counted = each.groupBy("target", "len", F.col("x.word").alias("word")).agg(F.count("*").alias("n"), F.sum("x.weight").alias("tf"))
+    rare = _rarest(counted.select("target", "word", F.col("n").alias("tf")), docs.agg(F.count("*").alias("total"))).select("target", "word")
+    corpus = docs.agg(F.count("*").alias("total"), F.avg(F.size(runs(F.col("title"))) + F.size(runs(F.col("text")))).alias("avg"))
+    held = counted.select("target", "len", "word", "tf").join(rare.select("word").distinct(), "word", "left_semi")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    asks = rare.join(asked, "target").join(about, "target")
+    scored = held.join(df, "word").crossJoin(F.broadcast(corpus)).join(reads.where("last IS NOT NULL"), "target").join(about, "target")  # corpus: one row
+    found = scored.select("word", F.col("target").alias("kin"), "last", F.col("title").alias("_title"), F.col("work").alias("_work"), part.alias("part"))
+    pairs = asks.join(found, "word").where((F.col("target") != F.col("kin")) & (F.col("last") < F.col("before")) & (F.col("title") != F.col("_title")) & (F.col("work") != F.col("_work")))
+    shared = pairs.groupBy("target", "kin").agg(F.count("*").alias("shared"), F.round(F.sum("part"), 9).alias("score")).where(F.col("shared") >= least_shared)
+    best = Window.partitionBy("target").orderBy(F.desc("shared"), F.desc("score"), "kin")
+    return shared.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("target", "kin", "shared")
+
+
 def bm25(tf: float, df: int, n: int, length: int, average: float) -> float:
     """The score of one term, for checks by hand."""
     idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)

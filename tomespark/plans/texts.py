@@ -98,6 +98,13 @@ def kin(spark, sf):
     return search.kin(texts(spark, sf))
 
 
+@query()
+def read_kin(spark, sf):
+    """Documents are read in the order of their numbers, and each is asked for when it is read."""
+    docs = texts(spark, sf).select("target", "title", F.regexp_replace("text", r"^[^\n]*\n?", "").alias("text"), "updated")
+    return search.read_kin(docs.select("target", "title", "text"), docs.select("target", F.col("updated").alias("last")), docs.select("target", F.col("updated").alias("before")))
+
+
 @query(f"""WITH {TEXTS} SELECT target, {_FOLD.format("title")} AS folded, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS spaced,
  trim(substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 32), '-') AS slug,
  regexp_replace(title, '([\\\\`*_\\[\\]<>])', '\\\\\\1', 'g') AS escaped,
