@@ -37,5 +37,40 @@ def test_query(spark, duck, name):
         assert sorted(str([plain(r[c]) for c in names]) for r in rows) == want
 
 
+def test_judge_keeps_titles_of_lists(spark, tmp_path):
+    para = " ".join(["Words"] + ["words"] * 79) + "."
+    rows = [(n, f"{title}\n" + "\n".join([para] * 12), "fiction", "en") for n, title in enumerate(["10 best books of the year", "My home town", "2023 survey", "A tale"])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["target"]: r["reasons"] for r in registry.QUERIES["judge"](spark, str(tmp_path)).collect()}
+    assert got == {"0": "title", "1": "", "2": "", "3": ""}
+
+
+def test_no_row_is_left_out(spark, duck):
+    nations = duck.execute("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey").fetchall()
+    titles = {k: f"{n.capitalize()} of the {' '.join(w.capitalize() for w in r.split())}" for k, n, r in nations}
+    assert {r["n_nationkey"]: r["title"] for r in registry.QUERIES["every_title_in_case"](spark, DATA).collect()} == titles
+
+    want = set()
+    for n, props in duck.execute("SELECT event_id, props FROM events").fetchall():
+        old, new = n % 2 == 0, n % 3 == 0 or n % 2 != 0
+        sent = None if not new else f"{props} and more" if n % 4 == 0 and props is not None else None if n % 4 == 0 else "x"
+        content = sent if not old or (sent is not None and props is not None and len(sent) > len(props)) else props
+        title = f"new {props}" if new and props is not None else props
+        want.add((str(n), title, content, old and n % 3 == 0, old and n % 17 == 0, not old))
+    rows = registry.QUERIES["every_item_upsert"](spark, DATA).collect()
+    assert len(rows) == len(want) and {tuple(r[c] for c in ("guid", "title", "content", "read", "starred", "new")) for r in rows} == want
+
+    serials, want = {}, set()
+    for place, serial, title in duck.execute("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY 1").fetchall():
+        serials.setdefault(serial, []).append((place, title))
+    for serial, chapters in serials.items():
+        numbers = {p: n for n, p in enumerate([p for p, _ in chapters if p % 3 != 0] + [p for p, _ in chapters if p % 3 == 0], 1)}
+        for place, title in chapters:
+            listed = place % 4 != 1 or place % 3 == 0
+            shown = f"new {title}" if listed and place % 2 else title if place % 3 != 0 else ""
+            want.add((serial, str(place), numbers[place], shown))
+    assert {tuple(r[c] for c in ("serial_id", "url", "n", "title")) for r in registry.QUERIES["every_chapter_merge"](spark, DATA).collect()} == want
+
+
 def test_sql_is_for_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)

@@ -87,6 +87,15 @@ def item_upsert(spark, sf):
     return feeds.upsert(every.where("item_id % 2 = 0"), batch).drop("item_id", "published")
 
 
+@query()
+def every_item_upsert(spark, sf):
+    """As item_upsert, with every item in one side at least: odd ones are in the batch too."""
+    every = items(spark, sf)
+    content = F.when(F.col("item_id") % 4 == 0, F.concat("content", F.lit(" and more"))).otherwise("x")
+    batch = every.where("item_id % 3 = 0 OR item_id % 2 <> 0").select("item_id", "feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published", content.alias("content"), F.col("item_id").alias("seq"))
+    return feeds.upsert(every.where("item_id % 2 = 0"), batch).drop("item_id", "published")
+
+
 @query(f"WITH {ITEMS} SELECT item_id, feed_id FROM items WHERE NOT (item_id % 2 = 0)")
 def items_to_index(spark, sf):
     every = items(spark, sf)
@@ -136,6 +145,17 @@ def chapter_merge(spark, sf):
     return feeds.merge_chapters(known, listed)
 
 
+@query()
+def every_chapter_merge(spark, sf):
+    """As chapter_merge, with every chapter in one side at least: the unknown ones are all listed."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("serial_id"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("place"))
+    known = o.where("place % 3 <> 0").withColumn("n", F.row_number().over(Window.partitionBy("serial_id").orderBy("place"))).drop("place")
+    listed = o.where("place % 4 <> 1 OR place % 3 = 0").withColumn("title", F.when(F.col("place") % 2 == 0, "").otherwise(F.concat(F.lit("new "), "title")))
+    return feeds.merge_chapters(known, listed)
+
+
 @query(f"WITH {VISITS} SELECT target, kind, title, seen_at, pos FROM visits WHERE seen_at >= {_NOW} - INTERVAL 3 DAY")
 def visits_since(spark, sf):
     return history.visits_since(visits(spark, sf), datetime(2024, 1, 28))

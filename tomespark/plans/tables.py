@@ -111,3 +111,9 @@ def titles_in_case(spark, sf):
     both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region: a row a continent
     plain = both.where("n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'")
     return plain.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
+
+
+@query()
+def every_title_in_case(spark, sf):
+    both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region: a row a continent
+    return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
