@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the lines that many documents share; ``n_chars`` follows the text."""
-    return line_dedup.with_kept_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return line_dedup.with_kept_lines(docs, by_id=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,6 +115,13 @@ def test_lines(make_docs):
         assert sorted(map(tuple, got), key=str) == brute_lines(rows, least)
 
 
+def test_lines_count_documents_by_id(make_docs):
+    docs = make_docs([(1, "one\nboth")] * 10 + [(k, "both\nfew") for k in (2, 2, 3)] + [(None, "both\nnone")] * 5)
+    got = line_dedup.drop_repeated_lines(docs, 3, by_id=True).select("doc_id", "kept_text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "one")] * 10 + [(2, "few")] * 2 + [(3, "few")] + [(None, "none")] * 5, key=str)
+    assert sorted(r["text"] for r in line_dedup.with_kept_lines(docs, 3, by_id=True).collect()) == sorted(["one"] * 10 + ["few"] * 3 + ["none"] * 5)
+
+
 def test_kept_lines_keep_the_columns(make_docs):
     docs = make_docs(line_rows())
     got = line_dedup.with_kept_lines(docs)

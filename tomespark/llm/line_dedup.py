@@ -8,8 +8,9 @@ holds. The texts are shuffled once, by document, and lose their marked lines in
 place, so positions need no sort.
 
 Defined cases: a null or empty text is one empty line, which has an empty key
-and stays. Each row counts as one document, so repeated rows count repeatedly.
-A null ``doc_id`` is a document like any other. Other columns are not read.
+and stays. With ``by_id``, as the queries call it, rows of one ``doc_id`` are one
+document, and rows with a null one are not counted but lose frequent lines too.
+Without it each row counts as one document. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,16 +41,16 @@ def hashed(key: bytes) -> tuple[int, int]:
 
 
 def _state_keys(least: int):
-    """For every document its row key and the hash of each of its distinct line keys."""
+    """For every document its row key, its id and the hash of each of its distinct line keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, his, los = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, ids, his, los = [], [], [], []
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 keys = {line_key(x) for x in (text.as_py() or "").split("\n")}
                 for hi, lo in {hashed(k) for k in keys if k and (len(k) >= 4 * least or len(k.decode("utf-8", "surrogatepass")) >= least)}:
-                    rows.append(row), his.append(hi), los.append(lo)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())], ["row_key", "hi", "lo"])
+                    rows.append(row), ids.append(doc), his.append(hi), los.append(lo)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, ids, his, los)], ["row_key", "doc_id", "hi", "lo"])
 
     return run
 
@@ -75,26 +76,27 @@ def _drop_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _marked(docs: DataFrame, min_documents: int, min_key_chars: int) -> DataFrame:
+def _marked(docs: DataFrame, min_documents: int, min_key_chars: int, by_id: bool) -> DataFrame:
     """(row_key, marked): the hashes of the frequent lines of each document that has some."""
-    named = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    stated = named.mapInArrow(_state_keys(min_key_chars), "row_key long, hi long, lo long")
-    frequent = stated.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
+    named = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    stated = named.mapInArrow(_state_keys(min_key_chars), "row_key long, doc_id long, hi long, lo long")
+    counted = stated.where("doc_id IS NOT NULL").select("hi", "lo", "doc_id").distinct() if by_id else stated
+    frequent = counted.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).drop("n")
     return stated.join(frequent, ["hi", "lo"]).groupBy("row_key").agg(F.collect_set(F.struct("hi", "lo")).alias("marked"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS, by_id: bool = False) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped, kept_sha256, one row per row of ``docs``."""
     # A document is known by doc_id and the hash of its text: equal rows are marked alike.
     named = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = _marked(docs, min_documents, min_key_chars)
+    marked = _marked(docs, min_documents, min_key_chars, by_id)
     return named.join(marked, "row_key", "left").select("doc_id", "text", "marked").mapInArrow(_drop_marked, "doc_id long, kept_text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def with_kept_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def with_kept_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_key_chars: int = MIN_KEY_CHARS, by_id: bool = False) -> DataFrame:
     """``docs`` with ``text`` replaced by what is kept of it; all other columns as they are."""
     rest = [c for c in docs.columns if c != "text"]
-    marked = _marked(docs, min_documents, min_key_chars)
+    marked = _marked(docs, min_documents, min_key_chars, by_id)
     held = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*rest).alias("rest"), F.col("text").cast("string").alias("text"))
     joined = held.join(marked, "row_key", "left").select("rest", "text", "marked")
 

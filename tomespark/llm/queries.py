@@ -20,7 +20,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), by_id=True)
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
