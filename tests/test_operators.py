@@ -179,6 +179,21 @@ def test_eviction_drops_what_was_read_longest_ago(spark):
     assert kept == set(range(45))
 
 
+def test_unique_names_split_one_name(spark):
+    order = list(range(3000))
+    random.Random(5).shuffle(order)
+    rows = [(n, "hot" if n % 3 else None if n % 2 else f"n{n % 7}") for n in order] + [(None, "hot")]
+    df = ordering.unique_names(spark.createDataFrame(rows, "k long, name string"), "name", "k")
+    seen, want = {}, set()
+    for k, name in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        seen[name] = n = seen.get(name, 0) + 1
+        want.add((k, name, name if n == 1 else "-".join(x for x in (name, str(n)) if x)))
+    got = df.collect()
+    assert df.columns == ["k", "name", "unique_name"] and len(got) == len(rows) and set(map(tuple, got)) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(name#" in plan and all(", _b#" in part.split("windowspecdefinition(name#")[1][:60] for part in plan.splitlines() if "windowspecdefinition(name#" in part)
+
+
 def test_dice(spark):
     with pytest.raises(ValueError):
         sampling.parse_dice("101d6")

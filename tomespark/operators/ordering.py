@@ -34,10 +34,23 @@ def by_preference(formats: list[str], column: Column) -> Column:
     return F.when(at == 0, len(formats) + 1).otherwise(at)
 
 
-def unique_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names made unique by -2, -3 and so on in order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", name, n)))
+def unique_names(rows: DataFrame, name: str, order: str, buckets: int = 256) -> DataFrame:
+    """Names made unique by -2, -3 and so on in order, which is a number or a time.
+
+    Rows are dealt by name and range of ``order``, so no task sorts all of one
+    name. Ranges follow from quantiles of the whole column; a name's numbers go
+    on from the counts of its earlier ranges.
+    """
+    ends = rows.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_ends"))  # one row
+    range_of = F.coalesce(F.size(F.filter("_ends", lambda e: e < F.col(order))), F.lit(0))
+    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_b", range_of).drop("_ends")
+    counts = placed.groupBy(F.col(name).alias("_name"), F.col("_b").alias("_range")).agg(F.count("*").alias("_n"))  # at most ``buckets`` rows a name
+    earlier = Window.partitionBy("_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_name", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = placed.withColumn("_at", F.row_number().over(Window.partitionBy(name, "_b").orderBy(order)))
+    numbered = inside.join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_b") == F.col("_range")))
+    n = F.col("_before") + F.col("_at")
+    return numbered.select(*rows.columns, n.alias("_n")).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat_ws("-", name, "_n"))).drop("_n")
 
 
 def keyset_page(rows: DataFrame, column: str, before: int | None, size: int) -> DataFrame:
