@@ -244,6 +244,14 @@ def test_masks_hit_every_stretch_with_four_substitutions():
         assert any(all(p + o not in bad for o in m) for m in decontaminate.MASKS for p in range(20 - m[-1]))
 
 
+def test_masks_hit_every_short_item():
+    from itertools import combinations
+
+    for size in range(decontaminate.SHORTEST, 20):
+        for gone in combinations(range(size), size // 5):
+            assert any(all(p + o not in gone for o in m) for m in decontaminate.MASKS for p in range(size - m[-1])), (size, gone)
+
+
 def test_leaks_of_nothing(make_docs, spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(make_docs([(1, "a b c d e f g h i j k l")]), empty).count() == 0

@@ -8,8 +8,9 @@ document at one offset. At every proposed offset words are compared one by one,
 and the pair counts when some stretch of OVERLAP words of the item (all of a
 shorter one) has at least IDENTITY of its words in place.
 
-The two masks together hit every stretch of 20 words with up to four
-substitutions, wherever those are.
+The masks together hit every stretch of 20 words with up to four substitutions,
+and every item of 8 to 19 words with as many as IDENTITY allows, wherever those
+are.
 
 All steps are DataFrame operations. Document seeds are made, hashed and probed
 in one stage; only hits leave it. The benchmark's seeds are broadcast when
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tomespark.llm.common import cut, stash
 
 #: Offsets of the words that a mask looks at.
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 8))
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 8), (0, 1, 3, 6, 7))
 OVERLAP = 20
 IDENTITY = 0.8
 SHORTEST = 8
