@@ -1,19 +1,41 @@
 """HTML extraction: the main text of a page, by two passes of block rules.
 
-A page is cut into blocks at block-level tags; text of scripts, styles and the
-like never becomes a block. The first pass decides blocks by where they stand
-(menus, headers, footers, sidebars, notices, adverts, forms, comments: out; the
-page's article: in) and otherwise by stop-word density, length and link density.
-Short blocks stay ambiguous, and in the second pass take the label of their
-nearest decided neighbours.
+A page is cut into blocks at block-level tags; text of scripts, styles, hidden
+elements and the like never becomes a block.
+
+The first pass measures every block: its length, the share of its characters
+that are links, and the share of its words that are stop words. Link-rich blocks
+are bad, long blocks of many stop words good, shorter ones nearly good; blocks
+too short to tell stay open. In the second pass open and nearly good blocks take
+the label of the nearest decided blocks before and after them.
+
+Mark-up is evidence beside these measures, and says three things:
+
+* A region that is marked as something other than the text (a menu, header,
+  footer, sidebar, form, advert, notice, comments) is bad however its blocks
+  read. Tags and roles are taken at their word. A class or id is so taken only
+  when the mark is its head word ("post-comments", not "comment-policy") and the
+  page has prose outside of it.
+* In a region that is marked as the text (an article, the main part), blocks that
+  would be bad are open instead, save menus: its poor prose and its links are
+  settled by their neighbours in the region.
+* A lesser mark, such as "comment-policy", makes nearly good blocks open.
+
+Neighbours are looked for in a block's own region. Where a region ends without a
+decided block it counts as good if it is marked as the text, else as bad.
+
+Where a page states a language without a stop-word list, length and links decide
+alone; where it states none, the lists of all languages count.
 
 Pages are independent, so this is one pass over the table without a shuffle;
 each page is read in time proportional to its length.
 
-Defined cases: null html is an empty page with an empty text. Tags that are
-never closed end with what contains them; an unfinished tag at the end of a page
-is dropped; a "<" that begins no tag is text. Repeated rows come back each.
-Extra columns are not read.
+Defined cases: null html is an empty page with an empty text. Very long pages
+are read whole. Tags that are never closed end with what contains them; an
+unfinished tag at the end of a page is dropped; a "<" that begins no tag is text.
+A block between a good and a bad neighbour is a tie: it is good in a region that
+is marked as the text or beside a nearly good block, else bad. Repeated rows come
+back each. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +43,21 @@ from __future__ import annotations
 import html as html_module
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The published thresholds of the two-pass method.
+# The published lengths and link density of the two-pass method.
 LENGTH_LOW = 70
 LENGTH_HIGH = 200
-STOPWORDS_LOW = 0.30
-STOPWORDS_HIGH = 0.32
 MAX_LINK_DENSITY = 0.2
-#: A list item of an article whose text is nearly all links is a menu.
-LINK_LIST_DENSITY = 0.8
+#: Shares of stop words: lower than the published ones, as the lists below hold about a hundred words each and those several hundred.
+STOPWORDS_LOW = 0.15
+STOPWORDS_HIGH = 0.20
+#: A list item with so large a share of links is a menu's, whatever stands around it.
+MENU_DENSITY = 0.8
 
 # Common function words.
 STOP_WORDS = {
@@ -48,66 +72,90 @@ _RAW = frozenset("script style noscript template iframe object svg math canvas t
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd td th tr tbody thead tfoot body".split())
 _ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
-_OUT_TAGS = frozenset("nav footer aside form menu dialog button head".split())
-_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar note".split())
-_IN_ROLES = frozenset(("main", "article"))
-_OUT_NAMES = frozenset(
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_ASIDE_TAGS = frozenset("nav footer aside form menu dialog button head".split())
+_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar note".split())
+_TEXT_ROLES = frozenset(("main", "article"))
+#: Names of what is not the text.
+_ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner banners"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager topbar toolbar masthead"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager topbar toolbar masthead header"
     " footer footnav colophon copyright legal"
     " sidebar sidebars aside widget widgets related recommended recommendations trending popular"
     " cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login paywall"
     " comment comments commentlist disqus respond reply replies reader discussion share sharing social".split()
 )
-_IN_NAMES = frozenset("article post entry story".split())
+_TEXT_NAMES = frozenset("article post entry story".split())
+#: Words that say where or how large a thing is; the head of a name stands before them.
+_QUALIFIERS = frozenset("left right top bottom main inner outer wrap wrapper container content contents body text area section block box list item unit slot holder group row col column panel pane fixed sticky mobile desktop large small primary secondary".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_UNDECIDED, _OUT, _IN = 0, -1, 1
-
-
-def _standing(tag: str, attributes: str, within: int) -> int:
-    """What an element says of the text in it, given what holds around it."""
-    if within == _OUT or tag in _OUT_TAGS:
-        return _OUT
-    if tag == "header" and within != _IN:
-        return _OUT
-    found = within
-    if tag in ("article", "main"):
-        found = _IN
-    if not attributes or tag in ("html", "body"):
-        return found
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return _OUT
-        if name == "role":
-            if value.lower() in _OUT_ROLES:
-                return _OUT
-            if value.lower() in _IN_ROLES:
-                found = _IN
-        elif name == "itemprop" and value == "articleBody":
-            found = _IN
-        elif name in ("class", "id"):
-            parts = {x.lower() for x in _NAME_PART.findall(value)}
-            if parts & _OUT_NAMES and tag not in ("article", "main"):
-                return _OUT
-            if "header" in parts and within != _IN and tag not in ("article", "main", "h1", "h2", "h3"):
-                return _OUT
-            if parts & _IN_NAMES:
-                found = _IN
-    return found
+
+
+class Region(NamedTuple):
+    """What the mark-up around a block says of it."""
+
+    number: int = 0
+    hidden: bool = False
+    aside: str = ""  # marked as something other than the text: by "tag", by "form" or only by "name"
+    text: bool = False  # marked as the text
+    doubt: bool = False  # a lesser mark
+
+
+def _name_says(value: str) -> tuple[bool, bool, bool]:
+    """Of a class or id: is it a name of something else, of the text, or does it only mention something else?"""
+    aside = text = mention = False
+    for name in value.split():
+        parts = [x.lower() for x in _NAME_PART.findall(name)]
+        while len(parts) > 1 and (parts[-1] in _QUALIFIERS or parts[-1].isdigit()):
+            parts.pop()
+        if parts:
+            aside |= parts[-1] in _ASIDE_NAMES
+            text |= parts[-1] in _TEXT_NAMES
+            mention |= not _ASIDE_NAMES.isdisjoint(parts)
+    return aside, text, mention
+
+
+def _region(tag: str, attributes: str, around: Region, number: int) -> Region:
+    """The region that an element makes, or the one around it where the element says nothing new."""
+    aside, text, doubt, hidden = around.aside, around.text, around.doubt, around.hidden
+    if tag in _ASIDE_TAGS or (tag == "header" and not text):
+        aside = "tag" if tag != "form" else aside if aside == "tag" else "form"
+    elif tag in ("article", "main"):
+        text = True
+        aside = "" if aside == "form" else aside  # a form around a whole page is no form of its own
+    if attributes and tag not in ("html", "body"):
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
+                hidden = True
+            elif name == "role":
+                aside = "tag" if value.lower() in _ASIDE_ROLES else aside
+                text |= value.lower() in _TEXT_ROLES
+            elif name == "itemprop":
+                text |= value == "articleBody"
+            elif name in ("class", "id"):
+                other, own, mention = _name_says(value)
+                if other and tag not in ("article", "main", *_HEADINGS):
+                    aside = aside or "name"
+                text |= own and not other
+                doubt |= mention and not other
+    if (aside, text, doubt, hidden) == around[2:] + around[1:2]:
+        return around
+    return Region(number, hidden, aside, text, doubt)
 
 
 class Block:
     """Text between two block-level tags."""
 
-    __slots__ = ("text", "standing", "linked", "item", "label")
+    __slots__ = ("text", "region", "linked", "item", "heading", "label")
 
-    def __init__(self, text: str, standing: int, linked: int, item: bool) -> None:
-        self.text, self.standing, self.linked, self.item, self.label = text, standing, linked, item, ""
+    def __init__(self, text: str, region: Region, linked: int, item: bool, heading: bool) -> None:
+        self.text, self.region, self.linked, self.item, self.heading, self.label = text, region, linked, item, heading, ""
 
 
 def _squeezed(pieces: list[str]) -> str:
@@ -118,16 +166,19 @@ def _squeezed(pieces: list[str]) -> str:
 def blocks_of(page: str) -> tuple[list[Block], str]:
     """The blocks of a page in order, and its stated language."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements, without plain inline ones
+    stack: list[tuple[str, Region]] = []  # open elements, without plain inline ones
     pieces: list[str] = []
     links: list[str] = []
-    in_link, language, at = False, "", 0
+    in_link, language, at, made = False, "", 0, 0
+    whole = Region()
 
     def close() -> None:
         if pieces:
-            text = _squeezed(pieces)
+            region = stack[-1][1] if stack else whole
+            text = "" if region.hidden else _squeezed(pieces)
             if text:
-                out.append(Block(text, stack[-1][1] if stack else _UNDECIDED, len(_squeezed(links)) if links else 0, any(x[0] in ("li", "td", "dd") for x in stack[-3:])))
+                tags = [x[0] for x in stack[-3:]]
+                out.append(Block(text, region, len(_squeezed(links)) if links else 0, any(x in ("li", "td", "dd") for x in tags), any(x in _HEADINGS for x in tags)))
             pieces.clear()
             links.clear()
 
@@ -172,7 +223,7 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
                     del stack[k:]
                     break
             continue
-        within = stack[-1][1] if stack else _UNDECIDED
+        around = stack[-1][1] if stack else whole
         if tag in _RAW:
             if not attributes.endswith("/"):
                 end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, position)
@@ -184,9 +235,12 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
             continue
         if tag in _INLINE:
             # An inline element matters only where it is marked as no part of the text.
-            if attributes and within != _OUT and not attributes.endswith("/") and tag != "a" and _standing(tag, attributes, within) == _OUT:
-                close()
-                stack.append((tag, _OUT))
+            if attributes and not attributes.endswith("/") and tag != "a":
+                inner = _region(tag, attributes, around, made + 1)
+                if (inner.aside and not around.aside) or (inner.hidden and not around.hidden):
+                    close()
+                    made += 1
+                    stack.append((tag, inner))
             continue
         close()
         in_link = False
@@ -204,7 +258,9 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
         if tag == "body":  # what the head left open ends here
             stack.clear()
         if not attributes.endswith("/"):
-            stack.append((tag, _standing(tag, attributes, stack[-1][1] if stack else _UNDECIDED)))
+            inner = _region(tag, attributes, stack[-1][1] if stack else whole, made + 1)
+            made += 1
+            stack.append((tag, inner))
     close()
     return out, language[:2].lower()
 
@@ -213,55 +269,74 @@ _STOP_SETS = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 _ALL_STOPS = frozenset().union(*_STOP_SETS.values())
 
 
-def _first_pass(block: Block, stops: frozenset[str]) -> str:
+def measured(block: Block, stops: frozenset[str] | None) -> str:
+    """What length, links and stop words say of a block: good, near, short, poor (too few stop words) or linked. ``stops``: None where none are known."""
     length = len(block.text)
-    density = block.linked / length
-    if block.standing == _OUT:
-        return "bad"
-    if block.standing == _IN:
-        return "bad" if block.item and density > LINK_LIST_DENSITY else "good"
-    if density > MAX_LINK_DENSITY or "©" in block.text:
-        return "bad"
+    if block.linked > MAX_LINK_DENSITY * length:
+        return "linked"
     if length < LENGTH_LOW:
-        return "bad" if block.linked else "short"
-    words = _WORD.findall(block.text.lower())
-    share = sum(w in stops for w in words) / len(words) if words else 0.0
+        return "linked" if block.linked else "short"
+    share = 1.0
+    if stops is not None:
+        words = _WORD.findall(block.text.lower())
+        share = sum(w in stops for w in words) / len(words) if words else 0.0
     if share >= STOPWORDS_HIGH:
         return "good" if length > LENGTH_HIGH else "near"
-    return "near" if share >= STOPWORDS_LOW else "bad"
+    return "near" if share >= STOPWORDS_LOW else "poor"
+
+
+def _first_pass(block: Block, said: str, names_count: bool) -> str:
+    """good, bad, near or open: the measure of a block, weighed with what the mark-up says."""
+    region = block.region
+    if region.aside and (region.aside != "name" or names_count):
+        return "bad"
+    if said == "linked" and (not region.text or (block.item and block.linked > MENU_DENSITY * len(block.text))):
+        return "bad"
+    if said == "poor" and not region.text:
+        return "bad"
+    if said == "near" and region.doubt and not region.text:
+        return "open"
+    return said if said in ("good", "near") else "open"
+
+
+def _nearest(labels: list[str], ends: list[str], keys: list[int]) -> tuple[list[str], list[str]]:
+    """For each block the nearest good or bad label before and after it in its region, or its region's end."""
+    before, after = list(ends), list(ends)
+    for side, order in ((before, range(len(labels))), (after, range(len(labels) - 1, -1, -1))):
+        last: dict[int, str] = {}
+        for i in order:
+            side[i] = last.get(keys[i], ends[i])
+            if labels[i] in ("good", "bad"):
+                last[keys[i]] = labels[i]
+    return before, after
 
 
 def classify(blocks: list[Block], language: str) -> None:
     """Give every block the label good or bad."""
-    stops = _STOP_SETS.get(language, _ALL_STOPS)
-    first = [_first_pass(b, stops) for b in blocks]
-    n = len(first)
-
-    def decided(labels: list[str]) -> tuple[list[str], list[str]]:
-        """For each block the nearest good or bad label before and after it; the page's ends are bad."""
-        before, after, last = [""] * n, [""] * n, "bad"
-        for i in range(n):
-            before[i] = last
-            last = labels[i] if labels[i] in ("good", "bad") else last
-        last = "bad"
-        for i in range(n - 1, -1, -1):
-            after[i] = last
-            last = labels[i] if labels[i] in ("good", "bad") else last
-        return before, after
-
-    before, after = decided(first)
+    stops = _STOP_SETS.get(language) if language else _ALL_STOPS
+    said = [measured(b, stops) for b in blocks]
+    names_count = any(b.region.text or (s == "good" and not b.region.aside) for b, s in zip(blocks, said))
+    first = [_first_pass(b, s, names_count) for b, s in zip(blocks, said)]
+    keys = [b.region.number for b in blocks]
+    ends = ["good" if b.region.text and not b.region.aside else "bad" for b in blocks]
+
+    before, after = _nearest(first, ends, keys)
     second = list(first)
     for i, label in enumerate(first):
-        if label == "short":
+        if label == "open":
             if before[i] == after[i]:
                 second[i] = before[i]
+            elif blocks[i].heading:  # belongs to what follows
+                second[i] = after[i]
+            elif blocks[i].region.text:
+                second[i] = "good"
             else:  # between good and bad: good only next to a block that is nearly good
-                beside = first[i - 1] if before[i] == "bad" and i else first[i + 1] if after[i] == "bad" and i + 1 < n else ""
-                second[i] = "good" if beside == "near" else "bad"
-    before, after = decided(second)
+                beside = i - 1 if before[i] == "bad" else i + 1
+                second[i] = "good" if 0 <= beside < len(first) and first[beside] == "near" and keys[beside] == keys[i] else "bad"
+    before, after = _nearest(second, ends, keys)
     for i, label in enumerate(second):
         if label == "near":
-            second[i] = "bad" if before[i] == after[i] == "bad" else "good"
+            second[i] = "bad" if before[i] == after[i] == "bad" and not blocks[i].region.text else "good"
     for block, label in zip(blocks, second):
         block.label = label
 
