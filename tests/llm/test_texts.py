@@ -78,21 +78,57 @@ def test_packing_is_whole(make_docs):
         assert {r["capacity"] for r in held} == {min(c for c in packing.CAPACITIES if c >= at)}
 
 
-def test_plans_are_no_dearer_than_fixed_ones():
+def fixed_plan(lengths, only):
+    """Best fit with one capacity to open (the next that holds a longer piece), then downsized: what it costs."""
+    contents, open_bins = [], []
+    for n in lengths:
+        fits = [k for k, room in enumerate(open_bins) if room >= n]
+        if fits:
+            k = min(fits, key=lambda k: open_bins[k])
+        else:
+            k = len(contents)
+            contents.append(0)
+            open_bins.append(min(c for c in packing.CAPACITIES if c >= max(only, n)))
+        contents[k] += n
+        open_bins[k] -= n
+    return sum(packing.cost(min(c for c in packing.CAPACITIES if c >= n)) for n in contents)
+
+
+def joint_cost(lengths):
+    bins, sizes = packing.plan(lengths)
+    contents = Counter()
+    for b, n in zip(bins.tolist(), lengths):
+        contents[b] += n
+    assert set(contents) == set(range(len(sizes))) and all(sizes[b] == min(c for c in packing.CAPACITIES if c >= n) for b, n in contents.items())
+    return sum(packing.cost(int(c)) for c in sizes)
+
+
+def test_the_joint_plan_beats_each_fixed_one():
+    """No shard is dearer than under the best fixed plan, and all together are cheaper than under each."""
+    sums = Counter()
     for seed in range(12):
         draw = random.Random(seed)
-        lengths = sorted((draw.choice([draw.randrange(1, 8193), draw.randrange(1, 900), 1024]) for _ in range(300)), reverse=True)
-        bins, sizes = packing.plan(lengths)
-        contents = Counter()
-        for b, n in zip(bins.tolist(), lengths):
-            contents[b] += n
-        assert all(contents[b] <= sizes[b] for b in contents)
-        cost = sum(packing.cost(int(c)) for c in sizes)
-        for only in packing.CAPACITIES:
-            fixed = Counter()
-            for b, n in zip(packing.best_fit(lengths, packing.CAPACITIES, only), lengths):
-                fixed[b] += n
-            assert cost <= sum(packing.cost(min(c for c in packing.CAPACITIES if c >= n)) for n in fixed.values()) + 1e-6
+        shapes = (lambda: draw.choice([draw.randrange(1, 8193), draw.randrange(1, 900), 1024]), lambda: min(8192, 1 + int(draw.lognormvariate(6.4, 0.9))), lambda: draw.choice([700, 1100, 2100]) + draw.randrange(9))
+        lengths = sorted((shapes[seed % 3]() for _ in range(600)), reverse=True)
+        cost, fixed = joint_cost(lengths), {c: fixed_plan(lengths, c) for c in packing.CAPACITIES}
+        assert cost <= min(fixed.values())
+        sums["joint"] += cost
+        for c, x in fixed.items():
+            sums[c] += x
+    assert all(sums["joint"] < sums[c] for c in packing.CAPACITIES)
+
+
+def test_the_joint_plan_on_the_documents():
+    parquet = pytest.importorskip("pyarrow.parquet")
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not __import__("os").path.exists(folder):
+        pytest.skip("no test data")
+    lengths = []
+    for text in parquet.read_table(folder, columns=["text"]).column("text").to_pylist():
+        n = counter().count(text)
+        lengths += [8192] * (n // 8192) + [n % 8192] * (n % 8192 > 0)
+    lengths.sort(reverse=True)
+    assert all(joint_cost(lengths) <= fixed_plan(lengths, c) for c in packing.CAPACITIES)
 
 
 def test_best_fit_against_all_plans():
@@ -117,6 +153,15 @@ def test_best_fit_against_all_plans():
         assert sum(packing.cost(int(c)) for c in sizes) <= 1.2 * best
 
 
+def test_copies_spread_over_shards(make_docs, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(None, "same words here")] * 60 + [(1, "other text of some words")] * 5
+    got = packing.pack(make_docs(rows), shard_pieces=8).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 60, 1: 5}
+    shards = Counter(r["bin_id"] >> 32 for r in got)
+    assert len(shards) >= 6 and max(shards.values()) < 25
+
+
 def test_packing_nothing(make_docs):
     assert packing.pack(make_docs([])).count() == 0
 
