@@ -191,6 +191,29 @@ def test_base_counts(make_docs):
     assert sorted(map(tuple, got), key=str) == sorted(((d, *brute_counts(t)) for d, t, *_ in rows), key=str)
 
 
+def test_windows_of_one_number_are_compared_by_words(make_docs, monkeypatch):
+    """With two bits of hash left nearly all windows share a number, and still only equal words count."""
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", "62")
+    rows = quality_docs()
+    got = quality_rules.text_counts(make_docs(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((d, *brute_counts(t)) for d, t, *_ in rows), key=str)
+
+
+def test_chi_square():
+    """Against sums over fine steps of the density."""
+    import math
+
+    for k in (5, 7):
+        density = lambda x: x ** (k / 2 - 1) * math.exp(-x / 2) / (2 ** (k / 2) * math.gamma(k / 2))  # noqa: E731, B023
+        total = 0.0
+        for i in range(30_000):
+            total += density((i + 0.5) / 1000) / 1000
+            if i % 4999 == 0:
+                assert abs(quality_rules.chi_square((i + 1) / 1000, k) - total) < 1e-5
+    assert abs(quality_rules.chi_square(quality_rules.quantile(0.975, 5), 5) - 0.975) < 1e-9
+    assert 1.3 < quality_rules.consistency(0.75) < 1.5 and quality_rules.consistency(1.0) == 1.0
+
+
 def test_outliers_go_and_clean_documents_stay(make_docs):
     rows = quality_docs()
     got = {r["doc_id"]: r for r in quality_rules.judge(make_docs(rows)).collect()}
@@ -198,14 +221,14 @@ def test_outliers_go_and_clean_documents_stay(make_docs):
     assert not any(got[500 + k]["kept"] for k in range(4))
     assert not got[600]["kept"] and not got[602]["kept"]
     docs = make_docs(rows)
-    kept = quality_rules.kept_rows(docs)
+    kept = quality_rules.kept_rows(docs.withColumn("gone", F.lit(1)).withColumn("GONE_", F.lit(2))).drop("gone", "GONE_")
     assert kept.columns == docs.columns and not {500, 600, 602} & {r["doc_id"] for r in kept.collect()}
 
 
 def test_estimate_against_numpy(make_docs, spark):
-    """One group: concentration steps over exact ranks end at the same verdicts."""
+    """One group, a third of it far off: concentration over exact ranks, from the same starts, ends at the same verdicts."""
     np = pytest.importorskip("numpy")
-    rows = [(k, "\n".join(" ".join(made(10, 70 * k + j)) for j in range(6 + k % 9))) for k in range(80)] + [(900 + k, "$%#& " * 30 + " ".join(made(90, k))) for k in range(5)]
+    rows = [(k, "\n".join(" ".join(made(10, 70 * k + j)) for j in range(6 + k % 9))) for k in range(120)] + [(900 + k, "$%#& " * 30 + " ".join(made(90, k))) for k in range(40)]
     got = {r["doc_id"]: r for r in quality_rules.judge(make_docs(rows)).where("NOT base_failed").collect()}
     ids = sorted(got)
 
@@ -215,13 +238,35 @@ def test_estimate_against_numpy(make_docs, spark):
 
     x = np.array([vector(got[k]) for k in ids])
     floor = np.diag(np.square(quality_rules.FLOORS))
-    near, best = np.arange(len(x)), None
-    for _ in range(quality_rules.STEPS + 1):
-        m, c = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + floor
-        d = np.sqrt(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))
-        near = np.argsort(d)[: int(np.ceil(quality_rules.SUBSET * len(x)))]
-        best = d
-    assert [bool(v <= quality_rules.CUTOFF) for v in best] == [got[k]["kept"] for k in ids]
+    h = int(np.ceil(quality_rules.SUBSET * len(x)))
+
+    def squares(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def estimate(rows, factor):
+        return x[rows].mean(axis=0), factor * np.cov(x[rows].T, bias=True) + floor
+
+    middle = np.median(x, axis=0)
+    starts = [(middle, np.diag((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2) + floor), estimate(np.arange(len(x)), 1.0)]
+    starts.append((starts[1][0], np.diag(np.diag(starts[1][1]))))
+    best = None
+    for now in starts:
+        for _ in range(50):
+            now = estimate(np.argsort(squares(*now), kind="stable")[:h], quality_rules.consistency(quality_rules.SUBSET))
+        if best is None or np.linalg.det(now[1]) < np.linalg.det(best[1]):
+            best = now
+    within = np.flatnonzero(squares(*best) <= quality_rules.quantile(quality_rules.REWEIGHT, 5))
+    d2 = squares(*estimate(within, quality_rules.consistency(quality_rules.REWEIGHT)))
+    assert [bool(v <= quality_rules.quantile(1 - quality_rules.TAIL, 5)) for v in d2] == [got[k]["kept"] for k in ids]
+    assert {k for k in ids if not got[k]["kept"]} == {900 + k for k in range(40)}
+    assert all(abs(np.sqrt(v) - got[k]["distance"]) < 0.1 + 0.05 * np.sqrt(v) for v, k in zip(d2, ids))
+
+
+def test_small_groups_are_judged_with_their_language(make_docs):
+    rows = [(k, " ".join(made(80, k)), "en", f"s{k // 40}") for k in range(120)] + [(500, " ".join(made(80, 500)), "en", "rare"), (501, "%$# " * 80 + " ".join(made(100, 501)), "en", "rare")]
+    rows += [(600, " ".join(made(80, 600)), "xx", None), (601, "%$# " * 80 + " ".join(made(100, 601)), None, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(make_docs(rows)).collect()}
+    assert {k for k, v in got.items() if not v} == {501, 601}
 
 
 def test_no_document_passes_the_base_rule(make_docs):

@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set.
+    Where the session names none, a temporary folder is made and set, but only
+    with a local master; on a cluster it would not be shared, and this is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tomespark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -47,6 +49,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def row_key(*columns: str) -> F.Column:
+    """128 bits over the given columns, as a struct of two hashes."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("again"), *reversed(columns)).alias("b"))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def without_rows(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` whose ``row_key`` over ``columns`` is not the single column of ``gone``."""
+    name = free_name(df, "gone")
+    return df.join(gone.toDF(name), row_key(*columns) == F.col(name), "left_anti")
+
+
 def words_column(text: F.Column) -> F.Column:
     """The words of a text as an array: runs of characters other than BLANKS."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
