@@ -284,15 +284,16 @@ def brute_leaks(docs, items, overlap=20, identity=0.8, shortest=8):
         w = plain(text)
         for item, other in items:
             v = plain(other)
-            if len(v) < shortest:
+            if not v:
                 continue
             size = min(overlap, len(v))
+            need = identity * size if len(v) >= shortest else size
             best = None
             for at in range(-len(v) + 1, len(w)):
                 e = [0 <= at + i < len(w) and w[at + i] == x for i, x in enumerate(v)]
                 for s in range(len(v) - size + 1):
                     same = sum(e[s : s + size])
-                    if same >= identity * size - 1e-9 and (best is None or (same, -(at + s)) > best):
+                    if same >= need - 1e-9 and (best is None or (same, -(at + s)) > best):
                         best = same, -(at + s)
             if best:
                 found[doc, item] = size, best[0], -best[1]
@@ -300,7 +301,7 @@ def brute_leaks(docs, items, overlap=20, identity=0.8, shortest=8):
 
 
 def leak_rows():
-    items = [(k, " ".join(made(16 + 4 * k, 700 + k)).capitalize() + ".") for k in range(8)] + [(50, "too short to count"), (51, None), (52, "")]
+    items = [(k, " ".join(made(16 + 4 * k, 700 + k)).capitalize() + ".") for k in range(8)] + [(50, "too short to seed"), (51, None), (52, ""), (53, "one two three four five six seven"), (54, "lonely"), (55, "Too short, to seed!"), (None, "an item without id")]
     draw = random.Random(5)
     docs = [(k, " ".join(made(60, k))) for k in range(20)]
     for k in range(8):
@@ -310,18 +311,21 @@ def leak_rows():
             for i in draw.sample(range(len(v)), changes):
                 v[i] = f"other{i}"
             docs.append((100 + 10 * k + changes, " ".join(made(30, k + 500) + v + made(30, k + 600)).upper()))
+    docs += [(310, " ".join(made(30, 91)) + " too short to seed " + " ".join(made(900, 92)) + " one two three four five six seven"), (311, "one two three four other six seven"), (312, "lonely"), (313, "it is an item without id")]
+    docs += [(314, " ".join(made(5000, 93) + items[5][1].lower().rstrip(".").split()[:-2])), (315, (items[4][1].rstrip(".") + " ") * 40)]
     docs += [(300, None), (301, ""), (302, items[6][1][:200]), (303, "; ".join(items[7][1].split()) * 2), (None, items[3][1]), (304, items[2][1]), (304, items[2][1])]
     return docs, items
 
 
 def test_leaks(make_docs, spark):
     docs, items = leak_rows()
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(1)).withColumn("iw", F.lit(1))
     got = decontaminate.leaks(make_docs(docs), bench).collect()
+    assert sorted(map(tuple, decontaminate.leaks(make_docs(docs), bench, broadcast_seeds=0).collect()), key=str) == sorted(map(tuple, got), key=str)
     want = brute_leaks(docs, items)
     found = {(r["doc_id"], r["item_id"]): (r["n_overlap"], r["n_same"], r["start"]) for r in got}
     assert found == want
-    clean = decontaminate.without_leaks(make_docs(docs), bench)
+    clean = decontaminate.without_leaks(make_docs(docs).withColumn("gone", F.lit(1)), bench)
     leaked = {d for d, _ in want}
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, *_ in docs if d not in leaked)
 
@@ -337,7 +341,7 @@ def test_masks_hit_every_stretch_with_four_substitutions():
 def test_masks_hit_every_short_item():
     from itertools import combinations
 
-    for size in range(decontaminate.SHORTEST, 20):
+    for size in range(decontaminate.SHORTEST, 21):
         for gone in combinations(range(size), size // 5):
             assert any(all(p + o not in gone for o in m) for m in decontaminate.MASKS for p in range(size - m[-1])), (size, gone)
 
