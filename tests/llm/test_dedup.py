@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from tomespark.llm import line_dedup, ngram_join, substring_dedup
+from tomespark.llm import common, line_dedup, ngram_join, substring_dedup
 from tomespark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,6 +84,28 @@ def test_equal_windows_have_equal_anchors(window, anchor):
         assert owner(a, 40 + k)[0] == owner(b, 17 + k)[0]
 
 
+def test_segments_and_pieces_change_no_hash(monkeypatch):
+    from tomespark.llm import hashing
+
+    texts = [t or "" for _, t, *_ in substring_rows()] + ["x" * 3000 + " y " + "é" * 900, "  " * 200, " a\tb" * 300]
+    whole = [(hashing.word_hashes(t.encode()).tolist(), [x.tolist() for x in hashing.word_bounds(t.encode())]) for t in texts]
+    monkeypatch.setattr(hashing, "BLOCK_BYTES", 600)
+    assert all(b"".join(hashing.pieces(t.encode())) == t.encode() for t in texts)
+    assert [(hashing.word_hashes(t.encode()).tolist(), [x.tolist() for x in hashing.word_bounds(t.encode())]) for t in texts] == whole
+    hashes = hashing.word_hashes(" ".join(made(400, 3)).encode())
+    anchor_of = lambda: {f + k: a for a, _, f, n in zip(*substring_dedup.runs_of(hashes, 50, 16)) for k in range(n)}
+    before = anchor_of()
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 37)
+    assert anchor_of() == before and len(before) == 351
+
+
+def test_hot_keys_are_joined_apart(make_docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = substring_rows()
+    got = substring_dedup.cut_repeats(make_docs(rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows)
+
+
 def line_key(line):
     return line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 

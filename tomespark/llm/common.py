@@ -68,6 +68,28 @@ def without_rows(df: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
     return df.join(gone.toDF(name), row_key(*columns) == F.col(name), "left_anti")
 
 
+#: A key with more rows than this, and more than one in HOT_KEYS of all rows, never goes to one task.
+HOT_ROWS = 50_000
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join of ``rows`` to ``keyed``, which has a row per key and in ``n_rows`` how many rows have it.
+
+    Keys with more rows than HOT_ROWS and a HOT_KEYS-th of all are broadcast, so
+    their rows stay where they are; there are fewer than HOT_KEYS of them. All
+    others are joined by a shuffle. ``rows`` and ``keyed`` are read twice, so they
+    should be stashed.
+    """
+    total = keyed.agg(F.sum("n_rows")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = cut(keyed.where(F.col("n_rows") > least).drop("n_rows"))
+    cold = keyed.where(F.col("n_rows") <= least).drop("n_rows")
+    if not hot.limit(1).count():
+        return rows.join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+
+
 def words_column(text: F.Column) -> F.Column:
     """The words of a text as an array: runs of characters other than BLANKS."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -2,11 +2,14 @@
 
 All arithmetic is modulo 2**64. Words are hashed from their UTF-8 bytes, runs of
 words from the word hashes, both through prefix sums, so a hash of any run costs
-two look-ups. The bases are odd and therefore have inverses modulo 2**64.
+two look-ups. Long texts are hashed in pieces of BLOCK_BYTES, so the tables of
+powers stay small. The bases are odd and therefore have inverses modulo 2**64.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -14,7 +17,9 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 #: Longer words are hashed by another function: some long strings made for it defeat polynomials modulo a power of two.
 LONG_WORD_BYTES = 512
+BLOCK_BYTES = 1 << 20
 
+_BLANKS = [bytes([c]) for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)]
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -50,18 +55,47 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, and where each word starts and ends in them."""
-    b = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate(([1], _IS_BLANK[b].view(np.int8), [1])).astype(np.int8))
-    return b, np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def _bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate(([1], _IS_BLANK[np.frombuffer(raw, np.uint8)].view(np.int8), [1])).astype(np.int8, copy=False))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends in the bytes of a text."""
+    starts, ends, at = [], [], 0
+    for piece in pieces(raw):
+        start, end = _bounds(piece)
+        starts.append(start + at)
+        ends.append(end + at)
+        at += len(piece)
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each word of a UTF-8 text, in order."""
-    b, start, end = word_bounds(raw)
+    return np.concatenate([_hashed(piece) for piece in pieces(raw)])
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """Stretches of whole words, of at most BLOCK_BYTES unless a single word is longer."""
+    at = 0
+    while len(raw) - at > BLOCK_BYTES:
+        end = max(raw.rfind(c, at, at + BLOCK_BYTES) for c in _BLANKS) + 1
+        if end <= at:
+            found = [x for x in (raw.find(c, at) for c in _BLANKS) if x >= 0]
+            end = min(found) + 1 if found else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def _hashed(raw: bytes) -> np.ndarray:
+    if len(raw) > BLOCK_BYTES:  # one word, with a blank behind it
+        return np.array([xxhash.xxh3_64_intdigest(raw.strip(b"".join(_BLANKS)))], np.uint64)
+    start, end = _bounds(raw)
     if not len(start):
         return np.empty(0, np.uint64)
+    b = np.frombuffer(raw, np.uint8)
     up, down = _BYTES.get(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])

@@ -20,12 +20,19 @@ anchor make a run, about one for every eighteen windows.
    of each.
 4. Per document, repeated windows merge into maximal intervals, which are cut.
 
-Grouping always combines before the shuffle, and the joins back to runs are
-plain sort-merge joins, whose hot keys Spark splits.
-
-Defined cases: a null or empty text has no words. A row with a null ``doc_id``
-loses nothing and takes nothing from others. Rows with equal doc_id do not cut
-each other. Repeats within one document stay. Other columns are not read.
+Runs are hashed once and written. Grouping always combines before the shuffle.
+Where runs are joined back to their anchors and contents, those that are in many
+runs (a passage that a third of all texts hold) are counted and joined by
+broadcast, and all others by a shuffle. A text is joined to its own spans only.
+
+Long texts are hashed in segments of SEGMENT windows; a run that a segment's end
+cuts in two is settled by steps 2 and 3 like any other.
+
+Defined cases: a null or empty text has no words. Very long texts are read whole.
+A row with a null ``doc_id`` loses nothing and takes nothing from others. Rows
+with equal doc_id do not cut each other, and each repeated row is cut alike; with
+equal doc_id there is no smaller one (a tie). Repeats within one document stay.
+An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +46,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomespark.llm.common import stash
+from tomespark.llm.common import join_counted, stash
 from tomespark.llm.hashing import Rolling, mix, word_bounds, word_hashes
 
 WINDOW = 50
 ANCHOR = 16
+SEGMENT = 1 << 18
 
 _RUN_FIELDS = "anchor long, content long, doc_id long, text_key long, first long, size int"
 _OUT_FIELDS = "doc_id long, kept_text string, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
@@ -60,16 +68,19 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 def runs_of(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of windows: anchor hash, content hash, first window and number of windows."""
-    rolling = Rolling(hashes)
-    at = sliding_window_view(rolling.windows(anchor), window - anchor + 1).argmin(axis=1)
-    at += np.arange(len(at))
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    size = np.diff(np.concatenate((first, [len(at)])))
-    place = at[first]
-    keys = rolling.windows(anchor)[place]
-    shape = ((place - first) * (window + 1) + size).astype(np.uint64)
-    content = mix(Rolling(hashes, 1).runs(first, first + size + window - 1) ^ mix(shape))
-    return keys, content, first, size
+    found = []
+    for begin in range(0, len(hashes) - window + 1, SEGMENT):
+        part = hashes[begin : begin + SEGMENT + window - 1]
+        anchors = Rolling(part).windows(anchor)
+        at = sliding_window_view(anchors, window - anchor + 1).argmin(axis=1)
+        at += np.arange(len(at))
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        size = np.diff(np.concatenate((first, [len(at)])))
+        place = at[first]
+        shape = ((place - first) * (window + 1) + size).astype(np.uint64)
+        content = mix(Rolling(part, 1).runs(first, first + size + window - 1) ^ mix(shape))
+        found.append((anchors[place], content, first + begin, size))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _emit_runs(window: int, anchor: int):
@@ -98,23 +109,19 @@ def _as_runs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_longs(cols[0]), _longs(cols[1]), *(pa.array(x) for x in cols[2:])], ["anchor", "content", "doc_id", "text_key", "first", "size"])
 
 
-def _spans_for(key: int, spans: list[dict]) -> list[dict]:
-    return [x for x in spans or () if x["text_key"] == key]
-
-
 def _emit_windows(window: int):
     """The two hashes of each window of a document's owned runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, key, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
-                asked = [x for x in _spans_for(key, spans) if not x["repeated"]]
-                if not asked:
-                    continue
+            for doc, key, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), batch.column("asked").to_pylist()):
                 hashes = word_hashes(_raw(text))
-                at = np.concatenate([np.arange(x["first"], x["first"] + x["size"]) for x in asked])
-                one, two = Rolling(hashes, 2).runs(at, at + window), Rolling(hashes, 3).runs(at, at + window)
-                yield pa.RecordBatch.from_arrays([_longs(one), _longs(two), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int64))], ["one", "two", "doc_id", "text_key", "first"])
+                at = np.concatenate([np.arange(x["first"], x["first"] + x["size"]) for x in sorted(asked, key=lambda x: x["first"])])
+                for begin in range(int(at[0]), int(at[-1]) + 1, SEGMENT):
+                    here = at[np.searchsorted(at, begin) : np.searchsorted(at, begin + SEGMENT)]
+                    part, place = hashes[begin : begin + SEGMENT + window - 1], here - begin
+                    one, two = Rolling(part, 2).runs(place, place + window), Rolling(part, 3).runs(place, place + window)
+                    yield pa.RecordBatch.from_arrays([_longs(one), _longs(two), pa.array(np.full(len(here), doc, np.int64)), pa.array(np.full(len(here), key, np.int64)), pa.array(here.astype(np.int64))], ["one", "two", "doc_id", "text_key", "first"])
 
     return run
 
@@ -132,11 +139,10 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed, digests, removed = [], [], [], [], []
-            for key, text, *found in zip(batch.column("text_key").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), batch.column("singles").to_pylist()):
+            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
                 raw = _raw(text)
-                _, start, end = word_bounds(raw)
-                repeats = [(x["first"], x["first"] + x["size"] + window - 1) for x in _spans_for(key, found[0]) if x["repeated"]]
-                repeats += [(x["first"], x["first"] + window) for x in _spans_for(key, found[1])]
+                start, end = word_bounds(raw)
+                repeats = [(x["first"], x["first"] + x["size"] + window - 1) for x in spans or ()]
                 gone = merged(*np.array(repeats).T) if repeats else []
                 bounds = [0, *(x for pair in gone for x in pair), len(start)]
                 pieces = []
@@ -160,24 +166,22 @@ def _cut(window: int):
 def cut_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed, kept_sha256 and the removed word intervals, a row per row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    runs = texts.mapInArrow(_emit_runs(window, anchor), _RUN_FIELDS)
-    shared = (
-        runs.groupBy("anchor")
-        .agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-        .where("lo <> hi OR d0 < d1")
-        .select("anchor", (F.col("lo") != F.col("hi")).alias("several"))
-    )
-    known = stash(runs.join(shared, "anchor"), "runs")
-    owner = known.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"))
-    spans = (
-        known.join(owner, ["anchor", "content"])
-        .where("doc_id > owner OR several")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("text_key", "first", "size", (F.col("doc_id") > F.col("owner")).alias("repeated"))).alias("spans"))
-    )
-    spans = stash(spans, "spans")
-    held = texts.join(spans, "doc_id", "left")
-    windows = stash(held.mapInArrow(_emit_windows(window), "one long, two long, doc_id long, text_key long, first long"), "windows")
-    known_windows = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    singles = windows.join(known_windows, ["one", "two"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "first")).alias("singles"))
-    return held.join(singles, "doc_id", "left").select("doc_id", "text_key", "text", "spans", "singles").mapInArrow(_cut(window), _OUT_FIELDS)
+    runs = stash(texts.mapInArrow(_emit_runs(window, anchor), _RUN_FIELDS), "runs")
+    of_anchor = runs.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("n_rows"))
+    shared = stash(of_anchor.where("lo <> hi OR d0 < d1").select("anchor", (F.col("lo") != F.col("hi")).alias("several"), "d0", "n_rows"), "anchors")
+    known = stash(join_counted(runs, shared, ["anchor"]), "known")
+    span = F.struct("first", "size")
+    # An anchor with one content is owned by its smallest document.
+    alone = known.where("NOT several AND doc_id > d0").select("doc_id", "text_key", span.alias("span"))
+    several = known.where("several").drop("several", "d0")
+    owners = stash(several.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n_rows")), "owners")
+    owned = stash(join_counted(several, owners, ["anchor", "content"]).select("doc_id", "text_key", span.alias("span"), (F.col("doc_id") > F.col("owner")).alias("repeated")), "owned")
+    repeated = alone.unionByName(owned.where("repeated").drop("repeated"))
+
+    asked = owned.where("NOT repeated").groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("asked"))
+    windows = stash(texts.join(asked, ["doc_id", "text_key"]).mapInArrow(_emit_windows(window), "one long, two long, doc_id long, text_key long, first long"), "windows")
+    firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows"))
+    firsts = stash(firsts.where("owner < last").drop("last"), "firsts")
+    single = join_counted(windows, firsts, ["one", "two"]).where("doc_id > owner").select("doc_id", "text_key", F.struct("first", F.lit(1).alias("size")).alias("span"))
+    spans = repeated.unionByName(single).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    return texts.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(window), _OUT_FIELDS)
