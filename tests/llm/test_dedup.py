@@ -205,6 +205,21 @@ def test_links(make_docs, block):
     assert sorted(map(tuple, got), key=str) == brute_links(rows)
 
 
+def test_links_with_hot_keys_and_small_blocks_of_words(make_docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", 300)
+    rows = near_rows()
+    got = ngram_join.link(make_docs(rows)).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute_links(rows)
+
+
+def test_lines_with_hot_keys(make_docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = line_rows()
+    got = line_dedup.drop_repeated_lines(make_docs(rows)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_lines(rows, 10)
+
+
 def test_one_stays_of_each_class(make_docs):
     rows = near_rows()
     docs = make_docs(rows)
@@ -233,3 +248,10 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (1001, 1001)], "a long, b long")
     got = {r["node"]: r["class"] for r in components(edges).collect()}
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = spark.createDataFrame([(7, k) for k in range(10, 60)] + [(k, 60) for k in range(70, 90)] + [(59, 60)] + [(200, 201)], "a long, b long")
+    got = {r["node"]: r["class"] for r in components(edges).collect()}
+    assert got == {k: 7 for k in [7, *range(10, 61), *range(70, 90)]} | {200: 200, 201: 200}

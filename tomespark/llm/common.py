@@ -82,6 +82,8 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame
     should be stashed.
     """
     total = keyed.agg(F.sum("n_rows")).first()[0] or 0
+    if total <= HOT_ROWS:
+        return rows.join(keyed.drop("n_rows"), key)
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = cut(keyed.where(F.col("n_rows") > least).drop("n_rows"))
     cold = keyed.where(F.col("n_rows") <= least).drop("n_rows")

@@ -18,6 +18,8 @@ WORD_BASE = 0xD6E8FEB86659FD93
 #: Longer words are hashed by another function: some long strings made for it defeat polynomials modulo a power of two.
 LONG_WORD_BYTES = 512
 BLOCK_BYTES = 1 << 20
+#: Words of a segment.
+SEGMENT = 1 << 18
 
 _BLANKS = [bytes([c]) for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)]
 _IS_BLANK = np.zeros(256, bool)
@@ -124,3 +126,15 @@ class Rolling:
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of each run from ``start`` up to ``end``."""
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def windows_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` words, made in segments."""
+    parts = [Rolling(hashes[at : at + SEGMENT + size - 1]).windows(size) for at in range(0, max(len(hashes) - size + 1, 1), SEGMENT)]
+    return np.concatenate(parts)
+
+
+def sequence_hashes(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a whole sequence of words, as two signed integers."""
+    raw = xxhash.xxh3_128_digest(np.ascontiguousarray(hashes).tobytes())
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)

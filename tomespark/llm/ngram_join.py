@@ -20,15 +20,19 @@ Jaccard similarity is at least THRESHOLD.
 5. Components of the verified links are the classes; a class is named by the
    smallest doc_id in it.
 
-Buckets and clusters above BLOCK texts are split into blocks and every pair of
-blocks is a group of its own, so no task ever holds more than two blocks.
+Buckets and clusters are split into blocks of about BLOCK texts and BLOCK_WORDS
+words, and every pair of blocks is a group of its own, so no task ever holds more
+than two blocks. Copies of a text that is in a great part of all rows are joined
+to their class by broadcast.
 
 Defined cases: a text of one to four words is one shingle, its whole word
-sequence. Texts without words link to nothing, not even each other. A row with
-a null ``doc_id`` takes part and comes back with a null id; a class of such rows
+sequence. Texts without words link to nothing, not even each other. Very long
+texts are read whole, in segments. A similarity of exactly THRESHOLD (a tie) is a
+link; of equal ids the text with the smaller hash names a class. A row with a
+null ``doc_id`` takes part and comes back with a null id; a class of such rows
 only is named by a negative number. Repeated rows are copies of each other. Rows
-of one doc_id with different texts are judged one by one. Other columns are not
-read.
+of one doc_id with different texts are judged one by one. An empty table gives no
+rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +45,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomespark.llm.common import cut, stash
+from tomespark.llm.common import cut, free_name, join_counted, row_key, stash
 from tomespark.llm.components import components
-from tomespark.llm.hashing import Rolling, mix, word_hashes
+from tomespark.llm.hashing import mix, sequence_hashes, windows_of, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,7 +57,8 @@ ROWS = 4
 TOLERANCE = 1e-6
 #: MinHash values compared between two looks at the posterior.
 STEP = 16
-BLOCK = 4096
+BLOCK = 1024
+BLOCK_WORDS = 1 << 20
 _TILE = 512
 #: Groups up to this size are compared pair by pair, many groups at a time.
 _FEW = 24
@@ -69,7 +74,7 @@ def _raw(text: pa.Scalar) -> bytes:
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles of a text, repeats included."""
-    return Rolling(words).windows(min(size, max(len(words), 1)))
+    return windows_of(words, min(size, max(len(words), 1)))
 
 
 def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -94,9 +99,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not n:
                 one.append(0), two.append(0), sigs.append(b"")
                 continue
-            ends = np.array([0]), np.array([n])
-            one.append(int(Rolling(words, 4).runs(*ends).view(np.int64)[0]))
-            two.append(int(Rolling(words, 5).runs(*ends).view(np.int64)[0]))
+            high, low = sequence_hashes(words)
+            one.append(high), two.append(low)
             sigs.append(signature(shingle_hashes(words)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "row_key", "one", "two", "n_words", "sig"])
 
@@ -202,7 +206,10 @@ def _tiles(blocks: np.ndarray) -> Iterator[tuple[slice, slice]]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of a partition sorted by ``keys``: a table and where its groups begin, the end included."""
+    """Whole groups of a partition sorted by ``keys``: a table and where its groups begin, the end included.
+
+    Of a pair of blocks one may be empty; such groups hold no pair and are cut to nothing by ``_lone``.
+    """
     held: list[pa.RecordBatch] = []
 
     def starts(table: pa.Table) -> np.ndarray:
@@ -227,6 +234,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield table, np.append(starts(table), table.num_rows)
 
 
+def _lone(table: pa.Table, at: np.ndarray) -> np.ndarray:
+    """Which groups are a pair of two blocks of which one is empty."""
+    bi, bj, block = (table.column(c).to_numpy() for c in ("bi", "bj", "block"))
+    return (bi[at[:-1]] != bj[at[:-1]]) & (block[at[:-1]] == block[at[1:] - 1])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Signatures as rows of 16-bit values."""
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
@@ -249,7 +262,7 @@ def _candidates(threshold: float):
         forest = Forest()
         for table, at in _groups(batches, ["band", "bucket", "bi", "bj"]):
             sigs, nodes, blocks = _matrix(table.column("sig")), table.column("node").to_numpy(), table.column("block").to_numpy()
-            size = np.diff(at)
+            size = np.where(_lone(table, at), 0, np.diff(at))
             few = (size <= _FEW) & (size > 1)
             one_block = blocks[at[:-1]] == blocks[at[1:] - 1]
             if (few & one_block).any():
@@ -320,7 +333,9 @@ def _verified(threshold: float):
             all_nodes = table.column("node").to_numpy()
             all_copies, all_blocks = table.column("copies").to_numpy(), table.column("block").to_numpy()
             all_sigs = _matrix(table.column("sig"))
-            for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
+            for begin, end, lone in zip(at[:-1].tolist(), at[1:].tolist(), _lone(table, at).tolist()):
+                if lone:
+                    continue
                 # A row that the table repeats comes more than once under the same node.
                 keep = begin + np.flatnonzero(np.append(True, np.diff(all_nodes[begin:end]) != 0))
                 nodes, copies, sigs = all_nodes[keep], all_copies[keep], all_sigs[keep]
@@ -358,13 +373,14 @@ def _verified(threshold: float):
 
 
 def _blocked(members: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Members of groups of ``size`` texts, dealt over blocks and repeated for each pair of blocks (``bi`` <= ``bj``).
+    """Members of groups of ``size`` texts and ``words`` words, dealt over blocks and repeated for each pair of blocks (``bi`` <= ``bj``).
 
     Each pair of blocks comes together in one partition, sorted by group, block and node.
     """
-    dealt = members.withColumn("_n", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    dealt = members.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     paired = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rest = [c for c in members.columns if c not in (*keys, "size")]
+    rest = [c for c in members.columns if c not in (*keys, "size", "words")]
     out = paired.select(*keys, F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", *rest)
     return out.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "block", "node")
 
@@ -372,7 +388,7 @@ def _blocked(members: DataFrame, keys: list[str], block: int) -> DataFrame:
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.unique(shingle_hashes(word_hashes(_raw(x)))).tobytes() for x in batch.column("text")]
-        names = ["node", "cluster", "size", "copies", "sig"]
+        names = ["node", "cluster", "size", "words", "copies", "sig"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
 
@@ -383,15 +399,16 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> D
 
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each class, once; texts without words stay."""
-    rest = _linked(docs, threshold, block).where("NOT stays").select(F.col("row_key").alias("_other")).distinct()
-    own = [c for c in docs.columns]
-    once = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(rest, F.col("_key") == F.col("_other"), "left_anti")
-    return once.dropDuplicates(["_key"]).select(*own)
+    rest = _linked(docs, threshold, block).where("NOT stays").select("row_key").distinct()
+    key = free_name(docs, "key")
+    gone = free_name(docs.withColumn(key, F.lit(None)), "gone")
+    once = docs.withColumn(key, row_key("doc_id", "text")).join(rest.toDF(gone), F.col(key) == F.col(gone), "left_anti")
+    return once.dropDuplicates([key]).drop(key)
 
 
 def _linked(docs: DataFrame, threshold: float, block: int) -> DataFrame:
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    signed = stash(named.mapInArrow(_signed, "doc_id long, row_key long, one long, two long, n_words long, sig binary"), "signatures")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    signed = stash(named.mapInArrow(_signed, "doc_id long, row_key struct<a:long,b:long>, one long, two long, n_words long, sig binary"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
     texts = signed.where("n_words > 0").groupBy("one", "two", "n_words").agg(first, F.count("*").alias("copies"), F.first("sig").alias("sig"))
     # A text is known by its smallest doc_id; without one, or if another text has it too, by a negative number.
@@ -401,14 +418,16 @@ def _linked(docs: DataFrame, threshold: float, block: int) -> DataFrame:
 
     buckets = texts.select("node", "sig").mapInArrow(_banded, "band int, bucket long, node long")
     shared = stash(buckets.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    met = buckets.join(shared, ["band", "bucket"]).join(texts.select("node", "sig"), "node")
+    met = join_counted(buckets, shared.withColumn("n_rows", F.col("size")), ["band", "bucket"]).withColumn("words", F.lit(0)).join(texts.select("node", "sig"), "node")
     candidates = stash(_blocked(met, ["band", "bucket"], block).mapInArrow(_candidates(threshold), "a long, b long"), "candidates")
 
     clusters = components(candidates)
-    sizes = cut(clusters.groupBy("class").agg(F.count("*").alias("size")))
-    members = clusters.join(sizes, "class").select("node", F.col("class").alias("cluster"), "size").join(texts.select("node", "row_key", "copies", "sig"), "node")
+    held = clusters.join(texts.select("node", "row_key", "copies", "n_words", "sig"), "node").withColumnRenamed("class", "cluster")
+    held = stash(held, "members")
+    sizes = cut(held.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n_words").alias("words")).withColumn("n_rows", F.col("size")))
+    members = join_counted(held, sizes, ["cluster"])
     whole = named.select("row_key", "text").join(members, "row_key")
-    sets = whole.select("node", "cluster", "size", "copies", "sig", "text").mapInArrow(_with_sets, "node long, cluster long, size long, copies long, sig binary, shingles binary")
+    sets = whole.select("node", "cluster", "size", "words", "copies", "sig", "text").mapInArrow(_with_sets, "node long, cluster long, size long, words long, copies long, sig binary, shingles binary")
     found = stash(_blocked(sets, ["cluster"], block).mapInArrow(_verified(threshold), "a long, b long, links long, texts long"), "links")
 
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("texts").alias("n_texts"))
@@ -419,11 +438,15 @@ def _linked(docs: DataFrame, threshold: float, block: int) -> DataFrame:
     names = labelled.groupBy("class").agg(head)
     named_texts = labelled.join(names, "class").select("one", "two", "n_words", F.coalesce("head.first_id", "class").alias("class_id"), F.col("head.key").alias("head_key"), "copies", "links", "n_texts")
     known = stash(named_texts, "classes")
+    keys = ["one", "two", "n_words"]
+    rows = signed.select("doc_id", "row_key", *keys)
+    out = join_counted(rows.where("n_words > 0"), known.withColumn("n_rows", F.col("copies")), keys)
+    nothing = F.lit(None).cast("long")
+    bare = rows.where("n_words = 0").select(*(F.col(c) if c in rows.columns else (F.col("row_key") if c == "head_key" else nothing).alias(c) for c in out.columns))
     zero = F.lit(0).cast("long")
-    out = signed.select("doc_id", "row_key", "one", "two", "n_words").join(known, ["one", "two", "n_words"], "left")
-    return out.select(
+    return out.unionByName(bare).select(
         "row_key",
-        F.coalesce(F.col("row_key") == F.col("head_key"), F.lit(True)).alias("stays"),
+        (F.col("row_key") == F.col("head_key")).alias("stays"),
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("links", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"),
