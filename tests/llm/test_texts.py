@@ -373,19 +373,67 @@ def test_alignment_is_ordered_and_true():
 
 def test_licenses(make_docs):
     draw = random.Random(2)
-    text = license_scan.TEMPLATES
+    text = license_scan.catalogue()
     worn = [w if draw.random() > 0.1 else "thing" for w in text["mit"].split()]
     rows = [(1, text["mit"]), (2, " ".join(made(333, 4) + text["isc"].upper().split() + made(50, 5))), (3, " ".join(worn)), (4, " ".join(made(900, 6)))]
-    rows += [(5, None), (6, ""), (7, text["mit"] + "\n" + " ".join(made(400, 7)) + "\n" + text["mit"]), (8, " ".join(sorted(text["mit"].split()))), (None, text["gpl-3.0-header"]), (9, text["bsd-2-clause"]), (9, text["bsd-2-clause"])]
+    rows += [(5, None), (6, ""), (7, text["mit"] + "\n" + " ".join(made(400, 7)) + "\n" + text["mit"]), (8, " ".join(sorted(text["mit"].split()))), (None, text["gpl-3.0-header"]), (9, text["isc"]), (9, text["isc"])]
+    rows += [(10, "x " + text["mit"] + "\n" + text["mit"]), (11, text["gpl-3.0"]), (12, "a " * 50 + text["apache-2.0"] + " b" * 50)]
     got = Counter((r["doc_id"], r["license"]) for r in license_scan.scan(make_docs(rows)).collect())
-    assert {k: n for k, n in got.items()} == {(1, "mit"): 1, (2, "isc"): 1, (3, "mit"): 1, (7, "mit"): 2, (None, "gpl-3.0-header"): 1, (9, "bsd-2-clause"): 2}
+    want = {(1, "mit"): 1, (2, "isc"): 1, (3, "mit"): 1, (7, "mit"): 2, (None, "gpl-3.0-header"): 1, (9, "isc"): 2, (10, "mit"): 2, (11, "gpl-3.0"): 1, (12, "apache-2.0"): 1}
+    # The long texts end with the notice that they tell authors to use.
+    assert {k: n for k, n in got.items() if k[1] in ("mit", "isc", "gpl-3.0", "apache-2.0") or k[0] is None} == want
+    assert got[11, "gpl-3.0-header"] == 1 and got[12, "apache-2.0-header"] == 1
     assert license_scan.scan(make_docs([])).count() == 0
 
 
 def test_licenses_at_every_place(make_docs):
     """Wherever a template stands, the span found is where it was put."""
-    t = license_scan.TEMPLATES["isc"]
+    t = license_scan.catalogue()["isc"]
     n = len(license_scan.words_of(t))
     rows = [(k, " ".join(made(k, k) + [t] + made(40, k + 1))) for k in range(0, 120, 7)]
     got = {r["doc_id"]: (r["start"], r["end"], r["coverage"]) for r in license_scan.scan(make_docs(rows)).where("license = 'isc'").collect()}
     assert got == {k: (k, k + n, 1.0) for k, _ in rows}
+
+
+def common(a, b):
+    """Length of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_scan_against_brute_force():
+    """Planted passages, worn, with stray template words about them or side by side: found where they were put, and nothing else.
+
+    The brute force is the longest common subsequence of the template and a stretch of text. Where a template
+    repeats words, patience alignment may fall short of it: one in fifty passages at most.
+    """
+    planted = found = 0
+    for seed in range(200):
+        draw = random.Random(seed)
+        words = [f"t{draw.randrange(22 if seed % 2 else 60)}" for _ in range(30)]
+        template = license_scan.templates_of({"x": " ".join(words)})[0]
+        text, want = [], []
+        for _ in range(draw.randrange(4)):
+            if draw.random() < 0.6:
+                text += [f"n{draw.randrange(900)}" if draw.random() > 0.06 else draw.choice(words) for _ in range(draw.randrange(1, 90))]
+            worn = [w if draw.random() > 0.08 else f"n{draw.randrange(900)}" for w in words]
+            if common(words, worn) >= 24:
+                want.append((len(text), len(text) + 30))
+            text += worn
+        text += [f"n{draw.randrange(900)}" for _ in range(draw.randrange(40))]
+        got = license_scan.matches(text, template)
+        for first, end, n in got:
+            assert 24 <= n <= common(words, text[first:end]) and any(min(end, b) - max(first, a) >= 24 for a, b in want)
+        planted += len(want)
+        found += len(got)
+        # Left unmatched, no stretch covers the template, save for the passages that were missed.
+        masked = list(text)
+        for first, end, _ in got:
+            masked[first:end] = ["-"] * (end - first)
+        dense = [i for i in range(0, len(masked), 10) if common(words, masked[i : i + 40]) >= 24]
+        assert not dense or len(got) < len(want)
+    assert 0.98 * planted <= found <= planted

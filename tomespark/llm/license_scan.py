@@ -1,22 +1,34 @@
 """License scans by patience alignment.
 
 Words are runs of letters and digits, lower-cased. A template is laid against
-windows of a text, twice its length and one length apart, so that every passage
-of its length lies whole in a window. In a window, words that occur once in both
-are paired, the longest increasing subsequence of the pairs anchors the
-alignment, and the gaps between anchors are aligned in the same way; common
-words at the ends of a gap are matched first. Coverage is the share of the
-template's words that are aligned.
+windows of a text, two and a half times its length and one length apart, so that
+every passage of up to one and a half lengths lies whole in a window. In a
+window, words that occur once in both are paired, the longest increasing
+subsequence of the pairs anchors the alignment, and the gaps between anchors are
+aligned in the same way; common words at the ends of a gap are matched first.
+Aligned words that stand far off at either end are trimmed until the passage is
+dense. Coverage is the share of the template's words that are aligned.
+
+What a window yields is masked and the window laid again, so neighbouring
+passages are found one after the other. Where a window has enough of the words
+but yields nothing (two copies side by side leave no word that occurs once),
+narrower windows a quarter length apart follow.
 
 Windows that hold too few of the template's words to reach the coverage, in any
 order, are skipped: they could not match. Texts are independent of each other,
 so this is one pass over the table without a shuffle; whole texts are scanned,
 and the work in a window is bounded by the template.
 
+Templates are the whole texts of common licenses, in the folder ``licenses``
+beside this module, and the short notices that stand for them; both are
+parameters of ``scan``.
+
 Defined cases: a null or empty text matches nothing. A null ``doc_id`` is
-carried. A text that holds a template several times has a match for each;
-overlapping windows on one passage give one match. Repeated rows match each.
-Extra columns are not read.
+carried. Very long texts are scanned whole, in time proportional to their
+length. A text that holds a template several times has a match for each; of two
+alignments that overlap (a tie) the first stands. A passage that matches several
+templates has a match for each of them. Repeated rows match each. An empty table
+gives no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +37,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from pathlib import Path
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +48,8 @@ COVERAGE = 0.8
 #: Least share of a matched passage that the template's words make up.
 DENSITY = 0.6
 
-# License notices and texts in their published wording.
-TEMPLATES = {
+# License notices in their published wording.
+NOTICES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -44,13 +57,19 @@ TEMPLATES = {
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "all-rights-reserved": "All rights reserved.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+#: Whole license texts, a file each.
+TEXTS = Path(__file__).parent / "licenses"
+
+
+def catalogue(folder: Path = TEXTS) -> dict[str, str]:
+    """All templates by name: the notices and the texts of a folder."""
+    return NOTICES | {f.stem: f.read_text() for f in sorted(folder.glob("*.txt"))}
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -107,8 +126,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-@dataclass
-class Template:
+class Template(NamedTuple):
     name: str
     words: list[str]
     counts: Counter
@@ -118,36 +136,52 @@ def templates_of(texts: dict[str, str]) -> list[Template]:
     return [Template(k, w := words_of(v), Counter(w)) for k, v in texts.items()]
 
 
+def trimmed(pairs: list[tuple[int, int]], need: float, density: float) -> list[tuple[int, int]]:
+    """The aligned pairs without those far off at an end, or none if too few are left."""
+    first, last = 0, len(pairs) - 1
+    while last - first + 1 >= need and last - first + 1 < density * (pairs[last][1] - pairs[first][1] + 1):
+        if pairs[first + 1][1] - pairs[first][1] > pairs[last][1] - pairs[last - 1][1]:
+            first += 1
+        else:
+            last -= 1
+    return pairs[first : last + 1] if last - first + 1 >= need else []
+
+
 def matches(words: list[str], template: Template, coverage: float = COVERAGE, density: float = DENSITY) -> list[tuple[int, int, int]]:
     """(first word, end, aligned words) of each passage that covers the template."""
     m = len(template.words)
     need = coverage * m - 1e-9
     known = template.counts
-    found: list[tuple[int, int, int]] = []
     places = [i for i, w in enumerate(words) if w in known]
-    last_window = -1
-    for p in places:
-        for k in (p // m - 1, p // m):  # the two windows that hold this word
-            if k <= last_window or k < 0 and p >= m:
-                continue
-            last_window = k
-            start = max(0, k) * m
-            window = words[start : start + 2 * m]
-            held = Counter(w for w in window if w in known)
-            if sum(min(n, known[w]) for w, n in held.items()) < need:
-                continue
-            pairs = align(template.words, window)
-            if len(pairs) < need:
-                continue
-            first, end = start + pairs[0][1], start + pairs[-1][1] + 1
-            if len(pairs) < density * (end - first):
-                continue
-            if found and first < found[-1][1]:
-                if len(pairs) > found[-1][2]:
-                    found[-1] = first, end, len(pairs)
-            else:
-                found.append((first, end, len(pairs)))
-    return found
+    left: list[str | None] = list(words)  # found passages are masked
+    found: list[tuple[int, int, int]] = []
+
+    def search(width: int, step: int) -> bool:
+        """Whether some window had the words but gave no passage."""
+        missed, done = False, -1
+        for p in places:
+            for k in range(max(done + 1, (p - width) // step + 1, 0), p // step + 1):  # the windows that hold this word
+                done = k
+                start = k * step
+                if bisect_left(places, start + width) - bisect_left(places, start) < need:
+                    continue
+                while True:
+                    window = left[start : start + width]
+                    held = Counter(w for w in window if w in known)
+                    if sum(min(n, known[w]) for w, n in held.items()) < need:
+                        break
+                    pairs = trimmed(align(template.words, window), need, density)
+                    if not pairs:
+                        missed = True
+                        break
+                    first, end = start + pairs[0][1], start + pairs[-1][1] + 1
+                    left[first:end] = [None] * (end - first)
+                    found.append((first, end, len(pairs)))
+        return missed
+
+    if search(m * 5 // 2 + 1, m):
+        search(m + m // 4 + 1, m // 4 + 1)
+    return sorted(found)
 
 
 _FIELDS = [("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_aligned", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
@@ -156,7 +190,7 @@ _FIELDS = [("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.flo
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, n_aligned and the passage's word interval, a row per match."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    laid = templates_of(TEMPLATES if templates is None else templates)
+    laid = templates_of(catalogue() if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = frozenset(w for t in laid for w in t.counts)
@@ -167,7 +201,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 present = every.intersection(words)
                 for t in laid:
                     # All the template's words that the text has, wherever they are, must do.
-                    if t.words and sum(n for w, n in t.counts.items() if w in present) >= coverage * len(t.words) - 1e-9:
+                    need = coverage * len(t.words) - 1e-9
+                    if t.words and len(words) >= need and sum(map(t.counts.__getitem__, present.intersection(t.counts))) >= need:
                         rows += [(doc, t.name, n / len(t.words), n, a, b) for a, b, n in matches(words, t, coverage)]
             cols = zip(*rows) if rows else ((),) * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(cols, _FIELDS)], [k for k, _ in _FIELDS])
