@@ -68,7 +68,7 @@ def test_a_gzip_member_holds_one_record(archived):
         raw = open(name, "rb").read()
         heads = raw.count(b"\x1f\x8b\x08")
         plain = gzip.decompress(raw)
-        assert plain.startswith(b"WARC/1.1\r\nWARC-Type: ") and heads >= 1
+        assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and heads >= 1
         records = list(warc.read_archive(io.BytesIO(raw), name, True))
         assert all(len(r) == 7 for r in records)
 
@@ -84,6 +84,51 @@ def test_damage_is_an_error():
         list(warc.read_archive(io.BytesIO(made[:-4]), "x", True))
 
 
+def test_records_are_whole():
+    text = gzip.decompress(warc.record(1, "u", b"payload", None, "2026-01-02T03:04:05Z")).decode()
+    for field in ("WARC/1.1", "WARC-Type: response", "WARC-Record-ID: <urn:page:1>", "WARC-Date: 2026-01-02T03:04:05Z", "WARC-Target-URI: u", "Content-Type: application/http", "Content-Length: "):
+        assert field in text
+    head = gzip.decompress(warc.info("a.warc.gz", "2026-01-02T03:04:05Z")).decode()
+    assert "WARC-Type: warcinfo" in head and "WARC-Filename: a.warc.gz" in head
+
+
+def test_archives_of_other_writers():
+    """No digests, other digests, other kinds of records, no HTTP message, chunks of a transfer, percent signs in addresses."""
+
+    def made(lines, body):
+        return gzip.compress("\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nbody"
+    hexed = hashlib.sha256(b"body").hexdigest()
+    raw = made(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n")
+    raw += made(["WARC-Type: request", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n")
+    raw += made(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Target-URI: <http://a/%25?q=%0A>", "Content-Type: application/http; msgtype=response"], http)
+    raw += made(["WARC-Type: response", "WARC-Payload-Digest: sha256:" + hexed, "WARC-Block-Digest: md5:" + hashlib.md5(http).hexdigest(), "Content-Type: application/http"], http)
+    raw += made(["WARC-Type: resource", "Content-Type: text/plain", "WARC-Payload-Digest: blake3:xyz"], b"plain text\r\n\r\nmore")
+    raw += made(["WARC-Type: response", "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "A" * 32], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n")
+    raw += made(["WARC-Type: revisit", "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + hashlib.sha1(b"body").hexdigest()], b"HTTP/1.1 304 Not Modified\r\n\r\n")
+    got = list(warc.read_archive(io.BytesIO(raw), "x", True))
+    assert [(r[2], r[6]) for r in got] == [("response", b"body"), ("response", b"body"), ("resource", b"plain text\r\n\r\nmore"), ("response", b"4\r\nbody\r\n0\r\n\r\n"), ("revisit", None)]
+    assert got[0][1] == "http://a/%25?q=%0A" and got[0][0] is None and got[4][5] == hashlib.sha1(b"body").hexdigest()
+    for bad in (made(["WARC-Type: response", "WARC-Payload-Digest: sha256:" + "0" * 64, "Content-Type: application/http"], http), gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"), gzip.compress(b"WARC/1.0\r\n" + b"x" * (3 << 20))):
+        with pytest.raises(ValueError, match="x: .* at byte 0"):
+            list(warc.read_archive(io.BytesIO(bad), "x", True))
+
+
+def test_jobs_in_one_folder_and_overwriting(spark):
+    folder = warc.archive_folder(spark)
+    warc.register(spark)
+    frame = lambda ids: spark.createDataFrame([(k, "u", bytearray(b"x"), None) for k in ids], "page_id long, url string, payload binary, refers_to long")
+    frame(range(3)).write.format("warc").mode("append").save(folder)
+    path = folder.removeprefix("file://")
+    os.makedirs(f"{path}/_waiting-other")  # another job's
+    frame(range(3, 6)).write.format("warc").mode("append").save(folder)
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, folder).collect()) == list(range(6))
+    assert [x for x in os.listdir(path) if x.startswith("_waiting")] == ["_waiting-other"]
+    frame([9]).write.format("warc").mode("overwrite").save(folder)
+    assert [r["page_id"] for r in warc.read_archives(spark, folder).collect()] == [9]
+
+
 def test_digests_are_stated():
     text = gzip.decompress(warc.record(9, "u", b"body", None))
     assert b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"body").digest()) in text

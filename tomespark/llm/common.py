@@ -44,11 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """A larger frame, written once as compressed Parquet in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/tomespark-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what ``stash`` wrote for this application. Results that were not written yet are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(*columns: str) -> F.Column:
     """128 bits over the given columns, as a struct of two hashes."""
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("again"), *reversed(columns)).alias("b"))
