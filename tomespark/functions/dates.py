@@ -32,3 +32,17 @@ def published(item: Column, updated: Column, now: datetime) -> Column:
     """An item's time: published, else updated, else now; more than a day ahead of now is now."""
     t = F.coalesce(item, updated, F.lit(now))
     return F.when(t > F.lit(now) + F.expr("INTERVAL 24 HOURS"), F.lit(now)).otherwise(t)
+
+
+def ago(then: Column, now: Column) -> Column:
+    """How long ago something was, in words."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    part = lambda n, unit: F.concat(F.floor(seconds / n).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, part(60, " min ago")).when(seconds < 48 * 3600, part(3600, " h ago")).otherwise(part(86400, " days ago"))
+
+
+def untouched(days: Column) -> Column:
+    """For how many days something was left alone, in words."""
+    from tomespark.functions.text import number_word
+
+    return F.when(days == 0, "since today").when(days == 1, "one day").otherwise(F.concat(number_word(days), F.lit(" days")))

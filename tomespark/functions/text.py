@@ -143,3 +143,55 @@ def file_name(title: Column, longest: int = 80) -> Column:
 def same_word(a: Column, b: Column) -> Column:
     """Whether a scan may have read one word as the other: four letters alike and nearly one length."""
     return (F.substring(fold(a), 1, 4) == F.substring(fold(b), 1, 4)) & (F.abs(F.char_length(a) - F.char_length(b)) <= 1)
+
+
+# Numbers that are written out.
+NUMBER_WORDS = ["no", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+
+
+def number_word(n: Column) -> Column:
+    """A small number as a word, others in digits."""
+    known = F.array(*map(F.lit, NUMBER_WORDS))
+    return F.coalesce(F.get(known, F.when(n.between(0, len(NUMBER_WORDS) - 1), n).cast("int")), n.cast("string"))
+
+
+# Letters of file names and what they are compared as.
+NAME_FROM = "_-.ışğüöçáàâäãåéèêëíìîïóòôõúùûñýÿ"
+NAME_TO = "   isguocaaaaaaeeeeiiiioooouuunyy"
+
+
+def name_fold(s: Column) -> Column:
+    """A file name for comparison: lower case without marks, separators as spaces, ligatures spelt out."""
+    plain = F.translate(F.lower(F.translate(s, "İ", "i")), NAME_FROM, NAME_TO)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "æ", "ae"), "œ", "oe"), "ß", "ss")
+
+
+def is_plain_word(w: Column) -> Column:
+    """A headword of 3 to 14 small ASCII letters."""
+    return w.rlike("^[a-z]{3,14}$")
+
+
+def word_at(s: Column) -> Column:
+    """The first word of a text without what is no letter, hyphen or apostrophe around it."""
+    bare = F.regexp_replace(F.regexp_replace(s, r"^[^\p{L}'-]+", ""), r"[^\p{L}'-]+$", "")
+    return F.regexp_extract(bare, r"(?U)^(\S*)", 1)
+
+
+def text_length(s: Column) -> Column:
+    """Bytes of a text without its white space."""
+    return F.octet_length(F.regexp_replace(s, SPACES, ""))
+
+
+def capped(s: Column, most: int = 200 * 1024) -> Column:
+    """A text cut to at most so many bytes, at the boundary of a character."""
+    raw = F.encode(s, "UTF-8")
+    # A byte 10xxxxxx continues a character: step back over up to three of them.
+    continues = lambda at: F.substring(F.hex(F.substring(raw, at, F.lit(1))), 1, 1).isin("8", "9", "A", "B")
+    end = F.lit(most)
+    cut = F.when(~continues(end + 1), end).when(~continues(end), end - 1).when(~continues(end - 1), end - 2).otherwise(end - 3)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
+
+
+def issue_number(base: Column) -> Column:
+    """The last number in the name of an issue; 0 where there is none."""
+    return F.coalesce(F.element_at(F.regexp_extract_all(base, F.lit(r"\d+(?:\.\d+)?"), 0), -1).cast("double"), F.lit(0.0))

@@ -100,6 +100,12 @@ def search(docs: DataFrame, index: DataFrame, q: str, kind: str | None = None, l
     return out.limit(limit) if limit else out
 
 
+def among_read(hits: DataFrame, reads: DataFrame, but: str, before, limit: int = 15) -> DataFrame:
+    """Search hits that are in the reading history (target, last) and were last opened before a time, best first; one target is left out."""
+    earlier = reads.where((F.col("target") != but) & (F.col("last") < F.lit(before)))
+    return hits.join(earlier, "target").orderBy(F.desc("score"), "target").limit(limit)
+
+
 def snippet(text: Column, term: str, before: int = 60, length: int = 160) -> Column:
     """About ``length`` characters around the first word that begins with ``term``, which is marked with asterisks."""
     plain = collapse_space(text)

@@ -7,7 +7,7 @@ feed items, ``documents`` are indexed texts, ``pages`` are web pages and
 
 from __future__ import annotations
 
-from tomespark.plans import pages, reading, tables, talks, texts
+from tomespark.plans import pages, reading, tables, talks, texts, upkeep
 
-QUERIES = {**reading.QUERIES, **texts.QUERIES, **talks.QUERIES, **pages.QUERIES, **tables.QUERIES}
-ORACLE_SQL = {**reading.SQL, **texts.SQL, **talks.SQL, **pages.SQL, **tables.SQL}
+QUERIES = {**reading.QUERIES, **texts.QUERIES, **talks.QUERIES, **pages.QUERIES, **tables.QUERIES, **upkeep.QUERIES}
+ORACLE_SQL = {**reading.SQL, **texts.SQL, **talks.SQL, **pages.SQL, **tables.SQL, **upkeep.SQL}
