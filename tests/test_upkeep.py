@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomespark.functions import dates, text, urls
-from tomespark.operators import reports, search, upkeep
+from tomespark.operators import feeds, reports, search, upkeep
+from tomespark.sources import feeds as feed_source
 
 
 def one(spark, column, *values):
@@ -85,3 +86,21 @@ def test_hits_among_what_was_read(spark):
     reads = spark.createDataFrame([("a", 5), ("b", 50), ("c", 1), ("x", 1)], "target string, last long")
     assert [r["target"] for r in search.among_read(hits, reads, "none", 10).collect()] == ["a", "c"]
     assert [r["target"] for r in search.among_read(hits, reads, "a", 10).collect()] == ["c"]
+
+
+def test_folders_of_any_depth(spark):
+    deep = "".join(f'<outline text="F{k}">' for k in range(12)) + "<outline text='A &amp; B' xmlUrl='http://a?x=1&amp;y=2'/>" + "</outline>" * 12
+    body = f'<opml><body><!-- <outline text="no" xmlUrl="http://no"/> -->{deep}<outline title="T" xmlUrl="http://t"></outline><outline text="Own"><outline text="C" xmlUrl="http://c"><outline text="D" xmlUrl="http://d"/></outline></outline></body></opml>'
+    got = {(r["title"], r["url"], r["shelf"]) for r in feed_source.opml_feeds(spark.createDataFrame([("l", body), ("n", None), ("e", "<opml/>")], "list string, body string")).collect()}
+    assert got == {("A & B", "http://a?x=1&y=2", "F11"), ("T", "http://t", ""), ("C", "http://c", "Own"), ("D", "http://d", "C")}
+
+
+def test_the_latest_of_equal_guids_counts(spark):
+    rows = spark.createDataFrame([("f", "g", 1, 10, "old"), ("f", "g", 2, 20, "new"), ("f", "h", 3, 5, "x"), ("f", "h", 4, 5, "y")], "feed_id string, guid string, item_id long, published long, title string")
+    assert sorted(r["title"] for r in feeds.latest(rows).collect()) == ["new", "y"]
+
+
+def test_numbers_of_books(spark):
+    got = one(spark, lambda c: urls.book_number(c, F.lit(7)), "gutenberg:345", "libgen:ab", "se:author/A-Book", "site:my-cat.alog:http://x", "disk", "")
+    assert got == ["BK·GUT·345", "BK·LG·ab", "BK·SE·a-book", "BK·MYCATALO·7", "BK·LOC·7", "BK·LOC·7"]
+    assert one(spark, urls.call_number, "https://www.example.org/a/My%20Page", "https://example.org/A+b")[0] == "WEB·EXAMPLE·my page"

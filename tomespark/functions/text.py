@@ -194,4 +194,4 @@ def capped(s: Column, most: int = 200 * 1024) -> Column:
 
 def issue_number(base: Column) -> Column:
     """The last number in the name of an issue; 0 where there is none."""
-    return F.coalesce(F.element_at(F.regexp_extract_all(base, F.lit(r"\d+(?:\.\d+)?"), 0), -1).cast("double"), F.lit(0.0))
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(base, F.lit(r"\d+(?:\.\d+)?"), 0), F.lit(-1)).cast("double"), F.lit(0.0))

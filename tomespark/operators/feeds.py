@@ -40,6 +40,12 @@ def newest(items: DataFrame, k: int) -> DataFrame:
     return items.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def latest(batch: DataFrame) -> DataFrame:
+    """One item of each feed and guid: that published last, of equal ones that with the largest item_id."""
+    order = Window.partitionBy("feed_id", "guid").orderBy(F.desc("published"), F.desc("item_id"))
+    return batch.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def pruned(items: DataFrame, k: int, month_ago) -> DataFrame:
     """Items that stay: the newest k of each feed, starred ones, and unread ones added within the month."""
     keep = newest(items.select("item_id", "feed_id", "published"), k).select("item_id")

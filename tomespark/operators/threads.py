@@ -30,16 +30,18 @@ def threads(spark, posts: DataFrame, group: str) -> DataFrame:
     posts, and a path is at most as long as a thread is deep.
     """
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the walk has a row a post, however many those are
-    parents(posts, group).createOrReplaceTempView("_thread_parents")
+    found = parents(posts, group)
+    if spark.sparkContext.getCheckpointDir():  # every level reads them
+        found = found.checkpoint()
     return spark.sql(f"""
         WITH RECURSIVE walk(g, num, root, depth, path) MAX RECURSION LEVEL 10000 AS (
-          SELECT `{group}`, num, num, 0, array(num) FROM _thread_parents WHERE parent IS NULL
+          SELECT `{group}`, num, num, 0, array(num) FROM {{found}} WHERE parent IS NULL
           UNION ALL
           SELECT p.`{group}`, p.num, w.root, w.depth + 1, array_append(w.path, p.num)
-          FROM walk w JOIN _thread_parents p ON p.`{group}` = w.g AND p.parent = w.num
+          FROM walk w JOIN {{found}} p ON p.`{group}` = w.g AND p.parent = w.num
         )
         SELECT g AS `{group}`, num, root, least(depth, {MAX_DEPTH}) AS depth, path FROM walk
-    """)
+    """, found=found)
 
 
 def activity(walked: DataFrame, posts: DataFrame, group: str) -> DataFrame:

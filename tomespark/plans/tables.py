@@ -108,12 +108,12 @@ def desk_facts(spark, sf):
 
 @query("""SELECT n_nationkey, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) || ' of the ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS title FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'""")
 def titles_in_case(spark, sf):
-    both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region: a row a continent
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     plain = both.where("n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'")
     return plain.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
 
 
 @query()
 def every_title_in_case(spark, sf):
-    both = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # region: a row a continent
+    both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))

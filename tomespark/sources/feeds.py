@@ -47,24 +47,36 @@ def feed_items(feeds: DataFrame, now: datetime) -> DataFrame:
     return every.select("feed_id", key.alias("guid"), "title", "link", dates.published(F.col("_p"), F.col("_u"), now).alias("published"), "summary", "content").where("guid <> ''")
 
 
-_OUTLINE = "struct<_text: string, _title: string, _xmlUrl: string, _htmlUrl: string{}>"
-_LEVELS = 5
+_OPML_TAGS = r"""(?si)<outline\b(?:[^>"']|"[^"]*"|'[^']*')*>|</outline\s*>"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, without character references; null where it has none."""
+    found = F.regexp_extract(tag, rf"""(?si)\s{name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    value = F.substring(found, 2, F.char_length(found) - 2)
+    for mark, name_of in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"), ("'", "&#39;"), ("&", "&amp;")):
+        value = F.replace(value, F.lit(name_of), F.lit(mark))
+    return F.when(found != "", value)
 
 
 def opml_feeds(lists: DataFrame) -> DataFrame:
-    """(list, title, url, site, shelf) of OPML texts (list, body): the innermost folder names the shelf. Folders nest five deep at most."""
-    schema = _OUTLINE.format("")
-    for _ in range(_LEVELS - 1):
-        schema = _OUTLINE.format(f", outline: array<{schema}>")
-    level = lists.select("list", F.explode(F.from_xml("body", f"body struct<outline: array<{schema}>>", _XML)["body"]["outline"]).alias("o"), F.lit("").alias("shelf"))
-    found = None
-    for depth in range(_LEVELS):
-        name = F.coalesce(F.col("o._title"), F.col("o._text"), F.lit(""))
-        here = level.where("o._xmlUrl IS NOT NULL").select("list", name.alias("title"), F.col("o._xmlUrl").alias("url"), F.coalesce("o._htmlUrl", F.lit("")).alias("site"), "shelf")
-        found = here if found is None else found.unionByName(here)
-        if depth + 1 < _LEVELS:
-            level = level.select("list", name.alias("shelf"), F.explode("o.outline").alias("o"))
-    return found
+    """(list, title, url, site, shelf) of OPML texts (list, body): the innermost folder names the shelf, however deep folders nest."""
+    tags = F.regexp_extract_all(F.regexp_replace("body", r"(?s)<!--.*?-->", ""), F.lit(_OPML_TAGS), 0)
+    # The folders open at each tag: an opening tag adds its name, a closing one takes the last away.
+    name = lambda t: F.coalesce(_attribute(t, "title"), _attribute(t, "text"), F.lit(""))
+    none = F.array().cast("array<string>")
+    row = lambda t, open_: F.struct(name(t).alias("title"), _attribute(t, "xmlUrl").alias("url"), F.coalesce(_attribute(t, "htmlUrl"), F.lit("")).alias("site"), F.coalesce(F.try_element_at(open_, F.lit(-1)), F.lit("")).alias("shelf"))
+    start = F.struct(none.alias("open"), F.array().cast("array<struct<title:string,url:string,site:string,shelf:string>>").alias("rows"))
+
+    def step(held: Column, t: Column) -> Column:
+        closing, alone = t.startswith("</"), t.rlike(r"/\s*>$")
+        around = held["open"]
+        opened = F.when(closing, F.slice(around, F.lit(1), F.greatest(F.size(around) - 1, F.lit(0)))).when(alone, around).otherwise(F.array_append(around, name(t)))
+        rows = F.when(closing | _attribute(t, "xmlUrl").isNull(), held["rows"]).otherwise(F.array_append(held["rows"], row(t, around)))
+        return F.struct(opened.alias("open"), rows.alias("rows"))
+
+    found = F.aggregate(tags, start, step, lambda held: held["rows"])
+    return lists.select("list", F.explode(found).alias("r")).select("list", "r.title", "r.url", "r.site", "r.shelf")
 
 
 def to_opml(feeds: DataFrame, state: DataFrame) -> DataFrame:

@@ -18,9 +18,11 @@ def as_visits(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
-    """The visit log. ``pos`` orders lines as they stand in the files."""
+    """The visit log. ``pos`` orders lines by the age of their file, then by its name and as they stand in it."""
     lines = spark.read.schema(VISIT_LINE).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return as_visits(lines.withColumn("pos", F.monotonically_increasing_id()), "pos")
+    # Within a block the ids rise with the lines; across blocks and files they follow how Spark packed those.
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return as_visits(lines.withColumn("pos", place), "pos")
 
 
 def append_visits(visits: DataFrame, path: str) -> None:

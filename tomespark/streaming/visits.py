@@ -42,7 +42,7 @@ def upkeep(batches: DataFrame, folder: str, checkpoint: str, keep: int = 200, ne
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = feeds.newest(batch.dropDuplicates(["feed_id", "guid"]), newest).drop("rank").withColumn("seq", F.lit(number))
+        fresh = feeds.newest(feeds.latest(batch), newest).drop("rank").withColumn("seq", F.lit(number))
         if number == 0:
             items = fresh.drop("seq")
         else:
