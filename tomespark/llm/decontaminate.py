@@ -45,7 +45,7 @@ IDENTITY = 0.8
 SHORTEST = 8
 BROADCAST_SEEDS = 1_000_000
 SALTS = 16
-CHUNK = 256
+CHUNK = 64
 SPAN = 8192
 
 
