@@ -59,39 +59,53 @@ def parse_query(q: str) -> list[Term]:
     return out
 
 
-def _hits(index: DataFrame, number: int, term: Term) -> DataFrame:
-    """(target, col, q, n): how often a column of a document matches a term."""
-    first = F.col("term").startswith(term.words[0]) if term.prefix else F.col("term") == term.words[0]
-    found = index.where(first).select("target", "col", "pos")
+def _is(term: Term) -> Column:
+    """Whether a posting is the first word of a term."""
+    return F.col("term").startswith(term.words[0]) if term.prefix else F.col("term") == term.words[0]
+
+
+def _hits(index: DataFrame, term: Term) -> DataFrame:
+    """(target, col, n): how often a column of a document holds a phrase."""
+    found = index.where(_is(term)).select("target", "col", "pos")
     for k, word in enumerate(term.words[1:], 1):
         after = index.where(F.col("term") == word).select("target", "col", (F.col("pos") - k).alias("pos"))
         found = found.join(after, ["target", "col", "pos"], "left_semi")
-    return found.groupBy("target", "col").agg(F.count("*").alias("n")).withColumn("q", F.lit(number))
+    return found.groupBy("target", "col").agg(F.count("*").alias("n"))
+
 
+def counted(index: DataFrame, terms: list[Term]) -> DataFrame:
+    """(target, len, tf0, tf1, ...): length and weighted count of each term, of every document, in one aggregation of the index.
 
-def matches(index: DataFrame, terms: list[Term]) -> DataFrame:
-    """(target, q, tf): documents that match every term, with the weighted count of each."""
-    hits = _hits(index, 0, terms[0])
-    for k, term in enumerate(terms[1:], 1):
-        hits = hits.unionByName(_hits(index, k, term))
+    Only phrases are looked up apart, as their words must follow each other.
+    """
     weight = F.when(F.col("col") == 0, TITLE_WEIGHT).otherwise(BODY_WEIGHT)
-    return hits.groupBy("target", "q").agg(F.sum(F.col("n") * weight).alias("tf"))
+    single = [F.coalesce(F.sum(F.when(_is(t), weight)), F.lit(0.0)).alias(f"tf{k}") for k, t in enumerate(terms) if len(t.words) == 1]
+    out = index.groupBy("target").agg(F.count("*").alias("len"), *single)
+    for k, t in enumerate(terms):
+        if len(t.words) > 1:
+            found = _hits(index, t).groupBy("target").agg(F.sum(F.col("n") * weight).alias(f"tf{k}"))
+            out = out.join(found, "target", "left").na.fill(0.0, [f"tf{k}"])
+    return out
 
 
 def search(docs: DataFrame, index: DataFrame, q: str, kind: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """(target, kind, title, score), best first. The scan of the index reads only the query's terms."""
+    """(target, kind, title, score), best first."""
     terms = parse_query(q)
     if not terms:
         return docs.select("target", "kind", "title", F.lit(0.0).alias("score")).limit(0)
-    found = matches(index, terms)
-    df = found.groupBy("q").agg(F.count("*").alias("df"))  # one row a term
-    size = index.groupBy("target").agg(F.count("*").alias("len"))
-    corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    scored = found.join(size, "target").join(F.broadcast(df), "q").crossJoin(F.broadcast(corpus))  # both sides have a row a term at most
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    ranked = scored.groupBy("target").agg(F.sum(part).alias("score"), F.count("*").alias("terms")).where(F.col("terms") == len(terms))
-    out = ranked.join(docs.select("target", "kind", "title", "updated"), "target")
+    every = counted(index, terms)
+    frequencies = [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]
+    corpus = every.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *frequencies)
+    held = every
+    for k in range(len(terms)):
+        held = held.where(F.col(f"tf{k}") > 0)
+    scored = held.crossJoin(F.broadcast(corpus))  # one row
+    score = F.lit(0.0)
+    for k in range(len(terms)):
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    out = scored.select("target", score.alias("score")).join(docs.select("target", "kind", "title", "updated"), "target")
     if kind:
         out = out.where(F.col("kind").isin(KIND_GROUPS[kind]))
     out = out.orderBy(F.desc("score"), F.desc("updated"), "target").select("target", "kind", "title", "score")
