@@ -395,6 +395,15 @@ def test_licenses_at_every_place(make_docs):
     assert got == {k: (k, k + n, 1.0) for k, _ in rows}
 
 
+def test_no_window_cuts_a_passage():
+    """Wherever a notice stands, all of it is found."""
+    for name in ("mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "isc"):
+        template = license_scan.templates_of({name: license_scan.catalogue()[name]})[0]
+        n = len(template.words)
+        for place in range(0, 4 * n, 1 if n < 20 else 13):
+            assert license_scan.matches(["other"] * place + template.words, template) == [(place, place + n, n)]
+
+
 def common(a, b):
     """Length of a longest common subsequence."""
     row = [0] * (len(b) + 1)

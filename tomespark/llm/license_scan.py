@@ -9,7 +9,8 @@ aligned in the same way; common words at the ends of a gap are matched first.
 Aligned words that stand far off at either end are trimmed until the passage is
 dense. Coverage is the share of the template's words that are aligned.
 
-What a window yields is masked and the window laid again, so neighbouring
+What a window yields is aligned again with the words around it, as the window may
+have cut it; then it is masked and the window laid again, so neighbouring
 passages are found one after the other. Where a window has enough of the words
 but yields nothing (two copies side by side leave no word that occurs once),
 narrower windows a quarter length apart follow.
@@ -175,6 +176,12 @@ def matches(words: list[str], template: Template, coverage: float = COVERAGE, de
                         missed = True
                         break
                     first, end = start + pairs[0][1], start + pairs[-1][1] + 1
+                    # The window may have cut the passage: look again for what it lacks, around it.
+                    more = 2 * (m - len(pairs))
+                    begin = max(0, first - more)
+                    wider = trimmed(align(template.words, left[begin : end + more]), need, density) if more else []
+                    if len(wider) > len(pairs):
+                        pairs, first, end = wider, begin + wider[0][1], begin + wider[-1][1] + 1
                     left[first:end] = [None] * (end - first)
                     found.append((first, end, len(pairs)))
         return missed
