@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
-from tomespark.operators import quality, search
+from tomespark.operators import index, quality, search
 from tomespark.plans.inputs import TEXTS, table, texts
+from tomespark.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _FOLD = f"translate(lower(translate(coalesce({{0}}, ''), 'İ', 'i')), '{fn.FOLD_FROM}', '{fn.FOLD_TO.replace(chr(39), chr(39) * 2)}')"
 _TOKENS = "list_filter(string_split_regex({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-_POSTINGS = f"""{TEXTS}, cols AS (
+_COLUMNS = f"""cols AS (
   SELECT target, 0 AS col, {_TOKENS.format(_FOLD.format('title'))} AS ts FROM texts
   UNION ALL SELECT target, 1, {_TOKENS.format(_FOLD.format('text'))} FROM texts
 ), postings AS (SELECT target, col, p - 1 AS pos, ts[p] AS term FROM cols, unnest(range(1, len(ts) + 1)) AS u(p))"""
+_POSTINGS = f"{TEXTS}, {_COLUMNS}"
+# The documents after some were put again and some were deleted.
+_CHANGED = f"""{TEXTS.replace("texts AS", "source AS", 1)}, texts AS (
+  SELECT target, kind, title, CASE WHEN updated % 10 = 0 THEN title || ' then an ereau ' || kind ELSE text END AS text, updated FROM source WHERE updated % 7 <> 3
+), {_COLUMNS}"""
 
 
 def query(sql: str | None = None):
@@ -31,15 +37,42 @@ def query(sql: str | None = None):
     return add
 
 
+def _index(spark, sf: str, name: str, make) -> index.Index:
+    """The index of ``documents`` in the shared folder, made where there is none of the files as they are."""
+    d = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    files = d.agg(F.coalesce(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")), F.lit(0))).first()[0]
+    found = index.Index(spark, f"{shared.folder(spark)}/index-{name}-{index.LAYOUT}-{files}")
+    if not found.complete():
+        make(found)
+        found.done()
+    return found
+
+
+def stored_index(spark, sf: str) -> index.Index:
+    return _index(spark, sf, "texts", lambda i: i.build(texts(spark, sf)))
+
+
+def changed_index(spark, sf: str) -> index.Index:
+    """An index of which every tenth document was put again with another text, and every seventh deleted, in deltas."""
+
+    def make(i: index.Index) -> None:
+        docs = texts(spark, sf)
+        i.build(docs)
+        i.put(docs.where(F.col("updated") % 10 == 0).withColumn("text", F.concat("title", F.lit(" then an ereau "), "kind")))
+        i.delete(docs.where(F.col("updated") % 7 == 3))
+
+    return _index(spark, sf, "changed", make)
+
+
 @query(f"WITH {_POSTINGS} SELECT term, count(DISTINCT target) AS df FROM postings GROUP BY term")
 def document_frequency(spark, sf):
     return search.document_frequency(search.postings(texts(spark, sf)))
 
 
-def _search_sql(terms: list[str], extra: str = "") -> str:
+def _search_sql(terms: list[str], extra: str = "", postings: str = _POSTINGS) -> str:
     """The ranking in SQL; each term is a SQL condition on postings, or a phrase of two words."""
     hits = " UNION ALL ".join(f"SELECT target, {k} AS q, sum(CASE WHEN col = 0 THEN 5.0 ELSE 1.0 END) AS tf FROM postings p WHERE {t} GROUP BY target" for k, t in enumerate(terms))
-    return f"""WITH {_POSTINGS}, hits AS ({hits}), df AS (SELECT q, count(*) AS df FROM hits GROUP BY q),
+    return f"""WITH {postings}, hits AS ({hits}), df AS (SELECT q, count(*) AS df FROM hits GROUP BY q),
 size AS (SELECT target, count(*) AS len FROM postings GROUP BY target), corpus AS (SELECT count(*) AS n, avg(len) AS mean FROM size),
 ranked AS (SELECT target, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS terms
  FROM hits JOIN df USING (q) JOIN size USING (target), corpus GROUP BY target)
@@ -48,20 +81,42 @@ SELECT target, kind, title, round(score, 6) AS score FROM ranked JOIN texts USIN
 
 @query(_search_sql(["term LIKE 'then%'", "term = 'an'"]))
 def search_words(spark, sf):
-    docs = texts(spark, sf)
-    return search.search(docs, search.postings(docs), "Then an").withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf).search("Then an").withColumn("score", F.round("score", 6))
 
 
 @query(_search_sql(["term = 'and' AND EXISTS (SELECT 1 FROM postings n WHERE n.target = p.target AND n.col = p.col AND n.pos = p.pos + 1 AND n.term = 'attion')"]))
 def search_phrase(spark, sf):
-    docs = texts(spark, sf)
-    return search.search(docs, search.postings(docs), '"and attion"').withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf).search('"and attion"').withColumn("score", F.round("score", 6))
 
 
 @query(_search_sql(["term LIKE 'ereau%'"], "ORDER BY score DESC, updated DESC, target LIMIT 30"))
 def search_page(spark, sf):
-    docs = texts(spark, sf)
-    return search.search(docs, search.postings(docs), "éreau", limit=30).withColumn("score", F.round("score", 6))
+    return stored_index(spark, sf).search("éreau", limit=30).withColumn("score", F.round("score", 6))
+
+
+@query(_search_sql(["term LIKE 'then%'", "term = 'an' AND EXISTS (SELECT 1 FROM postings n WHERE n.target = p.target AND n.col = p.col AND n.pos = p.pos + 1 AND n.term = 'ereau')"], postings=_CHANGED))
+def search_changed(spark, sf):
+    """A word and a phrase, in an index with deltas."""
+    return changed_index(spark, sf).search('then "an ereau"').withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_CHANGED} SELECT term, count(DISTINCT target) AS df FROM postings WHERE term IN ('then', 'ereau', 'an', 'attion') GROUP BY term")
+def changed_frequencies(spark, sf):
+    """Frequencies of asked words, of which only the partitions are read."""
+    return changed_index(spark, sf).document_frequency(["then", "ereau", "an", "attion", "nowhere"])
+
+
+@query(f"WITH {_CHANGED} SELECT left(target, 1) AS prefix, count(*) AS documents FROM texts GROUP BY 1")
+def changed_counts(spark, sf):
+    return changed_index(spark, sf).documents().groupBy(F.left("target", F.lit(1)).alias("prefix")).agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {_CHANGED} SELECT target, count(*) AS n, count(DISTINCT term) AS terms, sum(pos) AS places FROM postings GROUP BY target")
+def changed_postings(spark, sf):
+    """Every posting of an index with deltas, by document."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, p: s + p)
+    n = F.size("title") + F.size("body")
+    return changed_index(spark, sf).postings().groupBy("target").agg(F.sum(n).alias("n"), F.count_distinct("term").alias("terms"), F.sum(total(F.col("title")) + total(F.col("body"))).alias("places"))
 
 
 @query(f"""WITH {_POSTINGS} SELECT target, count(*) AS n, count(DISTINCT term) AS terms FROM (
