@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions.text import collapse_space, sentence_end
+from tomespark.operators.repair import replaced
 
 LONG_PARAGRAPH = 30
 VERSE_LINE, VERSE_LINES, STANZA = 10.0, 4, 3
@@ -157,22 +158,24 @@ def cleanliness(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return counts.withColumn("clean", F.col("known") / (F.col("known") + F.col("unknown")))
 
 
-# Small words of English, for the test of readable text.
-SMALL_WORDS = "the of and to a in is it that was for on are as with his they i at be this have from or had by but not what all were we when there an which she do how if will up other about out then them these so her him into has more no my than been who its now did".split()
+# The commonest words of English.
+SMALL_WORDS = """the of and to a in is that it was he for on are as with his they i at be this from or
+had by not but what all were when we there can an your which their said if do will each about how up out them then
+she many some so these would other into has her two like him see time could no make than first been its who now
+people my made over did down only way find use may water long little very after""".split()
 
 
 def readable(text: Column) -> Column:
-    """Whether a text reads as printed English: enough words of plain shape, small words, letters, few digits."""
+    """Whether a text reads as printed English: enough words of plain shape, small words, few digits, and no more of the letter f than print without a long s has."""
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")))
-    plain = F.filter(bare, lambda w: w.rlike(r"^\p{L}{1,14}$"))
-    n = F.size(words)
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    digits = F.regexp_count(text, F.lit(r"\d"))
-    signs = F.regexp_count(text, F.lit(r"\S"))
-    small = F.size(F.filter(bare, lambda w: w.isin(*SMALL_WORDS)))
-    mean = F.char_length(F.array_join(plain, "")) / F.size(plain)
-    return (n >= 40) & (F.size(plain) >= 0.8 * n) & mean.between(3, 9) & (letters >= 0.9 * (signs - F.regexp_count(text, F.lit(r"[.,;:!?'\"()-]")))) & (small >= 0.33 * n) & (digits <= 0.02 * signs)
+    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
+    n, joined = F.size(words), F.array_join(bare, "")
+    plain = F.size(F.filter(bare, lambda w: w.rlike(r"^[\p{L}'’-]+$") & F.regexp_count(w, F.lit(r"\p{L}")).between(1, 14)))
+    small = F.size(F.filter(bare, lambda w: F.lower(w).isin(*SMALL_WORDS)))
+    letters, f, digits = (F.regexp_count(joined, F.lit(x)) for x in (r"\p{L}", "[fF]", r"\p{Nd}"))
+    total = F.char_length(joined)
+    shaped = (plain >= 0.8 * n) & (letters >= 3 * n) & (letters <= 9 * n) & (letters * 10 >= total * 9)
+    return (n >= 40) & shaped & (small >= 0.33 * n) & (f <= 0.043 * F.greatest(letters, F.lit(1))) & (digits <= 0.02 * F.greatest(total, F.lit(1)))
 
 
 # Words that sell.
@@ -214,19 +217,40 @@ def without_running_heads(pages: DataFrame, share: float = 0.6, least_pages: int
     return marked.select("book", "page", F.slice("lines", first, F.greatest(last - first + 1, F.lit(0))).alias("lines"))
 
 
-# Cyrillic letters that scans put for Latin ones, and printers' ligatures.
-LOOKALIKE_FROM, LOOKALIKE_TO = "АВЕКМНОРСТХаеорсху", "ABEKMHOPCTXaeopcxy"
-LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ſ": "s"}
+# Cyrillic letters that scans put for Latin ones, in the order of the pairs.
+LOOKALIKE_FROM, LOOKALIKE_TO = "АВСЕНІКМОРТХУасеіорхукптвнГг", "ABCEHIKMOPTXYaceiopxyknmbhIr"
+# Ligatures, doubled quotes and hyphens of other kinds.
+MARK_PAIRS = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "‘‘": "“", "’’": "”", "``": "“", "''": '"'}
+# Single marks; those without a counterpart go.
+MARK_FROM, MARK_TO = "|¬\u00ad_~^", " --"
+# Contractions of I as a typewriter face is read.
+CONTRACTIONS = {"Pll|TIl|Tll": "I'll", "Pd": "I'd", "Pm": "I'm", "Pve": "I've"}
+# Verbs before which a lone T is an I.
+I_VERBS = "never was am have had will would think know can could do did shall must should see want guess suppose mean say said hope wish thought".split()
+# Small words that a scan may give a capital.
+CAPITAL_SMALL = "Is In Its It If Of On To As At By And But Or".split()
+
+
+def latin(text: Column) -> Column:
+    """Lookalike letters, ligatures and marks as print has them."""
+    for pair, mark in MARK_PAIRS.items():
+        text = F.replace(text, F.lit(pair), F.lit(mark))
+    return F.translate(text, LOOKALIKE_FROM + MARK_FROM, LOOKALIKE_TO + MARK_TO)
 
 
 def mended_marks(text: Column) -> Column:
-    """Lookalike letters, ligatures, blanks before marks and letters set apart from their word."""
-    out = F.translate(text, LOOKALIKE_FROM, LOOKALIKE_TO)
-    for a, b in LIGATURES.items():
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, r"\s+([,;:.!?])", "$1")
-    out = F.regexp_replace(out, r"\b([T]) (HE[A-Z]*)\b", "$1$2")
-    return collapse_space(out)
+    """A paragraph with the small marks of a scan mended; words are left to the repair by vocabulary."""
+    out = F.regexp_replace(latin(text), r"\b([Ww])['’-]([a-z])", "$1$2")
+    out = F.regexp_replace(out, r"^([A-Z]) ([A-Z]{2,})\b", "$1$2")
+    out = F.regexp_replace(out, r"(^|\s)\*+\s?(\p{L})", "$1“$2")
+    out = F.regexp_replace(out, r" +([.,;:!?])", "$1")
+    out = F.regexp_replace(out, r"^\d{1,4} (\p{Ll})", "$1")
+    for wrong, right in CONTRACTIONS.items():
+        out = F.regexp_replace(out, rf"(^|[\s\"“‘'(])(?:{wrong})\b", "$1" + right)
+    out = F.regexp_replace(out, rf"(^|[\s\"“‘'(])T ({'|'.join(I_VERBS)})\b", "$1I $2")
+    # Words with a capital after a plain small word, however many follow each other.
+    run = rf"(?<![^ ])\p{{Ll}}+(?: (?:{'|'.join(CAPITAL_SMALL)}))+(?![^ ])"
+    return replaced(collapse_space(out), run, lambda m, gap, first: F.lower(m))
 
 
 def token_class(token: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import urls
-from tomespark.operators import quality, search, state
-from tomespark.plans.inputs import table, texts
+from tomespark.operators import quality, state
+from tomespark.plans.inputs import table
+from tomespark.plans.texts import stored_vocabulary
 from tomespark.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +61,7 @@ def page_blocks(spark, sf):
 def page_verdicts(spark, sf):
     pages = _pages(spark, sf)
     blocks = files.page_blocks(pages)
-    measured = quality.with_clean(quality.measures(blocks), blocks, search.vocabulary(texts(spark, sf)))
+    measured = quality.with_clean(quality.measures(blocks), blocks, stored_vocabulary(spark, sf))
     # A page without a block has no words. Addresses name no shelf of SHELF_BARS, so pages are judged as those of a shelf of one's own.
     rows = files.page_titles(pages).join(measured, "target", "left").fillna(0, [c for c in measured.columns if c not in ("target", "first", "last", "clean")])
     found = quality.verdicts(rows, F.coalesce(urls.page_kind(F.col("url")), F.lit("")), F.col("title"), F.col("url"), F.col("title"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
-from tomespark.operators import index, quality, search
+from tomespark.operators import index, quality, repair, search
 from tomespark.plans.inputs import TEXTS, table, texts
 from tomespark.sources import shared
 
@@ -37,11 +37,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _index(spark, sf: str, name: str, make) -> index.Index:
-    """The index of ``documents`` in the shared folder, made where there is none of the files as they are."""
+def _place(spark, sf: str, name: str) -> str:
+    """A folder in the shared one for what is made of ``documents``; its name changes when the files do."""
     d = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     files = d.agg(F.coalesce(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")), F.lit(0))).first()[0]
-    found = index.Index(spark, f"{shared.folder(spark)}/index-{name}-{index.LAYOUT}-{files}")
+    return f"{shared.folder(spark)}/{name}-{files}"
+
+
+def _index(spark, sf: str, name: str, make) -> index.Index:
+    found = index.Index(spark, _place(spark, sf, f"index-{name}-{index.LAYOUT}"))
     if not found.complete():
         make(found)
         found.done()
@@ -211,18 +215,85 @@ def text_verdicts(spark, sf):
     """The whole rule over every document, one without words included."""
     docs = texts(spark, sf)
     blocks = quality.plain_blocks(docs)
-    measured = quality.with_clean(quality.measures(blocks), blocks, search.vocabulary(docs))
+    measured = quality.with_clean(quality.measures(blocks), blocks, stored_vocabulary(spark, sf))
     rows = docs.select("target", "kind", F.coalesce("title", F.lit("")).alias("title")).join(measured, "target", "left").fillna(0, [c for c in measured.columns if c not in ("target", "first", "last", "clean")])
     found = quality.verdicts(rows, F.col("kind"), F.col("title"))
     return found.select("target", "words", "long_share", "verse", F.array_join("reasons", ", ").alias("reasons"))
 
 
+def stored_vocabulary(spark, sf: str):
+    """The vocabulary of ``documents``, made once and read from the shared folder then."""
+    return shared.kept(spark, _place(spark, sf, "vocabulary"), lambda: search.vocabulary(texts(spark, sf)))
+
+
+_WORD = repair.WORD.replace("'", "''")
+_KNOWN = """v AS (SELECT word FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM texts) WHERE length(word) >= 3 GROUP BY word HAVING count(DISTINCT target) >= 6 AND count(*) >= 10)"""
+_MAY_MEND = "octet_length(encode(word)) >= 3 AND NOT regexp_matches(word, '[''’]') AND (word = lower(word) OR (regexp_matches(word, '^\\p{Lu}\\p{Ll}*$') AND octet_length(encode(word)) > 1))"
+_MENDS = f"""{_KNOWN}, unknown AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS word FROM texts) WHERE {_MAY_MEND}
+ AND lower(word) NOT IN (SELECT word FROM v)),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in repair.CONFUSED)}) t(a, b)),
+spelt AS (SELECT DISTINCT word, substr(word, 1, p - 1) || b || substr(word, p + length(a)) AS other FROM unknown, rules, unnest(range(1, length(word) + 1)) u(p) WHERE substr(word, p, length(a)) = a),
+mended AS (SELECT word, min(other) AS mended FROM spelt WHERE other IN (SELECT word FROM v) GROUP BY word HAVING count(*) = 1),
+tails AS (SELECT unnest({repair.TAILS}) AS tail), heads AS (SELECT word, left(word, length(word) - length(tail)) AS head, tail FROM unknown, tails WHERE ends_with(word, tail) AND octet_length(encode(word)) >= 5),
+split AS (SELECT word, min(head || ' ' || tail) AS split FROM heads WHERE octet_length(encode(head)) >= 4 AND head IN (SELECT word FROM v) GROUP BY word HAVING count(*) = 1),
+mends AS (SELECT word, split, mended FROM split FULL JOIN mended USING (word))"""
+
+
+@query(f"WITH {TEXTS}, {_MENDS} SELECT word, split, mended FROM mends")
+def word_mends(spark, sf):
+    """Unknown words that one confused place, or one lost blank, explains."""
+    return repair.word_mends(texts(spark, sf), stored_vocabulary(spark, sf))
+
+
+@query(f"""WITH {TEXTS}, {_MENDS}, cut AS (SELECT target, string_split_regex(text, '{_WORD}') AS gaps, regexp_extract_all(text, '{_WORD}') AS words FROM texts WHERE text IS NOT NULL),
+each AS (SELECT target, i, gaps[i] AS gap, words[i] AS word, rtrim(gaps[i], ' "“‘''(') AS bare FROM cut, unnest(range(1, len(gaps) + 1)) u(i)),
+done AS (SELECT target, i, gap, CASE WHEN word IS NULL THEN '' WHEN mends.word IS NULL OR NOT ({_MAY_MEND.replace("word", "each.word")}) THEN each.word
+ WHEN each.word = lower(each.word) THEN coalesce(split, mended, each.word)
+ WHEN CASE WHEN bare = '' THEN i = 1 ELSE right(bare, 1) IN ('.', '!', '?', ':', chr(10)) END THEN coalesce(upper(left(mended, 1)) || substr(mended, 2), each.word) ELSE each.word END AS word
+ FROM each LEFT JOIN mends ON mends.word = lower(each.word))
+SELECT target, string_agg(gap || word, '' ORDER BY i) AS text FROM done GROUP BY target UNION ALL SELECT target, text FROM texts WHERE text IS NULL""".replace("WHEN word IS NULL THEN ''", "WHEN each.word IS NULL THEN ''"))
+def repaired_texts(spark, sf):
+    docs = texts(spark, sf).select("target", "text")
+    return repair.with_mended_words(docs, repair.word_mends(docs, stored_vocabulary(spark, sf)))
+
+
+@query(f"""WITH {TEXTS}, {_KNOWN}, cut AS (SELECT target, string_split_regex(text, '\\p{{L}}+-\\s+\\p{{Ll}}+') AS gaps, regexp_extract_all(text, '\\p{{L}}+-\\s+\\p{{Ll}}+') AS pairs FROM texts WHERE text IS NOT NULL),
+each AS (SELECT target, i, gaps[i] AS gap, coalesce(pairs[i], '') AS pair, regexp_extract(pairs[i], '^(\\p{{L}}+)-', 1) AS l, regexp_extract(pairs[i], '(\\p{{Ll}}+)$', 1) AS r FROM cut, unnest(range(1, len(gaps) + 1)) u(i))
+SELECT target, string_agg(gap || CASE WHEN pair = '' THEN '' WHEN lower(l) || r IN (SELECT word FROM v) THEN l || r WHEN r IN ({", ".join(f"'{w}'" for w in repair.HYPHEN_KEEPS)}) THEN pair
+ WHEN lower(l) IN (SELECT word FROM v) AND r IN (SELECT word FROM v) THEN l || '-' || r ELSE l || r END, '' ORDER BY i) AS text FROM each GROUP BY target UNION ALL SELECT target, text FROM texts WHERE text IS NULL""")
+def joined_lines(spark, sf):
+    """Words that the end of a line broke, joined by the vocabulary."""
+    return repair.with_joined_lines(texts(spark, sf).select("target", "text"), stored_vocabulary(spark, sf))
+
+
+@query(f"""WITH {TEXTS}, {_KNOWN}, lines AS (SELECT target, pos - 1 AS n, list_filter(string_split_regex(string_split(text, chr(10))[pos], '\\s+'), lambda t: t <> '') AS ts FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
+tokens AS (SELECT target, n, i, ts[i] AS token, trim(ts[i], '{repair.TOKEN_EDGES.replace("'", "''")}') AS bare FROM lines, unnest(range(1, len(ts) + 1)) u(i)),
+runs AS (SELECT bare, unnest(regexp_extract_all(bare, '{_WORD}')) AS run FROM (SELECT DISTINCT bare FROM tokens)),
+kinds AS (SELECT bare, max(CASE WHEN lower(run) IN (SELECT word FROM v) OR regexp_matches(run, '^[A-Z]$') THEN 0 WHEN regexp_matches(run, '^\\p{{Lu}}\\p{{Ll}}*$') AND octet_length(encode(run)) > 1 THEN 1 ELSE 2 END) AS kind FROM runs GROUP BY bare),
+classes AS (SELECT target, n, i, token, CASE WHEN bare = '' THEN 0 WHEN regexp_matches(bare, '{repair.NO_TEXT}') THEN 2 WHEN regexp_matches(bare, '[0-9]') THEN 0 ELSE coalesce(kind, 2) END AS class FROM tokens LEFT JOIN kinds USING (bare)),
+numbered AS (SELECT *, sum(CASE WHEN class = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY target, n ORDER BY i) AS run FROM classes),
+cuts AS (SELECT *, class > 0 AND count(*) FILTER (WHERE class > 0) OVER w >= 3 AND max(class) OVER w = 2 AS cut FROM numbered WINDOW w AS (PARTITION BY target, n, run)),
+starts AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY target, n ORDER BY i), false) AS start FROM cuts),
+parts AS (SELECT *, sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY target, n ORDER BY i) AS p FROM starts)
+SELECT target, n, CAST(dense_rank() OVER (PARTITION BY target, n ORDER BY p) - 1 AS INTEGER) AS part, string_agg(token, ' ' ORDER BY i) AS text FROM parts WHERE NOT cut GROUP BY target, n, p""")
+def split_noise(spark, sf):
+    """Lines cut where the print was noise."""
+    lines = texts(spark, sf).select("target", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    return repair.split_junk(lines, stored_vocabulary(spark, sf))
+
+
+@query()
+def scanned_paragraphs(spark, sf):
+    """Ten documents are a work, and each a page of it."""
+    pages = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 10).alias("target"), F.col("doc_id").alias("page"), "text")
+    return repair.scan_paragraphs(pages, stored_vocabulary(spark, sf), quality.mended_marks)
+
+
 @query(f"""WITH {TEXTS}, w AS (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS word FROM texts),
 v AS (SELECT word FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM texts) WHERE length(word) >= 3 GROUP BY word HAVING count(DISTINCT target) >= 6 AND count(*) >= 10)
 SELECT target, count(v.word) AS known, count(*) - count(v.word) AS unknown, round(count(v.word) / count(*), 9) AS clean FROM w LEFT JOIN v USING (word) GROUP BY target""")
 def cleanliness(spark, sf):
-    docs = texts(spark, sf)
-    return quality.cleanliness(docs, search.vocabulary(docs)).withColumn("clean", F.round("clean", 9))
+    return quality.cleanliness(texts(spark, sf), stored_vocabulary(spark, sf)).withColumn("clean", F.round("clean", 9))
 
 
 @query(f"""WITH {TEXTS}, l AS (SELECT target, pos AS n, string_split(text, chr(10))[pos] AS text FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
@@ -240,7 +311,11 @@ def advertising_share(spark, sf):
     return texts(spark, sf).select("target", quality.ad_share(F.col("text")).alias("share"))
 
 
-@query()
+@query(f"""WITH {TEXTS}, w AS (SELECT target, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[\\p{{P}}\\p{{S}}]+', ''), '[\\p{{P}}\\p{{S}}]+$', '')) AS ws FROM texts),
+m AS (SELECT target, len(ws) AS n, len(list_filter(ws, lambda x: regexp_matches(x, '^[\\p{{L}}''’-]+$') AND len(regexp_extract_all(x, '\\p{{L}}')) BETWEEN 1 AND 14)) AS plain,
+ len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in quality.SMALL_WORDS)}))) AS small, array_to_string(ws, '') AS j FROM w),
+c AS (SELECT *, len(regexp_extract_all(j, '\\p{{L}}')) AS letters, len(regexp_extract_all(j, '[fF]')) AS f, len(regexp_extract_all(j, '\\p{{Nd}}')) AS digits, length(j) AS total FROM m)
+SELECT target, n >= 40 AND plain >= 0.8 * n AND letters >= 3 * n AND letters <= 9 * n AND letters * 10 >= total * 9 AND small >= 0.33 * n AND f <= 0.043 * greatest(letters, 1) AND digits <= 0.02 * greatest(total, 1) AS readable FROM c""")
 def readable_texts(spark, sf):
     return texts(spark, sf).select("target", quality.readable(F.col("text")).alias("readable"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -18,3 +20,24 @@ def folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def kept(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; where there is none yet, it is made beside it and renamed when it is whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        beside = f"{path}.{uuid.uuid4().hex}"
+        make().write.parquet(beside)
+        # Another job may have been first; then its table is as good.
+        if not fs.exists(place) and not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), place):
+            raise RuntimeError(f"could not rename {beside}")
+    return spark.read.parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A frame that is read more than once, written to the shared folder."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tomespark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
