@@ -75,7 +75,7 @@ def pruned_items(spark, sf):
 
 
 @query(f"""WITH {ITEMS}, old AS (SELECT * FROM items WHERE item_id % 2 = 0),
-batch AS (SELECT item_id, feed_id, guid, 'new ' || title AS title, published, CASE WHEN item_id % 4 = 0 THEN content || ' and more' ELSE 'x' END AS content FROM items WHERE item_id % 3 = 0)
+batch AS (SELECT item_id, feed_id, guid, 'new ' || title AS title, published, CASE WHEN item_id % 4 = 0 THEN content || ' and more' ELSE 'x' END AS content FROM items WHERE item_id % 3 = 0 OR item_id % 2 <> 0)
 SELECT coalesce(o.feed_id, n.feed_id) AS feed_id, coalesce(o.guid, n.guid) AS guid, coalesce(n.title, o.title) AS title,
  CASE WHEN o.item_id IS NULL OR length(n.content) > length(o.content) THEN n.content ELSE o.content END AS content,
  coalesce(o.read, false) AS read, coalesce(o.starred, false) AS starred, o.item_id IS NULL AS new
@@ -83,7 +83,7 @@ FROM old o FULL JOIN batch n ON o.feed_id = n.feed_id AND o.guid = n.guid""")
 def item_upsert(spark, sf):
     every = items(spark, sf)
     content = F.when(F.col("item_id") % 4 == 0, F.concat("content", F.lit(" and more"))).otherwise("x")
-    batch = every.where("item_id % 3 = 0").select("item_id", "feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published", content.alias("content"), F.col("item_id").alias("seq"))
+    batch = every.where("item_id % 3 = 0 OR item_id % 2 <> 0").select("item_id", "feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published", content.alias("content"), F.col("item_id").alias("seq"))
     return feeds.upsert(every.where("item_id % 2 = 0"), batch).drop("item_id", "published")
 
 
@@ -131,7 +131,7 @@ def new_chapter_total(spark, sf):
 
 @query("""WITH o AS (SELECT o_custkey AS serial_id, CAST(o_orderkey AS VARCHAR) AS url, o_orderpriority AS title, o_orderkey AS place FROM orders),
 known AS (SELECT serial_id, url, title, row_number() OVER (PARTITION BY serial_id ORDER BY place) AS n FROM o WHERE place % 3 <> 0),
-listed AS (SELECT serial_id, url, CASE WHEN place % 2 = 0 THEN '' ELSE 'new ' || title END AS title, place FROM o WHERE place % 4 <> 1),
+listed AS (SELECT serial_id, url, CASE WHEN place % 2 = 0 THEN '' ELSE 'new ' || title END AS title, place FROM o WHERE place % 4 <> 1 OR place % 3 = 0),
 top AS (SELECT serial_id, max(n) AS top FROM known GROUP BY 1),
 j AS (SELECT coalesce(k.serial_id, l.serial_id) AS serial_id, coalesce(k.url, l.url) AS url, k.n, k.title AS kt, l.title AS lt, l.place FROM known k FULL JOIN listed l ON k.serial_id = l.serial_id AND k.url = l.url)
 SELECT serial_id, url, coalesce(j.n, coalesce(top, 0) + row_number() OVER (PARTITION BY serial_id, j.n IS NULL ORDER BY place)) AS n, coalesce(nullif(lt, ''), kt, '') AS title
@@ -141,7 +141,7 @@ def chapter_merge(spark, sf):
 
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("serial_id"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("place"))
     known = o.where("place % 3 <> 0").withColumn("n", F.row_number().over(Window.partitionBy("serial_id").orderBy("place"))).drop("place")
-    listed = o.where("place % 4 <> 1").withColumn("title", F.when(F.col("place") % 2 == 0, "").otherwise(F.concat(F.lit("new "), "title")))
+    listed = o.where("place % 4 <> 1 OR place % 3 = 0").withColumn("title", F.when(F.col("place") % 2 == 0, "").otherwise(F.concat(F.lit("new "), "title")))
     return feeds.merge_chapters(known, listed)
 
 

@@ -106,11 +106,11 @@ def desk_facts(spark, sf):
     return state.desk_facts(history.history(v), feeds.counts(items(spark, sf)), queue, history.reading_days(v, NOW), NOW)
 
 
-@query("""SELECT n_nationkey, upper(substr(lower(n_name), 1, 1)) || substr(lower(n_name), 2) || ' of the ' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) AS title FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'""")
+@query("""SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name || ' OF THE ' || r_name), ' '), lambda w: CASE WHEN w IN ('of', 'the') THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), ' ') AS title
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def titles_in_case(spark, sf):
     both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    plain = both.where("n_name NOT LIKE '% %' AND r_name NOT LIKE '% %'")
-    return plain.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
+    return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
 
 
 @query()

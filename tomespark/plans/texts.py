@@ -191,26 +191,37 @@ def page_measures(spark, sf):
     return found.select("target", "prose", "paras", "long_words", "starts", "first", "last")
 
 
-@query(f"""WITH {TEXTS}, l AS (SELECT target, pos - 1 AS n, trim(regexp_replace(string_split(text, chr(10))[pos], '\\s+', ' ', 'g')) AS t FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
-b AS (SELECT target, n, t, len(string_split(t, ' ')) AS w, regexp_replace(t, '^(?:[\\s"“‘''(*_—–]|\\[[^\\]]{{0,20}}\\]|\\d+\\s)+', '') AS opened FROM l WHERE t <> ''),
-m AS (SELECT target, sum(w) AS words, sum(CASE WHEN w >= 30 THEN w ELSE 0 END) AS long_words, count(*) FILTER (WHERE w >= 8) AS starts, count(*) FILTER (WHERE w >= 8 AND regexp_matches(opened, '^\\p{{Ll}}')) AS lower_starts,
- coalesce(arg_min(t, n) FILTER (WHERE w >= 8), '') AS f, arg_min(opened, n) FILTER (WHERE w >= 8) AS o, rtrim(arg_max(t, n) FILTER (WHERE w >= 30), ' *' || chr(9)) AS e FROM b GROUP BY target)
-SELECT target, words, CASE WHEN words > 0 THEN long_words / words ELSE 0.0 END AS long_share, array_to_string(list_filter([
- CASE WHEN words < 300 AND regexp_matches(lower(title || ' ' || f), '404|not found|access denied|forbidden|enable javascript|just a moment|page not found|error') THEN 'error page' END,
- CASE WHEN words < 300 THEN 'short' END,
- CASE WHEN words >= 50 AND long_words / words < 0.2 THEN 'fragments' END,
- CASE WHEN NOT (starts >= 3 AND lower_starts * 2 > starts) AND o <> '' AND regexp_matches(o, '^[\\p{{Ll}},;.)\\-]') THEN 'starts mid-text' END,
- CASE WHEN words < 3000 AND e <> '' AND NOT regexp_matches(e, '[.!?…:]["''”’)\\]]*$') AND regexp_matches(e, '[\\p{{Ll}},\\-]$') THEN 'ends mid-text' END], lambda x: x IS NOT NULL), ', ') AS reasons
-FROM m JOIN texts USING (target) WHERE NOT regexp_matches(title, '(?i)^\\d|review|news|index|contents|home|gallery|books|report')""")
-def judge(spark, sf):
-    docs = texts(spark, sf)
-    # The SQL knows no verse and no vocabulary; text_verdicts has the whole rule.
-    measured = quality.measures(quality.plain_blocks(docs)).withColumns({"set_lines": F.lit(0), "set_words": F.lit(0)}).join(docs.select("target", "title", "kind"), "target")
-    found = quality.verdicts(measured, F.col("kind"), F.col("title"))
-    return found.select("target", "words", "long_share", F.array_join("reasons", ", ").alias("reasons"))
+def stored_vocabulary(spark, sf: str):
+    """The vocabulary of ``documents``, made once and read from the shared folder then."""
+    return shared.kept(spark, _place(spark, sf, "vocabulary"), lambda: search.vocabulary(texts(spark, sf)))
 
 
-@query()
+_WORD = repair.WORD.replace("'", "''")
+_KNOWN = """v AS (SELECT word FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM texts) WHERE length(word) >= 3 GROUP BY word HAVING count(DISTINCT target) >= 6 AND count(*) >= 10)"""
+_BAR = "CASE kind " + " ".join(f"WHEN '{shelf}' THEN {bar}" for shelf, bar in quality.SHELF_BARS.items()) + f" ELSE {quality.DEFAULT_BAR} END"
+_FORMAL = f"kind NOT IN ({', '.join(map(repr, quality.INFORMAL))})"
+_OPENED = """regexp_replace({0}, '^(?:[\\s"“‘''(*_—–]|\\[[^\\]]{{0,20}}\\]|\\d+\\s)+', '')"""
+_VERDICTS = f"""{TEXTS}, {_KNOWN}, l AS (SELECT target, pos - 1 AS n, trim(regexp_replace(string_split(text, chr(10))[pos], '\\s+', ' ', 'g')) AS t FROM texts, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos)),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY target ORDER BY n) AS island FROM l WHERE t <> ''),
+b AS (SELECT target, n, t, len(string_split(t, ' ')) AS w, {_OPENED.format("t")} AS opened, count(*) OVER (PARTITION BY target, island) >= {quality.STANZA} AS set FROM i),
+m AS (SELECT target, sum(w) AS words, sum(CASE WHEN w >= 30 THEN w ELSE 0 END) AS long_words, count(*) FILTER (WHERE w >= 8) AS starts, count(*) FILTER (WHERE w >= 8 AND regexp_matches(opened, '^\\p{{Ll}}')) AS lower_starts,
+ coalesce(arg_min(t, n) FILTER (WHERE w >= 8), '') AS f, arg_min(opened, n) FILTER (WHERE w >= 8) AS o, rtrim(arg_max(t, n) FILTER (WHERE w >= 30), ' *' || chr(9)) AS e,
+ count(*) FILTER (WHERE set) AS set_lines, coalesce(sum(w) FILTER (WHERE set), 0) AS set_words FROM b GROUP BY target),
+k AS (SELECT target, count(v.word) AS known, count(*) AS every FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) AS word FROM texts) w LEFT JOIN v USING (word) GROUP BY target),
+j AS (SELECT target, kind, coalesce(title, '') AS title, coalesce(words, 0) AS words, coalesce(long_words, 0) AS long_words, coalesce(starts, 0) AS starts, coalesce(lower_starts, 0) AS lower_starts, coalesce(f, '') AS f, o, e,
+ CASE WHEN every >= {quality.CLEAN_WORDS} THEN known / every END AS clean, coalesce(set_lines >= {quality.VERSE_LINES} AND set_words * 2 >= words AND set_words <= {quality.VERSE_LINE} * set_lines, false) AS verse
+ FROM texts LEFT JOIN m USING (target) LEFT JOIN k USING (target)),
+verdicts AS (SELECT target, words, verse, CASE WHEN words > 0 THEN long_words / words ELSE 0.0 END AS long_share, array_to_string(list_filter([
+ CASE WHEN words < 300 AND regexp_matches(lower(title || ' ' || f), '{"|".join(quality.ERROR_WORDS)}') THEN 'error page' END,
+ CASE WHEN NOT verse AND words < {_BAR} THEN 'short' END,
+ CASE WHEN NOT verse AND words >= 50 AND long_words / words < 0.2 THEN 'fragments' END,
+ CASE WHEN NOT verse AND len(list_filter(string_split_regex(title, '\\s*(?:[-|–—]|--)\\s+'), lambda p: regexp_matches(p, '{quality.NOT_WHOLE.replace("'", "''")}'))) > 0 THEN 'title' END,
+ CASE WHEN {_FORMAL} AND NOT verse AND NOT (starts >= 3 AND lower_starts * 2 > starts) AND o <> '' AND regexp_matches(o, '^[\\p{{Ll}},;.)\\-]') THEN 'starts mid-text' END,
+ CASE WHEN {_FORMAL} AND NOT verse AND words < 3000 AND e <> '' AND NOT regexp_matches(e, '[.!?…:]["''”’)\\]]*$') AND regexp_matches(e, '[\\p{{Ll}},\\-]$') THEN 'ends mid-text' END,
+ CASE WHEN {_FORMAL} AND words >= 400 AND clean >= 0.5 AND clean < 0.7 THEN 'garbled' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM j)"""
+
+
+@query(f"WITH {_VERDICTS} SELECT target, words, long_share, verse, reasons FROM verdicts")
 def text_verdicts(spark, sf):
     """The whole rule over every document, one without words included."""
     docs = texts(spark, sf)
@@ -221,13 +232,11 @@ def text_verdicts(spark, sf):
     return found.select("target", "words", "long_share", "verse", F.array_join("reasons", ", ").alias("reasons"))
 
 
-def stored_vocabulary(spark, sf: str):
-    """The vocabulary of ``documents``, made once and read from the shared folder then."""
-    return shared.kept(spark, _place(spark, sf, "vocabulary"), lambda: search.vocabulary(texts(spark, sf)))
+@query(f"WITH {_VERDICTS} SELECT target, words, long_share, reasons FROM verdicts")
+def judge(spark, sf):
+    return text_verdicts(spark, sf).drop("verse")
 
 
-_WORD = repair.WORD.replace("'", "''")
-_KNOWN = """v AS (SELECT word FROM (SELECT target, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM texts) WHERE length(word) >= 3 GROUP BY word HAVING count(DISTINCT target) >= 6 AND count(*) >= 10)"""
 _MAY_MEND = "octet_length(encode(word)) >= 3 AND NOT regexp_matches(word, '[''’]') AND (word = lower(word) OR (regexp_matches(word, '^\\p{Lu}\\p{Ll}*$') AND octet_length(encode(word)) > 1))"
 _MENDS = f"""{_KNOWN}, unknown AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(text, '{_WORD}')) AS word FROM texts) WHERE {_MAY_MEND}
  AND lower(word) NOT IN (SELECT word FROM v)),
