@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
-from tomespark.operators import feeds, history, ordering, state
+from tomespark.operators import bags, chains, feeds, history, ordering, state
 from tomespark.plans.inputs import ITEMS, VISITS, items, table, visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,66 @@ def titles_in_case(spark, sf):
 def every_title_in_case(spark, sf):
     both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
+
+
+_NEXT = """n AS (SELECT event_id AS id, user_id, row_number() OVER w AS place, min(event_id) OVER (PARTITION BY user_id) AS head, max(event_id) OVER (PARTITION BY user_id) AS tail,
+ count(*) OVER (PARTITION BY user_id) AS pages FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+def _next_links(spark, sf):
+    """Events as pages: each leads to the next of its user, and the last of every fifth user to the first."""
+    own = Window.partitionBy("user_id")
+    order = own.orderBy("event_id")
+    following = F.coalesce(F.lead("event_id").over(order), F.when(F.col("user_id") % 5 == 0, F.min("event_id").over(own)))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), following.alias("next"))
+
+
+@query(f"WITH {_NEXT} SELECT id, head, place, user_id % 5 = 0 AND pages > 1 AS cycle FROM n")
+def next_chains(spark, sf):
+    return chains.chained(_next_links(spark, sf))
+
+
+@query(f"WITH {_NEXT} SELECT head, user_id % 5 = 0 AND pages > 1 AS cycle, pages, tail AS \"last\" FROM n WHERE id = head")
+def chain_sizes(spark, sf):
+    return chains.chain_sizes(chains.chained(_next_links(spark, sf)))
+
+
+@query("WITH n AS (SELECT event_id AS id, row_number() OVER (ORDER BY event_id) AS place, min(event_id) OVER () AS head FROM events) SELECT id, head, place, false AS cycle FROM n")
+def one_long_chain(spark, sf):
+    """All events are one chain, by the numbers that follow each other."""
+    return chains.chained(table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("event_id") + 1).alias("next")))
+
+
+_WEIGHTS = {"fiction": 3, "knowledge": 2, "print": 2, "plates": 2, "literature": 1, "folklore": 1}
+
+
+@query(f"""WITH w(family, weight) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in _WEIGHTS.items())})
+SELECT c_custkey AS user, family, 2 * weight AS n FROM customer, w""")
+def bag_counts(spark, sf):
+    """Two whole bags of every user hold each family twice as often as it weighs."""
+    users = bags.new_users(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")))
+    drawn = bags.draw(users, _WEIGHTS, 2 * sum(_WEIGHTS.values()), seed=7)
+    return drawn.select("user", F.explode("drawn").alias("family")).groupBy("user", "family").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT c_custkey AS user, 0 AS alike, {len(_WEIGHTS)} AS in_first_round, 3 AS bags FROM customer")
+def bag_neighbours(spark, sf):
+    """Drawn one after the other with the state kept between: no family follows itself, and each comes before any comes again in its round."""
+    state_of = bags.new_users(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")))
+    first = bags.draw(state_of, _WEIGHTS, 14, seed=7)
+    second = bags.draw(first.select("user", "bag", "bags", "last"), _WEIGHTS, 14, seed=7).select("user", F.col("drawn").alias("more"), "bags")
+    both = first.select("user", "drawn").join(second, "user").select("user", F.concat("drawn", "more").alias("d"), "bags")
+    alike = F.size(F.filter(F.zip_with(F.slice("d", 1, 27), F.slice("d", 2, 27), lambda a, b: a == b), lambda x: x))
+    return both.select("user", alike.alias("alike"), F.size(F.array_distinct(F.slice("d", 1, 11))).alias("in_first_round"), "bags")
+
+
+_KINDS = ["story", "poem", "letter", "plate", "word", "puzzle"]
+
+
+@query("SELECT c_custkey AS user, 4 AS kinds, 0 AS left_out, 2 AS bags FROM customer")
+def sections_drawn(spark, sf):
+    """Four sections of every user twice: all different, none of the two left out."""
+    none = bags.new_users(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")))
+    first = bags.sections(none, _KINDS, 4, ["word", "plate"], seed=7)
+    second = bags.sections(first.select("user", "bag", "bags"), _KINDS, 4, ["word", "plate"], seed=7)
+    return second.select("user", F.size(F.array_distinct("drawn")).alias("kinds"), F.size(F.filter("drawn", lambda k: k.isin("word", "plate"))).alias("left_out"), "bags")
