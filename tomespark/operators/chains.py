@@ -36,7 +36,7 @@ def chained(links: DataFrame) -> DataFrame:
     state, left = written(state.withColumn("new", F.lit(True)), "chains"), -1
     while True:
         # One row: how many pages are open, and whether any of them learnt of a lesser page.
-        open_, learnt = state.agg(F.count_if("back IS NOT NULL"), F.count_if("back IS NOT NULL AND new")).first()
+        open_, learnt = state.agg(F.count("back"), F.count_if(F.col("back").isNotNull() & F.col("new"))).first()
         if not open_ or (open_ == left and not learnt):
             break
         left = open_
