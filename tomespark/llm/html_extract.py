@@ -9,20 +9,25 @@ are bad, long blocks of many stop words good, shorter ones nearly good; blocks
 too short to tell stay open. In the second pass open and nearly good blocks take
 the label of the nearest decided blocks before and after them.
 
-Mark-up is evidence beside these measures, and says three things:
-
-* A region that is marked as something other than the text (a menu, header,
-  footer, sidebar, form, advert, notice, comments) is bad however its blocks
-  read. Tags and roles are taken at their word. A class or id is so taken only
-  when the mark is its head word ("post-comments", not "comment-policy") and the
-  page has prose outside of it.
-* In a region that is marked as the text (an article, the main part), blocks that
-  would be bad are open instead, save menus: its poor prose and its links are
-  settled by their neighbours in the region.
+Mark-up moves the limits of the measures:
+
+* In a region that is marked as the text (an article, the main part) a block is
+  bad only when nearly all of it is links, headings aside: menus in an article go.
+  There, and in paragraph elements anywhere, few stop words leave a block open, to
+  be settled by its neighbours.
+* A paragraph or heading element that stands at the end of a region goes with its
+  one decided neighbour; other blocks there are bad.
 * A lesser mark, such as "comment-policy", makes nearly good blocks open.
+* No length or stop word can tell a reader's comment from the text. So regions
+  that are marked as something other than the text (a menu, header, footer,
+  sidebar, form, advert, notice, comments) are taken out beside the method. Tags
+  and roles are taken at their word; a class or id only when the mark is its head
+  word ("post-comments", not "comment-policy"; "post-header" is a text's own) and
+  the page has prose outside of it.
 
-Neighbours are looked for in a block's own region. Where a region ends without a
-decided block it counts as good if it is marked as the text, else as bad.
+Neighbours are looked for in a block's own region. A region without a decided
+block is good if it is marked as the text. A page without a good block is read
+again with lower limits.
 
 Where a page states a language without a stop-word list, length and links decide
 alone; where it states none, the lists of all languages count.
@@ -33,8 +38,9 @@ each page is read in time proportional to its length.
 Defined cases: null html is an empty page with an empty text. Very long pages
 are read whole. Tags that are never closed end with what contains them; an
 unfinished tag at the end of a page is dropped; a "<" that begins no tag is text.
-A block between a good and a bad neighbour is a tie: it is good in a region that
-is marked as the text or beside a nearly good block, else bad. Repeated rows come
+A block between a good and a bad neighbour is a tie: it is good as a paragraph, in
+a region that is marked as the text or beside a nearly good block, else bad; where a region that
+is marked as the text ends counts as good. Repeated rows come
 back each. An empty table gives no rows. Extra columns are not read.
 """
 
@@ -56,7 +62,7 @@ MAX_LINK_DENSITY = 0.2
 #: Shares of stop words: lower than the published ones, as the lists below hold about a hundred words each and those several hundred.
 STOPWORDS_LOW = 0.15
 STOPWORDS_HIGH = 0.20
-#: A list item with so large a share of links is a menu's, whatever stands around it.
+#: The share of links up to which a block may be good in a region that is marked as the text.
 MENU_DENSITY = 0.8
 
 # Common function words.
@@ -83,9 +89,11 @@ _ASIDE_NAMES = frozenset(
     " footer footnav colophon copyright legal"
     " sidebar sidebars aside widget widgets related recommended recommendations trending popular"
     " cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login paywall"
-    " comment comments commentlist disqus respond reply replies reader discussion share sharing social".split()
+    " comment comments commentlist disqus respond response responses reply replies feedback guestbook reader discussion share sharing social".split()
 )
 _TEXT_NAMES = frozenset("article post entry story".split())
+#: Elements that running text is set in.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Words that say where or how large a thing is; the head of a name stands before them.
 _QUALIFIERS = frozenset("left right top bottom main inner outer wrap wrapper container content contents body text area section block box list item unit slot holder group row col column panel pane fixed sticky mobile desktop large small primary secondary".split())
 
@@ -93,6 +101,7 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_OWN_HEADER = re.compile(rf"(?:{'|'.join(sorted(_TEXT_NAMES))})[-_]*header", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -113,6 +122,8 @@ def _name_says(value: str) -> tuple[bool, bool, bool]:
         parts = [x.lower() for x in _NAME_PART.findall(name)]
         while len(parts) > 1 and (parts[-1] in _QUALIFIERS or parts[-1].isdigit()):
             parts.pop()
+        if parts[-1:] == ["header"] and not _TEXT_NAMES.isdisjoint(parts):
+            continue  # a text's own header
         if parts:
             aside |= parts[-1] in _ASIDE_NAMES
             text |= parts[-1] in _TEXT_NAMES
@@ -123,7 +134,7 @@ def _name_says(value: str) -> tuple[bool, bool, bool]:
 def _region(tag: str, attributes: str, around: Region, number: int) -> Region:
     """The region that an element makes, or the one around it where the element says nothing new."""
     aside, text, doubt, hidden = around.aside, around.text, around.doubt, around.hidden
-    if tag in _ASIDE_TAGS or (tag == "header" and not text):
+    if tag in _ASIDE_TAGS or (tag == "header" and not text and not _OWN_HEADER.search(attributes)):
         aside = "tag" if tag != "form" else aside if aside == "tag" else "form"
     elif tag in ("article", "main"):
         text = True
@@ -152,10 +163,10 @@ def _region(tag: str, attributes: str, around: Region, number: int) -> Region:
 class Block:
     """Text between two block-level tags."""
 
-    __slots__ = ("text", "region", "linked", "item", "heading", "label")
+    __slots__ = ("text", "region", "linked", "prose", "heading", "label")
 
-    def __init__(self, text: str, region: Region, linked: int, item: bool, heading: bool) -> None:
-        self.text, self.region, self.linked, self.item, self.heading, self.label = text, region, linked, item, heading, ""
+    def __init__(self, text: str, region: Region, linked: int, prose: bool, heading: bool) -> None:
+        self.text, self.region, self.linked, self.prose, self.heading, self.label = text, region, linked, prose, heading, ""
 
 
 def _squeezed(pieces: list[str]) -> str:
@@ -178,7 +189,7 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
             text = "" if region.hidden else _squeezed(pieces)
             if text:
                 tags = [x[0] for x in stack[-3:]]
-                out.append(Block(text, region, len(_squeezed(links)) if links else 0, any(x in ("li", "td", "dd") for x in tags), any(x in _HEADINGS for x in tags)))
+                out.append(Block(text, region, len(_squeezed(links)) if links else 0, any(x in _PROSE for x in tags[-2:]), any(x in _HEADINGS for x in tags)))
             pieces.clear()
             links.clear()
 
@@ -269,13 +280,13 @@ _STOP_SETS = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 _ALL_STOPS = frozenset().union(*_STOP_SETS.values())
 
 
-def measured(block: Block, stops: frozenset[str] | None) -> str:
+def measured(block: Block, stops: frozenset[str] | None, link_limit: float = MAX_LINK_DENSITY) -> str:
     """What length, links and stop words say of a block: good, near, short, poor (too few stop words) or linked. ``stops``: None where none are known."""
     length = len(block.text)
-    if block.linked > MAX_LINK_DENSITY * length:
+    if block.linked > link_limit * length:
         return "linked"
     if length < LENGTH_LOW:
-        return "linked" if block.linked else "short"
+        return "linked" if block.linked and link_limit <= MAX_LINK_DENSITY else "short"
     share = 1.0
     if stops is not None:
         words = _WORD.findall(block.text.lower())
@@ -285,59 +296,87 @@ def measured(block: Block, stops: frozenset[str] | None) -> str:
     return "near" if share >= STOPWORDS_LOW else "poor"
 
 
-def _first_pass(block: Block, said: str, names_count: bool) -> str:
-    """good, bad, near or open: the measure of a block, weighed with what the mark-up says."""
+def _first_pass(block: Block, said: str) -> str:
+    """good, bad, near or open: what a block's measures say under the limits of its region."""
     region = block.region
-    if region.aside and (region.aside != "name" or names_count):
-        return "bad"
-    if said == "linked" and (not region.text or (block.item and block.linked > MENU_DENSITY * len(block.text))):
-        return "bad"
-    if said == "poor" and not region.text:
-        return "bad"
+    if said == "linked":
+        return "open" if region.text and block.heading else "bad"
+    if said == "poor":
+        return "open" if region.text or block.prose else "bad"
     if said == "near" and region.doubt and not region.text:
         return "open"
     return said if said in ("good", "near") else "open"
 
 
-def _nearest(labels: list[str], ends: list[str], keys: list[int]) -> tuple[list[str], list[str]]:
-    """For each block the nearest good or bad label before and after it in its region, or its region's end."""
-    before, after = list(ends), list(ends)
+def _nearest(labels: list[str], keys: list[int]) -> tuple[list[str], list[str]]:
+    """For each block the nearest good or bad label before and after it in its region, or nothing where the region ends."""
+    before, after = [""] * len(labels), [""] * len(labels)
     for side, order in ((before, range(len(labels))), (after, range(len(labels) - 1, -1, -1))):
         last: dict[int, str] = {}
         for i in order:
-            side[i] = last.get(keys[i], ends[i])
+            side[i] = last.get(keys[i], "")
             if labels[i] in ("good", "bad"):
                 last[keys[i]] = labels[i]
     return before, after
 
 
+def _settled(block: Block, before: str, after: str, beside_near: bool) -> str:
+    """The label of an open block between its nearest decided neighbours; nothing stands for the end of a region."""
+    text = block.region.text
+    if text:
+        before, after = before or "good", after or "good"
+    if not before or not after:
+        return (before or after) if block.prose else "bad" if before or after else ""
+    if before == after:
+        return before
+    if block.heading:  # belongs to what follows
+        return after
+    return "good" if text or block.prose or beside_near else "bad"
+
+
+def _both_passes(blocks: list[Block], first: list[str]) -> list[str]:
+    """good or bad for every block from its label after the first pass, or open in a region without a decided block."""
+    keys = [b.region.number for b in blocks]
+    before, after = _nearest(first, keys)
+    second = list(first)
+    for i, block in enumerate(blocks):
+        if first[i] == "open":
+            beside = i - 1 if before[i] == "bad" else i + 1
+            near = 0 <= beside < len(first) and first[beside] == "near" and keys[beside] == keys[i]
+            second[i] = _settled(block, before[i], after[i], near) or "open"
+    before, after = _nearest(second, keys)
+    for i, block in enumerate(blocks):
+        if second[i] == "near":
+            second[i] = "bad" if before[i] == after[i] == "bad" and not block.region.text else "good"
+    return second
+
+
+def labels_of(blocks: list[Block], language: str) -> list[str]:
+    """good or bad for every block of a page's regions of text, by the two passes.
+
+    A page of which nothing is good is read again with lower limits: there nearly
+    good paragraphs are good, and if that gives nothing, all without links are.
+    """
+    stops = _STOP_SETS.get(language) if language else _ALL_STOPS
+    first = [_first_pass(b, measured(b, stops, MENU_DENSITY if b.region.text else MAX_LINK_DENSITY)) for b in blocks]
+    out = _both_passes(blocks, first)
+    if "good" not in out:
+        out = _both_passes(blocks, ["good" if x == "near" and b.prose else x for b, x in zip(blocks, first)])
+    if "good" not in out:
+        out = ["good" if b.prose and x != "bad" else "bad" for b, x in zip(blocks, first)]
+    return ["bad" if x == "open" else x for x in out]
+
+
 def classify(blocks: list[Block], language: str) -> None:
     """Give every block the label good or bad."""
     stops = _STOP_SETS.get(language) if language else _ALL_STOPS
-    said = [measured(b, stops) for b in blocks]
-    names_count = any(b.region.text or (s == "good" and not b.region.aside) for b, s in zip(blocks, said))
-    first = [_first_pass(b, s, names_count) for b, s in zip(blocks, said)]
-    keys = [b.region.number for b in blocks]
-    ends = ["good" if b.region.text and not b.region.aside else "bad" for b in blocks]
-
-    before, after = _nearest(first, ends, keys)
-    second = list(first)
-    for i, label in enumerate(first):
-        if label == "open":
-            if before[i] == after[i]:
-                second[i] = before[i]
-            elif blocks[i].heading:  # belongs to what follows
-                second[i] = after[i]
-            elif blocks[i].region.text:
-                second[i] = "good"
-            else:  # between good and bad: good only next to a block that is nearly good
-                beside = i - 1 if before[i] == "bad" else i + 1
-                second[i] = "good" if 0 <= beside < len(first) and first[beside] == "near" and keys[beside] == keys[i] else "bad"
-    before, after = _nearest(second, ends, keys)
-    for i, label in enumerate(second):
-        if label == "near":
-            second[i] = "bad" if before[i] == after[i] == "bad" and not blocks[i].region.text else "good"
-    for block, label in zip(blocks, second):
+    names_count = any(b.region.text or (not b.region.aside and measured(b, stops) == "good") for b in blocks)
+    inner = []
+    for block in blocks:
+        block.label = "bad"
+        if not block.region.aside or (block.region.aside == "name" and not names_count):
+            inner.append(block)
+    for block, label in zip(inner, labels_of(inner, language)):
         block.label = label
 
 
