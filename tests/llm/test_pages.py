@@ -245,7 +245,7 @@ def brute_text(page):
         elif len(text) < 70:
             kind = "short"
         elif share < 0.15:
-            kind = "poor"
+            kind = "poor" if share >= 0.01 else "none"
         else:
             kind = "good" if share >= 0.2 and len(text) > 200 else "near"
         plain = "good" if 5 * linked <= len(text) and share >= 0.2 and len(text) > 200 else ""
@@ -255,9 +255,9 @@ def brute_text(page):
     first = []
     for _, _, inside, doubt, _, prose, heading, kind, _ in rows:
         if kind == "linked":
-            first.append("open" if inside and heading else "bad")
-        elif kind == "poor":
-            first.append("open" if inside or prose else "bad")
+            first.append("open" if inside and prose else "bad")
+        elif kind in ("poor", "none"):
+            first.append("open" if inside or (prose and kind == "poor") else "bad")
         elif kind == "near":
             first.append("open" if doubt and not inside else "near")
         else:

@@ -12,9 +12,9 @@ the label of the nearest decided blocks before and after them.
 Mark-up moves the limits of the measures:
 
 * In a region that is marked as the text (an article, the main part) a block is
-  bad only when nearly all of it is links, headings aside: menus in an article go.
-  There, and in paragraph elements anywhere, few stop words leave a block open, to
-  be settled by its neighbours.
+  bad only when nearly all of it is links, and it is no paragraph or heading
+  element: menus in an article go. There few stop words leave a block open, to be
+  settled by its neighbours, and elsewhere a paragraph element that has some.
 * A paragraph or heading element that stands at the end of a region goes with its
   one decided neighbour; other blocks there are bad.
 * A lesser mark, such as "comment-policy", makes nearly good blocks open.
@@ -62,6 +62,8 @@ MAX_LINK_DENSITY = 0.2
 #: Shares of stop words: lower than the published ones, as the lists below hold about a hundred words each and those several hundred.
 STOPWORDS_LOW = 0.15
 STOPWORDS_HIGH = 0.20
+#: A paragraph element with fewer than one stop word in a hundred is bad, as any other block with fewer than STOPWORDS_LOW.
+STOPWORDS_LEAST = 0.01
 #: The share of links up to which a block may be good in a region that is marked as the text.
 MENU_DENSITY = 0.8
 
@@ -281,7 +283,7 @@ _ALL_STOPS = frozenset().union(*_STOP_SETS.values())
 
 
 def measured(block: Block, stops: frozenset[str] | None, link_limit: float = MAX_LINK_DENSITY) -> str:
-    """What length, links and stop words say of a block: good, near, short, poor (too few stop words) or linked. ``stops``: None where none are known."""
+    """What length, links and stop words say of a block: good, near, short, poor (few stop words), none (hardly any) or linked. ``stops``: None where none are known."""
     length = len(block.text)
     if block.linked > link_limit * length:
         return "linked"
@@ -293,16 +295,16 @@ def measured(block: Block, stops: frozenset[str] | None, link_limit: float = MAX
         share = sum(w in stops for w in words) / len(words) if words else 0.0
     if share >= STOPWORDS_HIGH:
         return "good" if length > LENGTH_HIGH else "near"
-    return "near" if share >= STOPWORDS_LOW else "poor"
+    return "near" if share >= STOPWORDS_LOW else "poor" if share >= STOPWORDS_LEAST else "none"
 
 
 def _first_pass(block: Block, said: str) -> str:
     """good, bad, near or open: what a block's measures say under the limits of its region."""
     region = block.region
     if said == "linked":
-        return "open" if region.text and block.heading else "bad"
-    if said == "poor":
-        return "open" if region.text or block.prose else "bad"
+        return "open" if region.text and block.prose else "bad"
+    if said in ("poor", "none"):
+        return "open" if region.text or (block.prose and said == "poor") else "bad"
     if said == "near" and region.doubt and not region.text:
         return "open"
     return said if said in ("good", "near") else "open"
