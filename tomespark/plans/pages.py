@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import urls
-from tomespark.operators import quality, state
+from tomespark.operators import layouts, quality, state
 from tomespark.plans.inputs import table
 from tomespark.plans.texts import stored_vocabulary
-from tomespark.sources import files
+from tomespark.sources import files, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,21 @@ def pages_within_four_links(spark, sf):
     name = lambda c: c.cast("string")
     links = p.select(name(F.col("page_id")).alias("target"), F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("h")).select("target", name(F.col("h")).alias("href"))
     return state.walked(links, spark.range(1).select(name(F.col("id")).alias("target")), 4)
+
+
+def _page_lists(spark, sf):
+    pages = _pages(spark, sf).withColumn("host", F.coalesce(urls.host(F.col("url")), F.lit("")))
+    return pages, shared.written(layouts.scored(layouts.lists(pages).withColumn("host", F.coalesce("host", F.lit("")))), "lists")
+
+
+@query()
+def learned_layouts(spark, sf):
+    """The result list of each host, by the lists of all its pages."""
+    return layouts.learned(_page_lists(spark, sf)[1])
+
+
+@query()
+def listed_results(spark, sf):
+    """What the layouts of their hosts, or their own, find on all pages."""
+    pages, fit = _page_lists(spark, sf)
+    return layouts.results(pages, layouts.learned(fit), layouts.own_layouts(fit))
