@@ -111,7 +111,7 @@ def test_archives_of_other_writers():
     got = list(warc.read_archive(io.BytesIO(raw), "x", True))
     assert [(r[2], r[6]) for r in got] == [("response", b"body"), ("response", b"body"), ("resource", b"plain text\r\n\r\nmore"), ("response", b"4\r\nbody\r\n0\r\n\r\n"), ("revisit", None)]
     assert got[0][1] == "http://a/%25?q=%0A" and got[0][0] is None and got[4][5] == hashlib.sha1(b"body").hexdigest()
-    for bad in (made(["WARC-Type: response", "WARC-Payload-Digest: sha256:" + "0" * 64, "Content-Type: application/http"], http), gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"), gzip.compress(b"WARC/1.0\r\n" + b"x" * (3 << 20))):
+    for bad in (made(["WARC-Type: response", "WARC-Payload-Digest: sha256:" + "0" * 64, "Content-Type: application/http"], http), gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"), gzip.compress(b"WARC/1.0\r\n" + b"x" * (3 << 20)), made(["WARC-Type: response", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\nx: " + b"x" * (3 << 20))):
         with pytest.raises(ValueError, match="x: .* at byte 0"):
             list(warc.read_archive(io.BytesIO(bad), "x", True))
 

@@ -386,6 +386,48 @@ def test_licenses(make_docs):
     assert license_scan.scan(make_docs([])).count() == 0
 
 
+def scanned(make_docs, lines):
+    """The licenses and passages of each line."""
+    out = {k: [] for k in range(len(lines))}
+    for r in license_scan.scan(make_docs(list(enumerate(lines)))).collect():
+        out[r["doc_id"]].append((r["license"], r["end"] - r["start"]))
+    return out
+
+
+def test_licenses_that_differ_in_a_name(make_docs):
+    lines = {
+        "Released under the GPL License.": [],
+        "released under the new License of the town": [],
+        "Distributed under the MIT License.": ["mit-notice"],
+        "Licensed under CC BY-SA 4.0.": [],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0-notice"],
+        "This work is licensed under the GNU General Public License, version 2.": [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [],
+        "This work is licensed under the GNU General Public License, version 3.": ["gpl-3.0-notice"],
+        "Licensed under the Mozilla Public License, Version 2.0.": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": [],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["cc-by-sa-4.0-notice"],
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["cc-by-4.0-notice"],
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": [],
+    }
+    got = scanned(make_docs, list(lines))
+    assert {line: [name for name, _ in got[k]] for k, line in enumerate(lines)} == lines
+
+
+def test_every_template_is_itself_alone(make_docs):
+    """All templates against all, whole and with a twelfth of the words of the long ones worn."""
+    every = license_scan.catalogue()
+    draw = random.Random(9)
+    wear = lambda t: " ".join(w if draw.random() > 0.08 else "thing" for w in t.split())
+    worn = {k: wear(t) for k, t in every.items() if len(license_scan.words_of(t)) > license_scan.NAMED_WORDS or k in ("mit", "isc")}
+    got = scanned(make_docs, [*every.values(), *worn.values()])
+    for k, name in enumerate([*every, *worn]):
+        size = len(license_scan.words_of(every[name]))
+        assert [x for x, n in got[k] if n > 0.7 * size] == [name], name
+        # What lies within a text is a notice or header of the same license.
+        assert all(x.split("-")[0] == name.split("-")[0] for x, _ in got[k]), (name, got[k])
+
+
 def test_licenses_at_every_place(make_docs):
     """Wherever a template stands, the span found is where it was put."""
     t = license_scan.catalogue()["isc"]

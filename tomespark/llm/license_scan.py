@@ -20,6 +20,15 @@ order, are skipped: they could not match. Texts are independent of each other,
 so this is one pass over the table without a shuffle; whole texts are scanned,
 and the work in a window is bounded by the template.
 
+Licenses that differ in a name or a number are told apart. The names of a template
+are computed: its numbers, and its words with a capital inside a sentence, without
+those that more than half of all templates hold. In a template of up to
+NAMED_WORDS words, names that follow each other must do so in the passage
+("Attribution-NonCommercial 4.0" is not "Attribution 4.0"), and no number may be
+missing; of up to SHORT_WORDS words, no name at all. Of passages that lie on
+nearly the same words (RIVAL of the longer one) the one with the most aligned
+words, less the template's other words, stands.
+
 Templates are the whole texts of common licenses, in the folder ``licenses``
 beside this module, and the short notices that stand for them; both are
 parameters of ``scan``.
@@ -27,8 +36,8 @@ parameters of ``scan``.
 Defined cases: a null or empty text matches nothing. A null ``doc_id`` is
 carried. Very long texts are scanned whole, in time proportional to their
 length. A text that holds a template several times has a match for each; of two
-alignments that overlap (a tie) the first stands. A passage that matches several
-templates has a match for each of them. Repeated rows match each. An empty table
+alignments that overlap (a tie) the first stands. A passage within a longer one,
+as a notice in a license text, has a match beside it. Repeated rows match each. An empty table
 gives no rows. Extra columns are not read, whatever their names.
 """
 
@@ -38,6 +47,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 from typing import NamedTuple
 
@@ -48,6 +58,8 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 #: Least share of a matched passage that the template's words make up.
 DENSITY = 0.6
+#: Templates of so many words must have all their names, or their numbers and unbroken names; rivals share so much of the longer passage.
+SHORT_WORDS, NAMED_WORDS, RIVAL = 20, 200, 0.8
 
 # License notices in their published wording.
 NOTICES = {
@@ -131,10 +143,41 @@ class Template(NamedTuple):
     name: str
     words: list[str]
     counts: Counter
+    names: list[bool]  # of each word, whether it names the license
+
+
+@cache
+def _common() -> frozenset[str]:
+    """The words that more than half of the shipped templates hold."""
+    every = [set(words_of(t)) for t in catalogue().values()]
+    held = Counter(w for t in every for w in t)
+    return frozenset(w for w, n in held.items() if 2 * n > len(every))
+
+
+def names_of(text: str) -> list[bool]:
+    """For each word of a template's text, whether it is a number or a name."""
+    out = []
+    for found in _WORD.finditer(text):
+        word, before = found[0], text[: found.start()].rstrip(" \t\"'(“‘")
+        inside = before and before[-1] not in ".!?:\n"
+        out.append(word.isdigit() or bool(inside and word[0].isupper() and word.lower() not in _common()))
+    return out
 
 
 def templates_of(texts: dict[str, str]) -> list[Template]:
-    return [Template(k, w := words_of(v), Counter(w)) for k, v in texts.items()]
+    return [Template(k, w := words_of(v), Counter(w), names_of(v)) for k, v in texts.items()]
+
+
+def named(pairs: list[tuple[int, int]], template: Template) -> bool:
+    """Whether a passage has the names of its template."""
+    m = len(template.words)
+    if m > NAMED_WORDS:
+        return True
+    at = dict(pairs)
+    missing = [i for i in range(m) if template.names[i] and i not in at]
+    if any(m <= SHORT_WORDS or template.words[i].isdigit() for i in missing):
+        return False
+    return all(at[i + 1] == at[i] + 1 for i in range(m - 1) if template.names[i] and template.names[i + 1] and i in at and i + 1 in at)
 
 
 def trimmed(pairs: list[tuple[int, int]], need: float, density: float) -> list[tuple[int, int]]:
@@ -183,7 +226,8 @@ def matches(words: list[str], template: Template, coverage: float = COVERAGE, de
                     if len(wider) > len(pairs):
                         pairs, first, end = wider, begin + wider[0][1], begin + wider[-1][1] + 1
                     left[first:end] = [None] * (end - first)
-                    found.append((first, end, len(pairs)))
+                    if named(pairs, template):
+                        found.append((first, end, len(pairs)))
         return missed
 
     if search(m * 5 // 2 + 1, m):
@@ -191,6 +235,16 @@ def matches(words: list[str], template: Template, coverage: float = COVERAGE, de
     return sorted(found)
 
 
+def without_rivals(found: list[tuple[int, int, int, Template]]) -> list[tuple[int, int, int, Template]]:
+    """Of passages (start, end, aligned words, template) on nearly the same words the best one."""
+    kept: list[tuple[int, int, int, Template]] = []
+    for row in sorted(found, key=lambda r: (-(2 * r[2] - len(r[3].words)), -r[2] / len(r[3].words), r[3].name, r[0])):
+        start, end = row[:2]
+        if all(min(end, e) - max(start, s) < RIVAL * max(end - start, e - s) for s, e, _, t in kept if t.name != row[3].name):
+            kept.append(row)
+    return kept
+
+
 _FIELDS = [("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_aligned", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
 
 
@@ -205,12 +259,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = words_of(text.as_py())
-                present = every.intersection(words)
+                present, found = every.intersection(words), []
                 for t in laid:
                     # All the template's words that the text has, wherever they are, must do.
                     need = coverage * len(t.words) - 1e-9
                     if t.words and len(words) >= need and sum(map(t.counts.__getitem__, present.intersection(t.counts))) >= need:
-                        rows += [(doc, t.name, n / len(t.words), n, a, b) for a, b, n in matches(words, t, coverage)]
+                        found += [(*match, t) for match in matches(words, t, coverage)]
+                rows += [(doc, t.name, n / len(t.words), n, a, b) for a, b, n, t in without_rivals(found)]
             cols = zip(*rows) if rows else ((),) * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(cols, _FIELDS)], [k for k, _ in _FIELDS])
 

@@ -232,11 +232,12 @@ def read_archive(stream, name: str, with_payload: bool) -> Iterator[tuple]:
             if not in_payload:
                 http += piece
                 at = http.find(_END)
-                if at < 0 and len(http) <= _MOST_HEAD:
+                if at < 0:
+                    if len(http) > _MOST_HEAD:
+                        source.fail("HTTP headers without an end")
                     continue
-                # Without an end of headers the block is no HTTP message.
-                piece = bytes(http[at + len(_END) :] if at >= 0 else http)
-                in_payload, http = True, http[: max(at, 0)]
+                piece = bytes(http[at + len(_END) :])
+                in_payload, http = True, http[:at]
             payload.update(piece)
             size += len(piece)
             if with_payload:
