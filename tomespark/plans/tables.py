@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
-from tomespark.operators import bags, chains, feeds, history, ordering, state
+from tomespark.operators import bags, chains, feeds, history, ordering, packets, state
 from tomespark.plans.inputs import ITEMS, VISITS, items, table, visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,30 @@ def sections_drawn(spark, sf):
     first = bags.sections(none, _KINDS, 4, ["word", "plate"], seed=7)
     second = bags.sections(first.select("user", "bag", "bags"), _KINDS, 4, ["word", "plate"], seed=7)
     return second.select("user", F.size(F.array_distinct("drawn")).alias("kinds"), F.size(F.filter("drawn", lambda k: k.isin("word", "plate"))).alias("left_out"), "bags")
+
+
+_DAY = date(1996, 6, 30)
+_PAPERS = """items AS (SELECT l_suppkey AS u, l_partkey AS target, p_brand AS feed, p_type AS shelf, max(l_shipdate) AS published, max(p_name) AS title FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4),
+shown AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS target, p_brand AS feed, p_type AS shelf, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+lately AS (SELECT * FROM shown WHERE d > DATE '1996-05-31' AND d <= DATE '1996-06-30')"""
+
+
+def _papers(spark, sf):
+    """Lines of orders as the unread items of suppliers, and those that came back as what they were shown."""
+    both = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    key = [F.col("l_suppkey").alias("user"), F.col("l_partkey").alias("target"), F.col("p_brand").alias("feed"), F.col("p_type").alias("shelf")]
+    items = both.groupBy(*key).agg(F.max("l_shipdate").alias("published"), F.max("p_name").alias("title"))
+    return items, both.where("l_returnflag = 'R'").select(*key, F.to_date("l_shipdate").alias("at")).distinct()
+
+
+@query(f"""WITH {_PAPERS}, fresh AS (SELECT * FROM items WHERE title <> '' AND NOT EXISTS (SELECT 1 FROM lately l WHERE l.u = items.u AND l.target = items.target)),
+newest AS (SELECT *, row_number() OVER (PARTITION BY u, feed ORDER BY published DESC, target) AS nth, count(*) OVER (PARTITION BY u, feed) AS many FROM fresh),
+one AS (SELECT * FROM newest WHERE nth = CAST('0x' || left(md5('7|' || u || '|' || feed), 8) AS BIGINT) % least(many, 3) + 1),
+aged AS (SELECT o.*, (SELECT max(d) FROM lately l WHERE l.u = o.u AND l.feed = o.feed) AS feed_last, (SELECT max(d) FROM lately l WHERE l.u = o.u AND l.shelf = o.shelf) AS shelf_last FROM one o),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY u, shelf ORDER BY feed_last NULLS FIRST, md5('7|' || u || '|' || feed), feed) AS round,
+ dense_rank() OVER (PARTITION BY u ORDER BY shelf_last NULLS FIRST, md5('7|' || u || '|' || shelf), shelf) AS s FROM aged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY round, s) AS place FROM ranked WHERE round <= 2)
+SELECT u AS "user", CAST(place AS INTEGER) AS place, target, feed, shelf FROM placed WHERE place <= 3""")
+def daily_periodicals(spark, sf):
+    """Three items for every user, of different shelves where there are such, and none shown in the last 30 days."""
+    return packets.periodicals(*_papers(spark, sf), _DAY, seed=7)
