@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
-from tomespark.operators import index, quality, repair, search
+from tomespark.operators import index, pieces, quality, repair, search
 from tomespark.plans.inputs import TEXTS, table, texts
 from tomespark.sources import shared
 
@@ -352,3 +352,32 @@ SELECT book, page, array_to_string(ls[CASE WHEN dh THEN 2 ELSE 1 END : CASE WHEN
 def without_running_heads(spark, sf):
     pages = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 10).alias("book"), F.col("doc_id").alias("page"), F.split("text", "\n").alias("lines"))
     return quality.without_running_heads(pages, share=0.2).select("book", "page", F.array_join("lines", "\n").alias("text"))
+
+
+_NUMBER = pieces.NOT_PIECE.replace("'", "''"), pieces.CHAPTER.replace("'", "''"), pieces.SERIAL.replace("'", "''")
+
+
+@query(f"""WITH d AS (SELECT doc_id // 10 AS target, 'd' || doc_id AS id, upper(left(source, 1)) || lower(substr(source, 2)) || ' ' || doc_id AS title, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, len(list_filter(string_split_regex(title || ' ' || text, '\\s+'), lambda x: x <> '')) AS words FROM d)
+SELECT target, id, title, words FROM w WHERE words BETWEEN 700 AND 25000 AND NOT regexp_matches(title, '{_NUMBER[0]}') AND NOT regexp_matches(title, '{_NUMBER[1]}') AND NOT regexp_matches(title || ' ' || text, '{_NUMBER[2]}')""")
+def book_stories(spark, sf):
+    """Ten documents are a book of stories, with its contents before them."""
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 10).alias("target"), "doc_id", F.concat_ws(" ", F.upper("source"), "doc_id").alias("title"), escaped.alias("text"))
+    books = d.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("doc_id", "title", "text"))).alias("l"))
+    part = lambda f: F.array_join(F.transform("l", f), "\n")
+    contents = part(lambda x: F.concat(F.lit("<li><a href='#d"), x["doc_id"].cast("string"), F.lit("'>"), x["title"], F.lit("</a></li>")))
+    bodies = part(lambda x: F.concat(F.lit("<h2 id='d"), x["doc_id"].cast("string"), F.lit("'>"), x["title"], F.lit("</h2><p>"), x["text"], F.lit("</p>")))
+    return pieces.stories(books.select("target", F.concat(contents, F.lit("\n"), bodies).alias("html"))).select("target", "id", "title", "words")
+
+
+_MARKED = """lines AS (SELECT doc_id, pos - 1 AS n, string_split(text, chr(10))[pos] AS t, len(string_split(text, chr(10))) - 1 AS last FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(pos))"""
+
+
+@query(f"""WITH {_MARKED} SELECT doc_id AS target, n AS block_no, t AS text FROM lines
+WHERE (doc_id % 2 <> 0 OR n < last) AND (doc_id % 3 <> 0 OR n > 1 OR last < 1 OR (doc_id % 2 = 0 AND last = 1))""")
+def unwrapped_books(spark, sf):
+    """Documents as books: those divisible by two end on a mark, those divisible by three start on one in their second line."""
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("target"), F.size(F.split("text", "\n")).alias("many"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    mark = F.when((F.col("target") % 2 == 0) & (F.col("block_no") == F.col("many") - 1), "*** END OF THE PROJECT GUTENBERG EBOOK").when((F.col("target") % 3 == 0) & (F.col("block_no") == 1), "*** START OF THE PROJECT GUTENBERG EBOOK")
+    return pieces.unwrapped(lines.select("target", "block_no", F.coalesce(mark, "text").alias("text")))
