@@ -37,7 +37,9 @@ NOT_WHOLE = (
     r"|\b(gallery|galleries|index of|table of contents|site ?map|bibliography)\b"
     r"|^(encyclopedia|dictionary|glossary|index)\s+[a-z](-[a-z])?$|^contents$|^index$|^home$|^welcome\b"
 )
+# The marks before a text's first word, and what separates the parts of a title.
 _OPEN_MARKS = r"^(?:[\s\"“‘'(*_—–]|\[[^\]]{0,20}\]|\d+\s)+"
+_TITLE_PARTS = r"\s*(?:[-|–—]|--)\s+"
 
 
 def n_words(text: Column) -> Column:
@@ -84,7 +86,7 @@ def measures(blocks: DataFrame) -> DataFrame:
 
 def not_whole_title(title: Column) -> Column:
     """A part of the title says that the page is not a whole piece."""
-    return F.exists(F.split(title, r"\s*(?:[-|–—]|--)\s+"), lambda p: p.rlike(NOT_WHOLE))
+    return F.exists(F.split(title, _TITLE_PARTS), lambda p: p.rlike(NOT_WHOLE))
 
 
 def opens_badly(first: Column) -> Column:
@@ -178,7 +180,7 @@ def readable(text: Column) -> Column:
     return (n >= 40) & shaped & (small >= 0.33 * n) & (f <= 0.043 * F.greatest(letters, F.lit(1))) & (digits <= 0.02 * F.greatest(total, F.lit(1)))
 
 
-# Words that sell.
+#: Words that sell: a choice of this library.
 AD_WORDS = "buy sale discount offer price order shipping free subscribe deal coupon shop cart checkout save".split()
 
 

@@ -157,7 +157,20 @@ def kin(spark, sf):
     return search.kin(texts(spark, sf))
 
 
-@query()
+@query(f"""WITH {TEXTS}, d AS (SELECT target, lower(coalesce(title, '')) AS title, {_FOLD.format("title")} AS t, {_FOLD.format("regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10) || '?', '')")} AS b, updated FROM texts),
+runs AS (SELECT target, unnest(regexp_extract_all(t, '\\p{{L}}+')) AS word, 5.0 AS w FROM d UNION ALL SELECT target, unnest(regexp_extract_all(b, '\\p{{L}}+')), 1.0 FROM d),
+sizes AS (SELECT target, len(regexp_extract_all(t, '\\p{{L}}+')) + len(regexp_extract_all(b, '\\p{{L}}+')) AS len FROM d),
+corpus AS (SELECT count(*) AS total, avg(len) AS avg FROM sizes),
+counted AS (SELECT target, word, count(*) AS n, sum(w) AS tf FROM runs WHERE length(word) BETWEEN 5 AND 24 GROUP BY 1, 2),
+df AS (SELECT word, count(*) AS df FROM counted GROUP BY word),
+used AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, word) <= 400),
+scored AS (SELECT target, word, n, round((1 + ln(CAST(n AS DOUBLE))) * ln((total + 1) / df), 9) AS score FROM used JOIN df USING (word), corpus WHERE df >= 2 AND df <= greatest(3, total // 50) AND total >= 20),
+rare AS (SELECT target, word FROM scored QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, n DESC, word) <= 10),
+pairs AS (SELECT r.target, c.target AS kin, greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg)) AS part
+ FROM rare r JOIN counted c USING (word) JOIN df USING (word) JOIN sizes z ON z.target = c.target JOIN d a ON a.target = r.target JOIN d k ON k.target = c.target, corpus
+ WHERE r.target <> c.target AND k.updated < a.updated AND a.title <> k.title),
+shared AS (SELECT target, kin, count(*) AS shared, round(sum(part), 9) AS score FROM pairs GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT target, kin, shared FROM shared QUALIFY row_number() OVER (PARTITION BY target ORDER BY shared DESC, score DESC, kin) = 1""")
 def read_kin(spark, sf):
     """Documents are read in the order of their numbers, and each is asked for when it is read."""
     docs = texts(spark, sf).select("target", "title", F.regexp_replace("text", r"^[^\n]*\n?", "").alias("text"), "updated")
