@@ -87,9 +87,9 @@ def item_upsert(spark, sf):
     return feeds.upsert(every.where("item_id % 2 = 0"), batch).drop("item_id", "published")
 
 
-@query()
+@query(SQL["item_upsert"])
 def every_item_upsert(spark, sf):
-    """As item_upsert, with every item in one side at least: odd ones are in the batch too."""
+    """As item_upsert: every item is in one side at least, the odd ones in the batch."""
     every = items(spark, sf)
     content = F.when(F.col("item_id") % 4 == 0, F.concat("content", F.lit(" and more"))).otherwise("x")
     batch = every.where("item_id % 3 = 0 OR item_id % 2 <> 0").select("item_id", "feed_id", "guid", F.concat(F.lit("new "), "title").alias("title"), "published", content.alias("content"), F.col("item_id").alias("seq"))
@@ -145,9 +145,9 @@ def chapter_merge(spark, sf):
     return feeds.merge_chapters(known, listed)
 
 
-@query()
+@query(SQL["chapter_merge"])
 def every_chapter_merge(spark, sf):
-    """As chapter_merge, with every chapter in one side at least: the unknown ones are all listed."""
+    """As chapter_merge: every chapter is in one side at least, the unknown ones are all listed."""
     from pyspark.sql import Window
 
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("serial_id"), F.col("o_orderkey").cast("string").alias("url"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("place"))

@@ -113,7 +113,7 @@ def titles_in_case(spark, sf):
     return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))
 
 
-@query()
+@query(SQL["titles_in_case"])
 def every_title_in_case(spark, sf):
     both = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return both.select("n_nationkey", fn.title_case(F.concat("n_name", F.lit(" OF THE "), "r_name")).alias("title"))

@@ -347,12 +347,21 @@ def mended_texts(spark, sf):
     return texts(spark, sf).select("target", quality.mended_marks(F.col("text")).alias("text"))
 
 
-@query()
+@query(f"""WITH {TEXTS}, s AS (SELECT target, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ts FROM texts),
+t AS (SELECT target, i - 1 AS n, ts[i] AS token FROM s, unnest(range(1, len(ts) + 1)) u(i)),
+c AS (SELECT *, CASE WHEN regexp_matches(token, '^["''“‘(]*\\p{{L}}[\\p{{L}}''’-]*[.,;:!?"''”’)]*$') THEN 'clean' WHEN len(regexp_extract_all(token, '\\p{{L}}')) * 2 >= length(token) OR regexp_matches(token, '^[\\d.,;:!?()''"-]+$') THEN 'grey' ELSE 'junk' END AS class FROM t),
+r AS (SELECT *, sum(CASE WHEN class = 'clean' THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY n) AS run FROM c)
+SELECT target, min(n) AS start, count(*) AS size FROM r WHERE class <> 'clean' GROUP BY target, run HAVING count(*) >= 3 AND count(*) FILTER (WHERE class = 'junk') >= 1""")
 def junk_runs(spark, sf):
     return quality.junk_runs(texts(spark, sf))
 
 
-@query()
+@query(f"""WITH {TEXTS}, p AS (SELECT target, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS plain FROM texts),
+f AS (SELECT target, plain, {_FOLD.format("plain")} AS folded FROM p),
+g AS (SELECT target, plain, CASE WHEN regexp_matches(folded, '(?:^|[^\\p{{L}}\\p{{N}}])then') THEN length(regexp_extract(folded, '^(.*?(?:^|[^\\p{{L}}\\p{{N}}]))then', 1)) + 1 ELSE 0 END AS at FROM f),
+h AS (SELECT *, CASE WHEN at > 61 THEN at - 60 ELSE 1 END AS start FROM g)
+SELECT target, CASE WHEN at > 0 THEN CASE WHEN start > 1 THEN '…' ELSE '' END || substr(plain, start, at - start) || '**' || substr(plain, at, 4) || '**' || substr(plain, at + 4, greatest(156 - (at - start), 0)) || CASE WHEN length(plain) > start + 159 THEN '…' ELSE '' END
+ ELSE substr(plain, 1, 160) || CASE WHEN length(plain) > 160 THEN '…' ELSE '' END END AS snippet FROM h""".replace(" at ", " place ").replace("(at ", "(place ").replace(" at,", " place,").replace("AS at", "AS place"))
 def snippets(spark, sf):
     return texts(spark, sf).select("target", search.snippet(F.col("text"), "then").alias("snippet"))
 
