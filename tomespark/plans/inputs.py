@@ -58,3 +58,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = F.when(turn == 0, F.array().cast("array<string>")).when(turn % 5 == 4, F.array(F.lit("lost"))).otherwise(F.array(name(turn - 2), name(turn - 1)))
     subject = F.concat(F.when(turn > 0, "Re: ").otherwise(""), F.lit("Talk "), F.col("conv_id"))
     return c.select("conv_id", turn.alias("num"), name(turn).alias("message_id"), subject.alias("subject"), refs.alias("references"), turn.alias("date"), F.col("role").alias("sender"), F.col("text").alias("body"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table in as many parts as there are cores at least; a single file would be worked on by one of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
 from tomespark.operators import index, pieces, quality, repair, search
-from tomespark.plans.inputs import TEXTS, table, texts
+from tomespark.plans.inputs import TEXTS, dealt, table, texts
 from tomespark.sources import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,7 +206,7 @@ def page_measures(spark, sf):
 
 def stored_vocabulary(spark, sf: str):
     """The vocabulary of ``documents``, made once and read from the shared folder then."""
-    return shared.kept(spark, _place(spark, sf, "vocabulary"), lambda: search.vocabulary(texts(spark, sf)))
+    return shared.kept(spark, _place(spark, sf, "vocabulary"), lambda: search.vocabulary(dealt(texts(spark, sf))))
 
 
 _WORD = repair.WORD.replace("'", "''")
@@ -264,7 +264,7 @@ mends AS (SELECT word, split, mended FROM split FULL JOIN mended USING (word))""
 @query(f"WITH {TEXTS}, {_MENDS} SELECT word, split, mended FROM mends")
 def word_mends(spark, sf):
     """Unknown words that one confused place, or one lost blank, explains."""
-    return repair.word_mends(texts(spark, sf), stored_vocabulary(spark, sf))
+    return repair.word_mends(dealt(texts(spark, sf)), stored_vocabulary(spark, sf))
 
 
 @query(f"""WITH {TEXTS}, {_MENDS}, cut AS (SELECT target, string_split_regex(text, '{_WORD}') AS gaps, regexp_extract_all(text, '{_WORD}') AS words FROM texts WHERE text IS NOT NULL),
@@ -275,7 +275,7 @@ done AS (SELECT target, i, gap, CASE WHEN word IS NULL THEN '' WHEN mends.word I
  FROM each LEFT JOIN mends ON mends.word = lower(each.word))
 SELECT target, string_agg(gap || word, '' ORDER BY i) AS text FROM done GROUP BY target UNION ALL SELECT target, text FROM texts WHERE text IS NULL""".replace("WHEN word IS NULL THEN ''", "WHEN each.word IS NULL THEN ''"))
 def repaired_texts(spark, sf):
-    docs = texts(spark, sf).select("target", "text")
+    docs = dealt(texts(spark, sf).select("target", "text"))
     return repair.with_mended_words(docs, repair.word_mends(docs, stored_vocabulary(spark, sf)))
 
 
@@ -300,7 +300,7 @@ parts AS (SELECT *, sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY ta
 SELECT target, n, CAST(dense_rank() OVER (PARTITION BY target, n ORDER BY p) - 1 AS INTEGER) AS part, string_agg(token, ' ' ORDER BY i) AS text FROM parts WHERE NOT cut GROUP BY target, n, p""")
 def split_noise(spark, sf):
     """Lines cut where the print was noise."""
-    lines = texts(spark, sf).select("target", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    lines = dealt(texts(spark, sf)).select("target", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return repair.split_junk(lines, stored_vocabulary(spark, sf))
 
 
