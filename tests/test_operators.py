@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import os
 import random
 import struct
@@ -333,3 +334,29 @@ def test_feed_upkeep_stream(spark, tmp_path):
     last = max(x for x in os.listdir(tmp_path / "items") if x.startswith("v"))
     got = {r["guid"]: (r["title"], r["content"]) for r in spark.read.parquet(str(tmp_path / "items" / last)).collect()}
     assert got == {"a": ("Again", "xx"), "b": ("Two", "y")}
+
+
+def test_kin_pairs_are_no_rows(spark, monkeypatch):
+    """Words of one document in fifty and more: pairs are compared in blocks, and the best of all is found whatever the blocks are."""
+    rng = random.Random(3)
+    marks = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(60)]
+    words = {w: rng.sample(range(600), 12) for w in marks}
+    docs = {f"d{n:03d}": " ".join(["common", *(w for w in marks if n in words[w])]) for n in range(600)}
+    table = spark.createDataFrame(list(docs.items()), "target string, text string")
+    held = {t: set(x.split()) for t, x in docs.items()}
+    df = {w: sum(w in h for h in held.values()) for h in held.values() for w in h}
+    want = {}
+    for t, own in held.items():
+        rare = sorted((w for w in own if 2 <= df[w] <= 12 and 5 <= len(w) <= 24 and w.isalpha()), key=lambda w: (-round(math.log(601 / df[w]), 9), w))[:10]
+        found = sorted((-len(h.intersection(rare)), k) for k, h in held.items() if k != t and len(h.intersection(rare)) >= 2)
+        if found:
+            want[t] = (found[0][1], -found[0][0])
+    for size in (1 << 30, 150):
+        monkeypatch.setattr(search, "ASKED_WORDS", size)
+        monkeypatch.setattr(search, "HELD_WORDS", size)
+        monkeypatch.setattr(search, "PAIRS", min(size, 64))
+        got = search.kin(table)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {r["target"]: (r["kin"], r["shared"]) for r in got.collect()} == want and want
+        # No join of the asking words with all that hold them is left in the plan.
+        assert "FlatMapCoGroupsInArrow" in plan
