@@ -92,3 +92,16 @@ def test_ranks_as_search_over_texts(spark, make):
     near = lambda found: [(x["target"], round(x["score"], 9)) for x in found.collect()]
     for q in ["alpha", "alph beta", '"beta gamma" be', '"alpha alpha"', "delta gamma alpha"]:
         assert near(index.search(q)) == near(search.search(held, search.postings(held), q))
+
+
+def test_a_task_holds_few_positions(monkeypatch):
+    """However many documents a batch has, rows go on after a bounded number of positions."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(index_module, "PLACES", 50)
+    bodies = [[f"w{n}", "and"] * 10 for n in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{n}" for n in range(40)]), pa.array([["title"]] * 40), pa.array(bodies)], names=["target", "title", "body"])
+    out = list(index_module._placed(iter([batch])))
+    assert len(out) == 14 and all(sum(map(len, b["body"].to_pylist())) <= 70 for b in out)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) == 120 and [r["body"] for r in rows if r["term"] == "w7"] == [list(range(0, 20, 2))]

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tomespark.operators.search import B, BODY_WEIGHT, K1, KIND_GROUPS, TITLE_WEIGHT, Term, parse_query, tokens
 
 BUCKETS, PREFIX = 64, 3
+#: Positions that a task holds as Python values.
+PLACES = 100_000
 #: Goes up when what lies on disk changes its form.
 LAYOUT = 2
 DOCUMENTS = "target string, kind string, title string, text string, updated long, len long, deleted boolean"
@@ -38,22 +40,36 @@ def bucket(term: Column) -> Column:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The positions of each token of a document, gathered where the document lies."""
+    """The positions of each token of a document, gathered where the document lies.
+
+    One document at a time becomes Python values, and rows go on in batches of
+    about PLACES positions, so memory depends on neither the documents of a task
+    nor those of a batch.
+    """
+    lists = pa.list_(pa.int32())
+
+    def rows(terms: list, targets: list, title: list, body: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(targets, pa.string()), pa.array(title, lists), pa.array(body, lists)], names=["term", "target", "title", "body"])
+
+    held: tuple[list, list, list, list] = [], [], [], []
+    n = 0
     for batch in batches:
-        terms, targets, title, body = [], [], [], []
-        for target, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in range(batch.num_rows):
+            target, *columns = (c[row].as_py() for c in batch.columns)
             places: dict[str, tuple[list[int], list[int]]] = {}
             for k, found in enumerate(columns):
                 for i, term in enumerate(found):
                     if term not in places:
                         places[term] = ([], [])
                     places[term][k].append(i)
-            terms += places
-            targets += [target] * len(places)
-            title += [t for t, _ in places.values()]
-            body += [b for _, b in places.values()]
-        lists = [pa.array(x, pa.list_(pa.int32())) for x in (title, body)]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(targets, pa.string()), *lists], names=["term", "target", "title", "body"])
+                n += len(found)
+            for column, values in zip(held, (places, [target] * len(places), [t for t, _ in places.values()], [b for _, b in places.values()])):
+                column += values
+            if n >= PLACES:
+                yield rows(*held)
+                held, n = ([], [], [], []), 0
+    if n:
+        yield rows(*held)
 
 
 def term_postings(docs: DataFrame) -> DataFrame:
