@@ -360,3 +360,14 @@ def test_kin_pairs_are_no_rows(spark, monkeypatch):
         assert {r["target"]: (r["kin"], r["shared"]) for r in got.collect()} == want and want
         # No join of the asking words with all that hold them is left in the plan.
         assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_a_task_holds_few_blocks(monkeypatch):
+    """However many pages a batch has, blocks go on after a bounded number of characters."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(files, "BLOCK_CHARS", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{n}" for n in range(30)]), pa.array(["<h1>A</h1><p>some words of a page</p>"] * 29 + [None])], names=["target", "html"])
+    out = list(files._block_rows(iter([batch])))
+    assert len(out) == 6 and max(b.num_rows for b in out) <= 10
+    assert [(r["block_no"], r["kind"], r["text"]) for b in out for r in b.to_pylist() if r["target"] == "p3"] == [(0, "heading", "A"), (1, "paragraph", "some words of a page")]
