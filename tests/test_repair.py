@@ -170,3 +170,24 @@ def test_readable(spark):
     ]
     got = texts(spark, prose, *others).withColumn("r", quality.readable(F.col("text"))).orderBy("target").collect()
     assert [r["r"] for r in got] == [True] + [False] * len(others)
+
+
+def test_other_spellings_keep_their_outline(spark, tmp_path):
+    words = ["modern", "when", "libel", "filth", "niihau", "rniddle", "wavvy", "hubbub", "e", "ünlü", "mm"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    spelt = df.select("word", F.explode(repair.confused(F.col("word"))).alias("other"))
+    assert spelt.count() > 60 and spelt.where(repair.outline(F.col("word")) != repair.outline(F.col("other"))).count() == 0
+    junk = spark.createDataFrame([(" ".join(["tlie", *(f"{a}z{c}qx" for a in "behlu" for c in "ncf")]),)], "text string")
+    got = repair.word_mends(junk, spark.createDataFrame([("the",), ("thing",)], "word string"))
+    assert [tuple(r) for r in got.collect()] == [("tlie", None, "the")]
+    # What follows reads the unknown words, not the texts.
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 0
+
+
+def test_noise_is_cut_within_a_row(spark):
+    """Tokens of a paragraph are no rows when its runs are found: no window, and nothing is sorted by place."""
+    words = spark.createDataFrame([("good",), ("word",)], "word string")
+    texts = ["good xq zz# good word", "good xq zz# qp Good word", "xq zz# qp", "xq zz# qp good  xq word q# q# q#", "", None, "Xy Xz Xw good"]
+    got = repair.split_junk(spark.createDataFrame([("a", n, t) for n, t in enumerate(texts)], "target string, n int, text string"), words)
+    assert sorted((r["n"], r["part"], r["text"]) for r in got.collect()) == [(0, 0, "good xq zz# good word"), (1, 0, "good"), (1, 1, "Good word"), (3, 0, "good xq word"), (6, 0, "Xy Xz Xw good")]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

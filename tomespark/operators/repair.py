@@ -6,8 +6,8 @@ and one join says which of these are words. The few that can be mended go back t
 the documents that hold them, and there the text is put together again in one
 expression.
 
-Paragraphs of noise are cut the same way: tokens get a class by a join, and the
-runs of a paragraph are found by windows over its own tokens.
+Paragraphs of noise are cut the same way: tokens get a class by a join, those that
+are not clean go back to their paragraphs, and runs are found there by a pattern.
 """
 
 from __future__ import annotations
@@ -83,12 +83,20 @@ def confused(word: Column) -> Column:
     return F.array_distinct(F.array_compact(F.flatten(F.transform(rules, lambda r: F.transform(places, lambda i: at(r, i))))))
 
 
+def outline(word: Column) -> Column:
+    """What a word and all that confused() makes of it have in common: letters that are taken for one another are one, and so are runs of it."""
+    return F.regexp_replace(F.replace(F.replace(F.translate(word, "bhiluef", "nnnnncs"), F.lit("m"), F.lit("rn")), F.lit("w"), F.lit("vv")), "n+", "n")
+
+
 def word_mends(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, split, mended): the unknown words of the texts that come apart, or become a word by one place, in one way only."""
     words = docs.select(F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), may_mend), F.lower))).alias("word")).distinct()
     known = vocabulary.select("word").distinct()
-    unknown = words.join(known, "word", "left_anti")
-    spelt = unknown.select("word", F.explode(confused(F.col("word"))).alias("mended")).join(known.withColumnRenamed("word", "mended"), "mended", "left_semi")
+    # Written, since it is read twice and made of all texts.
+    unknown = written(words.join(known, "word", "left_anti"), "unknown")
+    # Most have the outline of no word, and are not spelt anew.
+    likely = unknown.join(known.select(outline(F.col("word")).alias("_o")), outline(F.col("word")) == F.col("_o"), "left_semi")
+    spelt = likely.select("word", F.explode(confused(F.col("word"))).alias("mended")).join(known.withColumnRenamed("word", "mended"), "mended", "left_semi")
     mended = spelt.groupBy("word").agg(F.count("*").alias("n"), F.min("mended").alias("mended")).where("n = 1").drop("n")
     tails = F.explode(F.array(*map(F.lit, TAILS))).alias("tail")
     apart = unknown.where(F.octet_length("word") >= 5).select("word", tails).where(F.endswith("word", "tail"))
@@ -211,19 +219,20 @@ def split_junk(paragraphs: DataFrame, vocabulary: DataFrame, least: int = NOISE_
     Noise spreads over the names next to it from both sides, so a run of tokens
     that are not clean is noise as soon as one of them is junk.
     """
-    each = paragraphs.select("target", "n", F.posexplode(F.filter(F.split("text", SPACES), lambda w: w != "")).alias("i", "token"))
-    classed = each.join(token_classes(each, vocabulary), "token", "left").withColumn("class", F.coalesce("class", F.lit(0)))
-    order = Window.partitionBy("target", "n").orderBy("i")
-    runs = classed.withColumn("run", F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(order))
-    bad = F.col("class") > 0
-    in_run = Window.partitionBy("target", "n", "run")
-    runs = runs.withColumn("cut", bad & (F.sum(F.when(bad, 1).otherwise(0)).over(in_run) >= least) & (F.max(F.when(bad, F.col("class"))).over(in_run) == 2))
-    parts = runs.withColumn("part", F.sum(F.when(F.col("cut") & ~F.coalesce(F.lag("cut").over(order), F.lit(False)), 1).otherwise(0)).over(order)).where(~F.col("cut"))
-    # A paragraph that opens on noise has no part before it.
-    least_part = F.min("part").over(Window.partitionBy("target", "n"))
-    parts = parts.withColumn("part", (F.col("part") - least_part).cast("int"))
-    joined = parts.groupBy("target", "n", "part").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("t"))
-    return joined.select("target", "n", "part", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("text"))
+    tokens = F.filter(F.split("text", SPACES), lambda w: w != "")
+    each = paragraphs.select("target", "n", F.explode(F.array_distinct(tokens)).alias("token"))
+    # Only tokens that are not clean go back to their paragraphs.
+    bad = each.join(token_classes(each, vocabulary), "token").groupBy("target", "n").agg(F.map_from_entries(F.collect_set(F.struct("token", "class"))).alias("_bad"))
+    classed = paragraphs.select("target", "n", tokens.alias("t")).join(bad, ["target", "n"], "left")
+    # A digit for each token, so runs are found by a pattern.
+    digits = F.when(F.col("_bad").isNull(), F.repeat(F.lit("0"), F.size("t"))).otherwise(F.array_join(F.transform("t", lambda w: F.coalesce(F.try_element_at(F.col("_bad"), w), F.lit(0)).cast("string")), ""))
+    noise = rf"(?<![12])(?=[12]{{{least}}})[12]*2[12]*(?![12])"
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    at = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
+    step = lambda s, p: F.struct((s["at"] + size(p["gap"]) + size(p["match"])).alias("at"), F.concat(s["parts"], F.array(F.struct(s["at"].alias("at"), size(p["gap"]).alias("size")))).alias("parts"))
+    cut = classed.withColumn("_d", digits).withColumn("_p", F.filter(F.aggregate(pieces(F.col("_d"), noise), at, step)["parts"], lambda p: p["size"] > 0))
+    parts = cut.select("target", "n", "t", F.posexplode("_p").alias("part", "_p"))
+    return parts.select("target", "n", "part", F.array_join(F.slice("t", F.col("_p.at"), F.col("_p.size")), " ").alias("text"))
 
 
 def word_counts(texts: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
