@@ -76,3 +76,16 @@ def test_packets_of_several_days(spark):
         shown = spark.createDataFrame([tuple(x) for x in kept], SHOWN)
         state = spark.createDataFrame([tuple(x) for x in drawn.select("user", "bag", "bags").collect()], "user long, bag array<string>, bags long")
     assert all(x["at"] > days[-1] - timedelta(days=30) for x in kept)
+
+
+def test_bags_keep_other_columns_and_are_counted_where_they_lie(spark):
+    from tomespark.operators import bags
+
+    weights = {"a": 2, "b": 1}
+    first = bags.draw(bags.new_users(spark.range(40).withColumnRenamed("id", "user")), weights, 4, seed=3)
+    again = bags.draw(first.withColumnRenamed("drawn", "before"), weights, 2, seed=3)
+    together = {r["user"]: r["drawn"] for r in bags.draw(bags.new_users(spark.range(40).withColumnRenamed("id", "user")), weights, 6, seed=3).collect()}
+    assert {r["user"]: r["before"] + r["drawn"] for r in again.collect()} == together
+    counted = bags.counts(again)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {(r["user"], r["family"]): r["n"] for r in counted.collect()} == {(r["user"], f): r["drawn"].count(f) for r in again.collect() for f in set(r["drawn"])}

@@ -79,24 +79,32 @@ def _drawn(user: object, bag: list[str], bags: int, last: str | None, weights: d
 
 
 def draw(states: DataFrame, weights: dict[str, int], n: int, seed: int = 0) -> DataFrame:
-    """(user, drawn, bag, bags, last): the next ``n`` families of every user, and the state after them.
+    """(user, drawn, bag, bags, last, ...): the next ``n`` families of every user, and the state after them.
 
     ``states`` has a row per user: what is left of the bag, how many bags were
     begun, and the last name drawn; nulls stand for a user who has drawn nothing.
-    A family that is gone leaves the bag; no family draws nothing.
+    A family that is gone leaves the bag; no family draws nothing. Other columns
+    stay, so that what was drawn before need not be joined again.
     """
-    kind = dict(states.dtypes)["user"]
+    kinds = dict(states.dtypes)
+    more = [c for c in states.columns if c not in ("user", "drawn", "bag", "bags", "last")]
     named = dict(sorted(weights.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_drawn(user, bag or [], bags or 0, last, named, n, seed) for user, bag, bags, last in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [_drawn(user, bag or [], bags or 0, last, named, n, seed) for user, bag, bags, last in zip(*(c.to_pylist() for c in batch.columns[:4]))]
             lists = pa.list_(pa.string())
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((lists, lists, pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["user", "drawn", "bag", "bags", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[4:]], names=["user", "drawn", "bag", "bags", "last", *more])
+
+    held = states.select("user", F.col("bag").cast("array<string>"), F.col("bags").cast("long"), F.col("last").cast("string"), *more)
+    return held.mapInArrow(run, ", ".join([f"user {kinds['user']}, drawn array<string>, bag array<string>, bags long, last string", *(f"`{c}` {kinds[c]}" for c in more)]))
+
 
-    held = states.select("user", F.col("bag").cast("array<string>"), F.col("bags").cast("long"), F.col("last").cast("string"))
-    return held.mapInArrow(run, f"user {kind}, drawn array<string>, bag array<string>, bags long, last string")
+def counts(drawn: DataFrame) -> DataFrame:
+    """(user, family, n): how often each family is among what a user has drawn (user, drawn), counted where it lies."""
+    times = F.transform(F.array_distinct("drawn"), lambda f: F.struct(f.alias("family"), F.size(F.filter("drawn", lambda x: x == f)).cast("long").alias("n")))
+    return drawn.select("user", F.explode(times).alias("x")).select("user", "x.family", "x.n")
 
 
 def new_users(users: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tomespark.functions import text as fn
 from tomespark.operators import bags, chains, feeds, history, ordering, packets, state
-from tomespark.plans.inputs import ITEMS, VISITS, items, table, visits
+from tomespark.plans.inputs import ITEMS, VISITS, dealt, items, table, visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -154,18 +154,17 @@ _WEIGHTS = {"fiction": 3, "knowledge": 2, "print": 2, "plates": 2, "literature":
 SELECT c_custkey AS user, family, 2 * weight AS n FROM customer, w""")
 def bag_counts(spark, sf):
     """Two whole bags of every user hold each family twice as often as it weighs."""
-    users = bags.new_users(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")))
-    drawn = bags.draw(users, _WEIGHTS, 2 * sum(_WEIGHTS.values()), seed=7)
-    return drawn.select("user", F.explode("drawn").alias("family")).groupBy("user", "family").agg(F.count("*").alias("n"))
+    users = bags.new_users(dealt(table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))))
+    return bags.counts(bags.draw(users, _WEIGHTS, 2 * sum(_WEIGHTS.values()), seed=7))
 
 
 @query(f"SELECT c_custkey AS user, 0 AS alike, {len(_WEIGHTS)} AS in_first_round, 3 AS bags FROM customer")
 def bag_neighbours(spark, sf):
     """Drawn one after the other with the state kept between: no family follows itself, and each comes before any comes again in its round."""
-    state_of = bags.new_users(table(spark, sf, "customer").select(F.col("c_custkey").alias("user")))
+    state_of = bags.new_users(dealt(table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))))
     first = bags.draw(state_of, _WEIGHTS, 14, seed=7)
-    second = bags.draw(first.select("user", "bag", "bags", "last"), _WEIGHTS, 14, seed=7).select("user", F.col("drawn").alias("more"), "bags")
-    both = first.select("user", "drawn").join(second, "user").select("user", F.concat("drawn", "more").alias("d"), "bags")
+    second = bags.draw(first.withColumnRenamed("drawn", "before"), _WEIGHTS, 14, seed=7)
+    both = second.select("user", F.concat("before", "drawn").alias("d"), "bags")
     alike = F.size(F.filter(F.zip_with(F.slice("d", 1, 27), F.slice("d", 2, 27), lambda a, b: a == b), lambda x: x))
     return both.select("user", alike.alias("alike"), F.size(F.array_distinct(F.slice("d", 1, 11))).alias("in_first_round"), "bags")
 
