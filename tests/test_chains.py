@@ -53,6 +53,22 @@ def test_chains_equal_a_walk(spark):
     assert [x["id"] for x in more.orderBy("place").collect()] == long_[330:]
 
 
+def test_long_chains_are_shortened_before_they_are_ranked(spark):
+    """Paths, forks and rings in every order, shortened until doubling has almost nothing to do; moved pages grow as the pages do."""
+    r = random.Random(8)
+    up, mixed, ring, pair = list(range(100)), list(range(200, 420)), list(range(500, 590)), [700, 701]
+    r.shuffle(mixed), r.shuffle(ring)
+    zigzag = [x for k in range(40) for x in (800 + k, 1000 - k)]
+    links = [x for c in (up, mixed, zigzag) for x in zip(c, [*c[1:], None])] + [x for c in (ring, pair) for x in zip(c, c[1:] + c[:1])]
+    links += [(i, r.choice(mixed)) for i in range(1100, 1140)]
+    rows = [tuple(x) for x in chains.chained(spark.createDataFrame(links, LINKS), few=4).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == walked(links)
+    every = spark.range(4000).selectExpr("id", "nullif(id - 1, -1) AS back", "CAST(id > 0 AS LONG) AS reach")
+    short, gone = chains._shortened(every, 100)
+    assert short.count() <= 100 and short.count() + sum(x.count() for x in gone) == 4000
+    assert len(gone) <= 14 and gone[0].count() > 1100
+
+
 def test_chains_of_nothing(spark):
     assert chains.chained(spark.createDataFrame([], LINKS)).collect() == []
     assert [tuple(x) for x in chains.chained(spark.createDataFrame([(1, None)], LINKS)).collect()] == [(1, 1, 1, False)]
