@@ -53,7 +53,7 @@ def replaced(text: Column, pattern: str, by: Callable[[Column, Column, Column],
     return F.array_join(F.transform(pieces(text, pattern), lambda p: F.concat(p["gap"], F.when(p["match"].isNull(), "").otherwise(by(p["match"], p["gap"], p["first"])))), "")
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -129,7 +129,7 @@ def with_mended_words(docs: DataFrame, mends: DataFrame) -> DataFrame:
             as_title = F.concat(F.upper(F.substring(to["mended"], 1, 1)), F.substring(to["mended"], F.lit(2), F.char_length(to["mended"])))
             return F.coalesce(F.when(is_small(word), F.coalesce(to["split"], to["mended"])).when(sentence_opens(gap, first), as_title), word)
 
-        return F.when(may_mend(word), _with(F.try_element_at(F.col("_mends"), F.lower(word)), as_told)).otherwise(word)
+        return F.when(may_mend(word), with_value(F.try_element_at(F.col("_mends"), F.lower(word)), as_told)).otherwise(word)
 
     text = F.when(F.col("_mends").isNull(), F.col("text")).otherwise(replaced(F.col("text"), WORD, mend))
     return marked.withColumn("text", text).drop("_mends")
@@ -195,7 +195,7 @@ def whole_sentences(text: Column) -> Column:
         first = F.array_position(F.transform(whole, lambda s: starts_sentence(F.trim(s))), True).cast("int")
         return F.when(first > 0, F.trim(F.array_join(F.slice(whole, F.greatest(first, F.lit(1)), F.size(whole)), ""))).otherwise("")
 
-    return _with(sentences(text), lambda every: _with(cut(every), from_first))
+    return with_value(sentences(text), lambda every: with_value(cut(every), from_first))
 
 
 # Noise
