@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tomespark.operators import quality, search
+from tomespark.operators import quality, repair, search
 from tomespark.plans import texts
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,16 @@ def test_titles_and_lines_are_judged_by_cheap_signs_first(spark):
     assert [(x["text"], x["words"]) for x in blocks.orderBy("block_no").collect()] == [("one two", 2), ("three four five", 3), ("x", 1)]
     # The vocabulary is asked of whole texts, not of their lines once more.
     assert plan(texts.text_verdicts(spark, SF)).lower().count("generate posexplode") == 1
+
+
+def test_texts_are_cut_into_words_once_to_be_repaired(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "Tbe house ofthe king. Tbe Tbe tbe, “Tbe TBE houseof"), ("b", "Houseof tbe. Tbe"), ("c", "the house"), ("d", None), ("e", ""), ("f", "\n'Tbe' tbe’s tbe\nTbe")], "target string, text string")
+    words = spark.createDataFrame([(w,) for w in "the house king of".split()], "word string")
+    two_steps = {x["target"]: x["text"] for x in repair.with_mended_words(docs, repair.word_mends(docs, words)).collect()}
+    got = repair.with_repaired_words(docs, words)
+    assert {x["target"]: x["text"] for x in got.collect()} == two_steps
+    assert two_steps["b"] == "Houseof the. The" and two_steps["f"] == "\n'The' tbe’s the\nThe" and two_steps["a"].endswith("TBE house of") and (two_steps["d"], two_steps["e"]) == (None, "")
+    # What is mended comes from the unknown words that were kept, not from the texts again.
+    assert "array_distinct" not in plan(got)
+    monkeypatch.setattr("tomespark.sources.shared.TOLD", 1)
+    assert {x["target"]: x["text"] for x in repair.with_repaired_words(docs, words).collect()} == two_steps

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomespark.functions.text import SPACES
-from tomespark.sources.shared import written
+from tomespark.sources.shared import told, written
 
 WORD = r"\p{L}+(?:['’]\p{L}+)*"
 _HYPHEN = r"(\p{L}+)-\s+(\p{Ll}+)"
@@ -88,12 +88,23 @@ def outline(word: Column) -> Column:
     return F.regexp_replace(F.replace(F.replace(F.translate(word, "bhiluef", "nnnnncs"), F.lit("m"), F.lit("rn")), F.lit("w"), F.lit("vv")), "n+", "n")
 
 
+def unknown_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(target, word): the words of each text (target, text) that may be mended and that the vocabulary does not have, in small letters."""
+    # Whether a word may be mended is asked once for each different word of a text.
+    words = docs.select("target", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("as_is"))
+    # A vocabulary that may be told to every task leaves out what it has where the words lie.
+    return words.where(may_mend(F.col("as_is"))).select("target", F.lower("as_is").alias("word")).join(told(vocabulary.select("word").distinct())[0], "word", "left_anti")
+
+
 def word_mends(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, split, mended): the unknown words of the texts that come apart, or become a word by one place, in one way only."""
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), may_mend), F.lower))).alias("word")).distinct()
-    known = vocabulary.select("word").distinct()
     # Written, since it is read twice and made of all texts.
-    unknown = written(words.join(known, "word", "left_anti"), "unknown")
+    return mends_of(written(unknown_words(docs, vocabulary).select("word").distinct(), "unknown"), vocabulary)
+
+
+def mends_of(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, split, mended) of the words (word) that can be mended; ``unknown`` is read twice."""
+    known = vocabulary.select("word").distinct()
     # Most have the outline of no word, and are not spelt anew.
     likely = unknown.join(known.select(outline(F.col("word")).alias("_o")), outline(F.col("word")) == F.col("_o"), "left_semi")
     spelt = likely.select("word", F.explode(confused(F.col("word"))).alias("mended")).join(known.withColumnRenamed("word", "mended"), "mended", "left_semi")
@@ -109,8 +120,12 @@ def word_mends(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def _with_map(docs: DataFrame, keys: Column, table: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """``docs`` (target, ...) with a map of the rows of ``table`` whose key is among a document's own ``keys``; null for none."""
     own = docs.select("target", F.explode(F.array_distinct(keys)).alias(key)).join(table, key)
-    maps = own.groupBy("target").agg(F.collect_set(F.struct(F.col(key).alias("k"), value.alias("v"))).alias(name)).select("target", F.map_from_entries(name).alias(name))
-    return docs.join(maps, "target", "left")
+    return docs.join(_maps(own, key, value, name), "target", "left")
+
+
+def _maps(own: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """(target, name): a map from the keys of each target to their values."""
+    return own.groupBy("target").agg(F.collect_set(F.struct(F.col(key).alias("k"), value.alias("v"))).alias(name)).select("target", F.map_from_entries(name).alias(name))
 
 
 def sentence_opens(before: Column, first: Column) -> Column:
@@ -121,18 +136,33 @@ def sentence_opens(before: Column, first: Column) -> Column:
 
 def with_mended_words(docs: DataFrame, mends: DataFrame) -> DataFrame:
     """``docs`` (target, text, ...) with words mended by word_mends(). Names inside a sentence and words in capitals stay."""
-    keys = F.transform(F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), may_mend), F.lower)
-    marked = _with_map(docs, keys, mends, "word", F.struct("split", "mended"), "_mends")
+    keys = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lower)
+    return _mended(_with_map(docs, keys, mends, "word", F.struct("split", "mended"), "_mends"))
+
+
+def with_repaired_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``docs`` (target, text, ...) with their own word_mends() applied: texts are cut into words once, and only unknown words are kept for both steps."""
+    own = written(unknown_words(docs, vocabulary), "unknown-words")
+    mends = written(mends_of(written(own.select("word").distinct(), "unknown"), vocabulary), "mends")
+    return _mended(docs.join(_maps(own.join(told(mends)[0], "word"), "word", F.struct("split", "mended"), "_mends"), "target", "left"))
+
 
-    def mend(word: Column, gap: Column, first: Column) -> Column:
+def _mended(marked: DataFrame) -> DataFrame:
+    """Texts with the mends in the map ``_mends``, or null for none."""
+
+    def mend(word: Column, gap: Column) -> Column:
         def as_told(to: Column) -> Column:
             as_title = F.concat(F.upper(F.substring(to["mended"], 1, 1)), F.substring(to["mended"], F.lit(2), F.char_length(to["mended"])))
-            return F.coalesce(F.when(is_small(word), F.coalesce(to["split"], to["mended"])).when(sentence_opens(gap, first), as_title), word)
+            return F.coalesce(F.when(is_small(word), F.coalesce(to["split"], to["mended"])).when(sentence_opens(gap, F.lit(False)), as_title), word)
 
-        return F.when(may_mend(word), with_value(F.try_element_at(F.col("_mends"), F.lower(word)), as_told)).otherwise(word)
+        # Few words are among the mends, so the rest is asked of these alone.
+        return with_value(F.try_element_at(F.col("_mends"), F.lower(word)), lambda to: F.when(to.isNull(), word).when(may_mend(word), as_told(to)).otherwise(word))
 
-    text = F.when(F.col("_mends").isNull(), F.col("text")).otherwise(replaced(F.col("text"), WORD, mend))
-    return marked.withColumn("text", text).drop("_mends")
+    # A line's end before the text opens its first sentence, as the text's start does.
+    text = F.concat(F.lit("\n"), F.col("text"))
+    mended = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, word: F.when(word.isNull(), gap).otherwise(F.concat(gap, mend(word, gap))))
+    whole = F.array_join(mended, "")
+    return marked.withColumn("text", F.when(F.col("_mends").isNull(), F.col("text")).otherwise(F.substring(whole, 2, 2**31 - 1))).drop("_mends")
 
 
 def with_joined_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -256,6 +286,12 @@ def word_counts(texts: DataFrame, vocabulary: DataFrame, key: list[str]) -> Data
 # From pages to paragraphs
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` (..., text) with its text made before a filter asks for it: a filter on an expression would have it made again for each mention."""
+    rest = [c for c in df.columns if c != "text"]
+    return df.select(*rest, F.explode(F.array("text")).alias("text"))
+
+
 def fragment(p: Column) -> Column:
     """A short piece of a sentence, and not a page number or a running head."""
     words = F.filter(F.split(p, " "), lambda w: w != "")
@@ -285,7 +321,7 @@ def scan_paragraphs(pages: DataFrame, vocabulary: DataFrame, mended_marks: Calla
     # Written, since all that follows reads it several times.
     scraps = split.select(F.struct("target.target", "target.page", "n").alias("target"), mended_marks(F.trim(F.regexp_replace("text", r"[ \t\n]+", " "))).alias("text"))
     scraps = written(scraps, "scraps")
-    scraps = with_mended_words(scraps, word_mends(scraps, vocabulary))
+    scraps = once(with_repaired_words(scraps, vocabulary))
     scraps = scraps.where((F.char_length("text") >= SCRAP) | fragment(F.col("text"))).select("target.target", "target.page", "target.n", "text")
     order = Window.partitionBy("target").orderBy("page", "n")
     # Whether a paragraph ends is said once for each, before the window.
@@ -294,7 +330,7 @@ def scan_paragraphs(pages: DataFrame, vocabulary: DataFrame, mended_marks: Calla
     numbered = ended.withColumn("_new", new).withColumn("_p", F.sum("_new").over(order))
     joined = numbered.groupBy("target", F.col("_p").alias("n")).agg(F.array_sort(F.collect_list(F.struct("page", F.col("n").alias("at"), "text"))).alias("t"))
     paragraphs = written(joined.select("target", "n", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text")), "paragraphs")
-    parts = split_junk(paragraphs, vocabulary).withColumn("text", whole_sentences(F.col("text"))).where(F.char_length("text") >= PARAGRAPH)
+    parts = once(split_junk(paragraphs, vocabulary).withColumn("text", whole_sentences(F.col("text")))).where(F.char_length("text") >= PARAGRAPH)
     first = F.regexp_replace(F.substring_index("text", " ", 1), r"^\P{L}+|\P{L}+$", "")
     parts = parts.withColumn("word", F.lower(first)).withColumn("_capitals", (F.octet_length(first) >= 3) & (F.upper(first) == first))
     parts = parts.join(vocabulary.select("word", F.lit(True).alias("_known")).distinct(), "word", "left").where(~F.col("_capitals") | F.coalesce("_known", F.lit(False)))
