@@ -88,18 +88,18 @@ def outline(word: Column) -> Column:
     return F.regexp_replace(F.replace(F.replace(F.translate(word, "bhiluef", "nnnnncs"), F.lit("m"), F.lit("rn")), F.lit("w"), F.lit("vv")), "n+", "n")
 
 
-def unknown_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(target, word): the words of each text (target, text) that may be mended and that the vocabulary does not have, in small letters."""
+def unknown_words(docs: DataFrame, vocabulary: DataFrame, *key: str) -> DataFrame:
+    """(key, word): the words of each text (key, text) that may be mended and that the vocabulary does not have, in small letters."""
     # Whether a word may be mended is asked once for each different word of a text.
-    words = docs.select("target", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("as_is"))
+    words = docs.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("as_is"))
     # A vocabulary that may be told to every task leaves out what it has where the words lie.
-    return words.where(may_mend(F.col("as_is"))).select("target", F.lower("as_is").alias("word")).join(told(vocabulary.select("word").distinct())[0], "word", "left_anti")
+    return words.where(may_mend(F.col("as_is"))).select(*key, F.lower("as_is").alias("word")).join(told(vocabulary.select("word").distinct())[0], "word", "left_anti")
 
 
 def word_mends(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, split, mended): the unknown words of the texts that come apart, or become a word by one place, in one way only."""
     # Written, since it is read twice and made of all texts.
-    return mends_of(written(unknown_words(docs, vocabulary).select("word").distinct(), "unknown"), vocabulary)
+    return mends_of(written(unknown_words(docs, vocabulary).distinct(), "unknown"), vocabulary)
 
 
 def mends_of(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def with_mended_words(docs: DataFrame, mends: DataFrame) -> DataFrame:
 
 def with_repaired_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``docs`` (target, text, ...) with their own word_mends() applied: texts are cut into words once, and only unknown words are kept for both steps."""
-    own = written(unknown_words(docs, vocabulary), "unknown-words")
+    own = written(unknown_words(docs, vocabulary, "target"), "unknown-words")
     mends = written(mends_of(written(own.select("word").distinct(), "unknown"), vocabulary), "mends")
     return _mended(docs.join(_maps(own.join(told(mends)[0], "word"), "word", F.struct("split", "mended"), "_mends"), "target", "left"))
 
@@ -250,19 +250,23 @@ def split_junk(paragraphs: DataFrame, vocabulary: DataFrame, least: int = NOISE_
     that are not clean is noise as soon as one of them is junk.
     """
     tokens = F.filter(F.split("text", SPACES), lambda w: w != "")
-    each = paragraphs.select("target", "n", F.explode(F.array_distinct(tokens)).alias("token"))
-    # Only tokens that are not clean go back to their paragraphs.
-    bad = each.join(token_classes(each, vocabulary), "token").groupBy("target", "n").agg(F.map_from_entries(F.collect_set(F.struct("token", "class"))).alias("_bad"))
+    classes = written(token_classes(paragraphs.select(F.explode(F.array_distinct(tokens)).alias("token")), vocabulary), "classes")
+    # Only tokens that are not clean go back to their paragraphs, each with its place: no token is sought in a list of them.
+    found = paragraphs.select("target", "n", F.posexplode(tokens).alias("at", "token")).join(told(classes)[0], "token")
+    bad = found.groupBy("target", "n").agg(F.array_sort(F.collect_list(F.struct("at", "class"))).alias("_bad"))
     classed = paragraphs.select("target", "n", tokens.alias("t")).join(bad, ["target", "n"], "left")
     # A digit for each token, so runs are found by a pattern.
-    digits = F.when(F.col("_bad").isNull(), F.repeat(F.lit("0"), F.size("t"))).otherwise(F.array_join(F.transform("t", lambda w: F.coalesce(F.try_element_at(F.col("_bad"), w), F.lit(0)).cast("string")), ""))
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    upto = lambda x, i: F.concat(zeros(x["at"] - F.coalesce(F.get("_bad", i - 1)["at"], F.lit(-1)) - 1), x["class"].cast("string"))
+    digits = F.when(F.col("_bad").isNull(), zeros(F.size("t"))).otherwise(F.concat(F.array_join(F.transform("_bad", upto), ""), zeros(F.size("t") - 1 - F.element_at("_bad", -1)["at"])))
     noise = rf"(?<![12])(?=[12]{{{least}}})[12]*2[12]*(?![12])"
     size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
     at = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
     step = lambda s, p: F.struct((s["at"] + size(p["gap"]) + size(p["match"])).alias("at"), F.concat(s["parts"], F.array(F.struct(s["at"].alias("at"), size(p["gap"]).alias("size")))).alias("parts"))
-    cut = classed.withColumn("_d", digits).withColumn("_p", F.filter(F.aggregate(pieces(F.col("_d"), noise), at, step)["parts"], lambda p: p["size"] > 0))
-    parts = cut.select("target", "n", "t", F.posexplode("_p").alias("part", "_p"))
-    return parts.select("target", "n", "part", F.array_join(F.slice("t", F.col("_p.at"), F.col("_p.size")), " ").alias("text"))
+    # Parts are made inside the generator: as a column they would be made again for the filter that Spark puts before it.
+    parts = F.filter(F.aggregate(pieces(F.col("_d"), noise), at, step)["parts"], lambda p: p["size"] > 0)
+    cut = classed.withColumn("_d", digits).select("target", "n", "t", F.posexplode(parts).alias("part", "_p"))
+    return cut.select("target", "n", "part", F.array_join(F.slice("t", F.col("_p.at"), F.col("_p.size")), " ").alias("text"))
 
 
 def word_counts(texts: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
