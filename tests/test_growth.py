@@ -86,3 +86,24 @@ def test_texts_are_cut_into_words_once_to_be_repaired(spark, monkeypatch):
     assert "array_distinct" not in plan(got)
     monkeypatch.setattr("tomespark.sources.shared.TOLD", 1)
     assert {x["target"]: x["text"] for x in repair.with_repaired_words(docs, words).collect()} == two_steps
+
+
+def test_noise_is_not_sought_in_lists(spark):
+    words = spark.createDataFrame([(w,) for w in "the house king".split()], "word string")
+    texts_ = [("a", 0, "the house ##1 @@ xq§ the king"), ("a", 1, "@@ ## «» the"), ("b", 0, "the @@ house"), ("c", 0, ""), ("d", 0, "the king Zq @@ ##"), ("e", 0, "@@ @@ @@")]
+    got = repair.split_junk(spark.createDataFrame(texts_, "target string, n int, text string"), words)
+    assert {tuple(x) for x in got.collect()} == {("a", 0, 0, "the house"), ("a", 0, 1, "the king"), ("a", 1, 0, "the"), ("b", 0, 0, "the @@ house"), ("d", 0, 0, "the king")}
+    assert "map_from_entries" not in plan(got) and "try_element_at" not in plan(got)
+    # The text of a filter is made once.
+    made = spark.createDataFrame(texts_, "target string, n int, text string").withColumn("text", F.regexp_replace("text", "h", "H"))
+    assert plan(repair.once(made).where("char_length(text) > 3 AND text <> 'x'")).count("regexp_replace") == 1
+
+
+def test_parts_of_texts_stay_small(spark, monkeypatch):
+    monkeypatch.setattr("tomespark.plans.inputs.PART", 20_000)
+    docs = texts.texts(spark, SF)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    whole = texts.reindexed_documents(spark, SF)
+    # What documents are dealt by also deals their terms: no posting is shuffled.
+    assert set(re.findall(r"hashpartitioning\(([^)]*)", plan(whole))) and not re.findall(r"hashpartitioning\(target#\d+, term", plan(whole))
+    assert max(int(n) for n in re.findall(r"hashpartitioning\(target#\d+, (\d+)\)", plan(whole))) >= size // 20_000 > 8
