@@ -12,6 +12,7 @@ are not clean go back to their paragraphs, and runs are found there by a pattern
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,10 @@ from tomespark.functions.text import SPACES
 from tomespark.sources.shared import told, written
 
 WORD = r"\p{L}+(?:['’]\p{L}+)*"
-_HYPHEN = r"(\p{L}+)-\s+(\p{Ll}+)"
+# A match begins where a word does, or where the last match ended, so a word is not tried from each of its letters. A letter before it may have two code units.
+_HYPHEN = r"(?:\G|(?<!\p{L}{1,2}))(\p{L}++)-\s+(\p{Ll}+)"
+# Whether a text has such a pair; found in one pass.
+_BROKEN = r"\p{L}-\s+\p{Ll}"
 
 # Letters that scans take for one another, both ways.
 CONFUSED = [("b", "h"), ("e", "c"), ("u", "n"), ("i", "l"), ("i", "u"), ("f", "s"), ("li", "h"), ("ii", "u"), ("ii", "n"), ("rn", "m"), ("vv", "w"), ("tl", "th")]
@@ -39,16 +43,17 @@ TITLE_SMALL = ["of", "the", "and", "in", "a", "an", "to", "for", "on", "at", "by
 SCRAP, PARAGRAPH, COUNTED, CLEAN, NOISE_RUN = 40, 60, 8, 0.85, 3
 
 
-def pieces(text: Column, pattern: str) -> Column:
+def pieces(text: Column, pattern: str | Column) -> Column:
     """(gap, first, match): each match with what lies before it, and at the end what lies behind the last, with a null match.
 
     Both arrays are made once; inside a lambda they would be made again for every element.
     """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps = F.transform(F.split(text, pattern, -1), lambda g, i: F.struct(g.alias("gap"), (i == 0).alias("first")))
-    return F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g["gap"].alias("gap"), g["first"].alias("first"), m.alias("match")))
+    return F.zip_with(gaps, F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.struct(g["gap"].alias("gap"), g["first"].alias("first"), m.alias("match")))
 
 
-def replaced(text: Column, pattern: str, by: Callable[[Column, Column, Column], Column]) -> Column:
+def replaced(text: Column, pattern: str | Column, by: Callable[[Column, Column, Column], Column]) -> Column:
     """``text`` with every match of ``pattern`` replaced by ``by(match, gap, first)``; the gap lies before the match, and before the first match there is no other."""
     return F.array_join(F.transform(pieces(text, pattern), lambda p: F.concat(p["gap"], F.when(p["match"].isNull(), "").otherwise(by(p["match"], p["gap"], p["first"])))), "")
 
@@ -68,7 +73,7 @@ def is_capitalised(word: Column) -> Column:
 
 
 def may_mend(word: Column) -> Column:
-    return (F.octet_length(word) >= 3) & ~word.rlike("['’]") & (is_small(word) | is_capitalised(word))
+    return (F.octet_length(word) >= 3) & ~F.contains(word, F.lit("'")) & ~F.contains(word, F.lit("’")) & (is_small(word) | is_capitalised(word))
 
 
 def confused(word: Column) -> Column:
@@ -89,17 +94,22 @@ def outline(word: Column) -> Column:
 
 
 def unknown_words(docs: DataFrame, vocabulary: DataFrame, *key: str) -> DataFrame:
-    """(key, word): the words of each text (key, text) that may be mended and that the vocabulary does not have, in small letters."""
+    """(key, as_is, word): the different words of each text (key, text) that may be mended and that the vocabulary does not have; word in small letters."""
+    # A vocabulary that may be told to every task leaves out what it has where the words lie.
+    return _may_be_mended(docs, *key).join(told(vocabulary.select("word").distinct())[0], "word", "left_anti").select(*key, "as_is", "word")
+
+
+def _may_be_mended(docs: DataFrame, *key: str) -> DataFrame:
+    """(key, as_is, word): the different words of each text (key, text) that may be mended; word in small letters."""
     # Whether a word may be mended is asked once for each different word of a text.
     words = docs.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("as_is"))
-    # A vocabulary that may be told to every task leaves out what it has where the words lie.
-    return words.where(may_mend(F.col("as_is"))).select(*key, F.lower("as_is").alias("word")).join(told(vocabulary.select("word").distinct())[0], "word", "left_anti")
+    return words.where(may_mend(F.col("as_is"))).withColumn("word", F.lower("as_is"))
 
 
 def word_mends(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, split, mended): the unknown words of the texts that come apart, or become a word by one place, in one way only."""
     # Written, since it is read twice and made of all texts.
-    return mends_of(written(unknown_words(docs, vocabulary).distinct(), "unknown"), vocabulary)
+    return mends_of(written(unknown_words(docs, vocabulary).select("word").distinct(), "unknown"), vocabulary)
 
 
 def mends_of(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -117,12 +127,6 @@ def mends_of(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return split.join(mended, "word", "full").select("word", "split", "mended")
 
 
-def _with_map(docs: DataFrame, keys: Column, table: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """``docs`` (target, ...) with a map of the rows of ``table`` whose key is among a document's own ``keys``; null for none."""
-    own = docs.select("target", F.explode(F.array_distinct(keys)).alias(key)).join(table, key)
-    return docs.join(_maps(own, key, value, name), "target", "left")
-
-
 def _maps(own: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """(target, name): a map from the keys of each target to their values."""
     return own.groupBy("target").agg(F.collect_set(F.struct(F.col(key).alias("k"), value.alias("v"))).alias(name)).select("target", F.map_from_entries(name).alias(name))
@@ -136,33 +140,35 @@ def sentence_opens(before: Column, first: Column) -> Column:
 
 def with_mended_words(docs: DataFrame, mends: DataFrame) -> DataFrame:
     """``docs`` (target, text, ...) with words mended by word_mends(). Names inside a sentence and words in capitals stay."""
-    keys = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lower)
-    return _mended(_with_map(docs, keys, mends, "word", F.struct("split", "mended"), "_mends"))
+    return _mended(docs, _may_be_mended(docs, "target").join(mends, "word"))
 
 
 def with_repaired_words(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``docs`` (target, text, ...) with their own word_mends() applied: texts are cut into words once, and only unknown words are kept for both steps."""
     own = written(unknown_words(docs, vocabulary, "target"), "unknown-words")
     mends = written(mends_of(written(own.select("word").distinct(), "unknown"), vocabulary), "mends")
-    return _mended(docs.join(_maps(own.join(told(mends)[0], "word"), "word", F.struct("split", "mended"), "_mends"), "target", "left"))
+    return _mended(docs, own.join(told(mends)[0], "word"))
 
 
-def _mended(marked: DataFrame) -> DataFrame:
-    """Texts with the mends in the map ``_mends``, or null for none."""
+def _mended(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """Texts with the mends of their words, ``own`` (target, as_is, split, mended).
 
-    def mend(word: Column, gap: Column) -> Column:
-        def as_told(to: Column) -> Column:
-            as_title = F.concat(F.upper(F.substring(to["mended"], 1, 1)), F.substring(to["mended"], F.lit(2), F.char_length(to["mended"])))
-            return F.coalesce(F.when(is_small(word), F.coalesce(to["split"], to["mended"])).when(sentence_opens(gap, F.lit(False)), as_title), word)
+    A text is searched for the words that it has mends for, and all between these stays one piece.
+    """
+    as_title = F.concat(F.upper(F.substring("mended", 1, 1)), F.substring("mended", F.lit(2), F.char_length("mended")))
+    # What is not small has a capital: it is mended where a sentence opens, and does not come apart.
+    by = own.withColumn("by", F.when(is_small(F.col("as_is")), F.coalesce("split", "mended")).otherwise(as_title)).where("by IS NOT NULL")
+    marked = docs.join(_maps(by, "as_is", F.col("by"), "_mends"), "target", "left")
+    # Whole words: no letter and no joining apostrophe beside them.
+    asked = F.concat(F.lit(r"(?<!\p{L}{1,2}['’]?)(?:"), F.array_join(F.map_keys("_mends"), "|"), F.lit(r")(?!['’]?\p{L})"))
 
-        # Few words are among the mends, so the rest is asked of these alone.
-        return with_value(F.try_element_at(F.col("_mends"), F.lower(word)), lambda to: F.when(to.isNull(), word).when(may_mend(word), as_told(to)).otherwise(word))
+    def mend(word: Column, gap: Column, first: Column) -> Column:
+        return F.when(is_small(word) | sentence_opens(gap, F.lit(False)), F.try_element_at(F.col("_mends"), word)).otherwise(word)
 
     # A line's end before the text opens its first sentence, as the text's start does.
-    text = F.concat(F.lit("\n"), F.col("text"))
-    mended = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, word: F.when(word.isNull(), gap).otherwise(F.concat(gap, mend(word, gap))))
-    whole = F.array_join(mended, "")
-    return marked.withColumn("text", F.when(F.col("_mends").isNull(), F.col("text")).otherwise(F.substring(whole, 2, 2**31 - 1))).drop("_mends")
+    whole = replaced(F.concat(F.lit("\n"), F.col("text")), F.col("_pattern"), mend)
+    marked = marked.withColumn("_pattern", asked)
+    return marked.withColumn("text", F.when(F.col("_mends").isNull(), F.col("text")).otherwise(F.substring(whole, 2, 2**31 - 1))).drop("_mends", "_pattern")
 
 
 def with_joined_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -173,59 +179,55 @@ def with_joined_lines(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     pair = lambda m: F.struct(F.lower(F.regexp_extract(m, _HYPHEN, 1)).alias("l"), F.regexp_extract(m, _HYPHEN, 2).alias("r"))
     keys = F.transform(F.regexp_extract_all("text", F.lit(_HYPHEN), F.lit(0)), pair)
+    broken = docs.where(F.col("text").rlike(_BROKEN))
     known = vocabulary.select("word").distinct()
-    asked = docs.select(F.explode(F.array_distinct(keys)).alias("pair")).distinct()
+    asked = broken.select(F.explode(F.array_distinct(keys)).alias("pair")).distinct()
     is_word = lambda c, name: known.select(F.col("word").alias(c), F.lit(True).alias(name))
     asked = asked.withColumns({"both": F.concat("pair.l", "pair.r"), "l": F.col("pair.l"), "r": F.col("pair.r")})
     asked = asked.join(is_word("both", "_b"), "both", "left_anti").join(is_word("l", "_l"), "l", "left").join(is_word("r", "_r"), "r", "left")
     keeps = F.col("r").isin(*HYPHEN_KEEPS)
     # Of pairs that do not make a word: those that stay as they are, and those of two words.
     special = asked.where(keeps | (F.col("_l") & F.col("_r"))).select("pair", keeps.alias("hangs"))
-    marked = _with_map(docs, keys, special, "pair", F.col("hangs"), "_pairs")
+    own = broken.select("target", F.explode(F.array_distinct(keys)).alias("pair")).join(special, "pair")
+    marked = docs.join(_maps(own, "pair", F.col("hangs"), "_pairs"), "target", "left")
 
     def mend(m: Column, gap: Column, first: Column) -> Column:
         left, right = F.regexp_extract(m, _HYPHEN, 1), F.regexp_extract(m, _HYPHEN, 2)
         hangs = F.try_element_at(F.col("_pairs"), pair(m))
         return F.when(hangs, m).when(~hangs, F.concat(left, F.lit("-"), right)).otherwise(F.concat(left, right))
 
-    text = F.when(F.col("text").rlike(_HYPHEN), replaced(F.col("text"), _HYPHEN, mend)).otherwise(F.col("text"))
+    text = F.when(F.col("text").rlike(_BROKEN), replaced(F.col("text"), _HYPHEN, mend)).otherwise(F.col("text"))
     return marked.withColumn("text", text).drop("_pairs")
 
 
 # Sentences
 
 
-def sentences(text: Column) -> Column:
-    """The whole sentences of a paragraph on one line, and last what follows the last of them."""
-    ends = r"\p{L}*[.!?][\"”’')\]]*(?= |$)"
-
-    def marked(m: Column, gap: Column, first: Column) -> Column:
-        word = F.lower(F.regexp_extract(m, r"^(\p{L}*)\.", 1))
-        no_end = m.rlike(r"^\p{L}*\.") & ((F.char_length(word) <= 1) | word.isin(*ABBREVIATIONS))
-        return F.when(no_end, m).otherwise(F.concat(m, F.lit("\n")))
-
-    return F.split(replaced(F.translate(text, "\n", " "), ends, marked), "\n", -1)
+# A dot after one letter, none or an abbreviation ends none; İ is two letters when small. Marks are sought first, as letters are many.
+_NO_END = rf"(?<!\p{{L}}{{1,2}})(?i:{'|'.join(ABBREVIATIONS)}|[\p{{L}}&&[^İ]]?)\."
+_END = rf"[.!?](?<!{_NO_END})[\"”’')\]]*"
+# What opens a whole sentence: a capital or a number, but no lone letter before a small one.
+_QUOTES = "\"“‘'(—- "
+_START = r"(?!(?![AIO])\p{Lu} \p{Ll})[\p{Lu}\p{Nd}]"
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.trim(F.element_at(sentences(text), -1)) == ""
+    """Whether nothing follows the last whole sentence of a paragraph."""
+    bare = F.rtrim(F.replace(text, F.lit("\n"), F.lit(" ")))
+    # No sentence ends inside a token, so the last one says it.
+    return (bare == "") | F.substring_index(bare, " ", -1).rlike(_END + r"\z")
 
 
 def starts_sentence(text: Column) -> Column:
-    rest = F.ltrim(text, F.lit("\"“‘'(—- "))
-    return rest.rlike(r"^[\p{Lu}\p{Nd}]") & ~rest.rlike(r"^(?![AIO])\p{Lu} \p{Ll}")
+    return F.ltrim(text, F.lit(_QUOTES)).rlike("^" + _START)
 
 
 def whole_sentences(text: Column) -> Column:
     """A paragraph without the end of a sentence that began elsewhere and the start of one that ends elsewhere."""
-    def cut(every: Column) -> Column:
-        return F.slice(every, F.lit(1), F.size(every) - 1)
-
-    def from_first(whole: Column) -> Column:
-        first = F.array_position(F.transform(whole, lambda s: starts_sentence(F.trim(s))), True).cast("int")
-        return F.when(first > 0, F.trim(F.array_join(F.slice(whole, F.greatest(first, F.lit(1)), F.size(whole)), ""))).otherwise("")
-
-    return with_value(sentences(text), lambda every: with_value(cut(every), from_first))
+    # A line for each sentence, and last what follows the last of them; then from the first line that starts one to the last that ends one.
+    lines = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), _END + "(?= |$)", "$0\n")
+    whole = F.regexp_extract(lines, rf"(?s)(?:\A|\n)([{re.escape(_QUOTES)}]*+{_START}.*)\n", 1)
+    return F.coalesce(F.trim(F.replace(whole, F.lit("\n"), F.lit(""))), F.lit(""))
 
 
 # Noise
@@ -243,47 +245,83 @@ def token_classes(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return classes.unionByName(each.where((F.col("bare") != "") & F.col("bare").rlike(NO_TEXT)).select("token", F.lit(2).alias("class")))
 
 
+def _classed(paragraphs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(target, n, at, class) of the tokens of paragraphs (target, n, text) that are not clean, by their place.
+
+    Most tokens hold one word, and the vocabulary is asked for it where they lie;
+    only those that hold several have their class in a table.
+    """
+    tokens = lambda d: d.select("target", "n", F.posexplode(_tokens(F.col("text"))).alias("at", "token"))
+    several = F.col("token").rlike(_SEVERAL)
+    table = paragraphs.where(F.col("text").rlike(_SEVERAL)).select(F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token")).where(several)
+    # Written, since it is read twice and made of all texts.
+    classes = written(token_classes(written(table.distinct(), "tokens"), vocabulary), "classes")
+    each = tokens(paragraphs).withColumn("run", F.regexp_extract("token", WORD, 0)).withColumn("word", F.lower("run"))
+    known = vocabulary.where(F.col("word").rlike(rf"^{WORD}$")).select("word", F.lit(True).alias("known")).distinct()
+    marked = each.join(told(known)[0], "word", "left")
+    if not classes.isEmpty():
+        marked = marked.join(told(classes)[0], "token", "left")
+    else:
+        marked = marked.withColumn("class", F.lit(None).cast("int"))
+    of_run = F.when(F.col("known"), 0).when(F.col("run").between("A", "Z") & (F.octet_length("run") == 1), 0).when(is_capitalised(F.col("run")), 1).otherwise(2)
+    beside = F.when(F.col("token").rlike(NO_TEXT), 2).when(F.col("token").rlike("[0-9]"), 0).when(F.col("run") == "", F.when(F.btrim("token", F.lit(TOKEN_EDGES)) == "", 0).otherwise(2)).when(several, F.coalesce("class", F.lit(0))).otherwise(of_run)
+    # A class is made once, which a filter on it would do twice.
+    return marked.select("target", "n", "at", F.explode(F.array_remove(F.array(F.when(F.col("run") == F.col("token"), of_run).otherwise(beside)), 0)).alias("class"))
+
+
+# A token with more than one word.
+_SEVERAL = r"\p{L}(?!['’]\p{L})[^\p{L}\s]++\p{L}"
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACES), "")
+
+
 def split_junk(paragraphs: DataFrame, vocabulary: DataFrame, least: int = NOISE_RUN) -> DataFrame:
     """Paragraphs (target, n, text) cut where ``least`` tokens or more in a row are noise: (target, n, part, text).
 
     Noise spreads over the names next to it from both sides, so a run of tokens
     that are not clean is noise as soon as one of them is junk.
     """
-    tokens = F.filter(F.split("text", SPACES), lambda w: w != "")
-    classes = written(token_classes(paragraphs.select(F.explode(F.array_distinct(tokens)).alias("token")), vocabulary), "classes")
     # Only tokens that are not clean go back to their paragraphs, each with its place: no token is sought in a list of them.
-    found = paragraphs.select("target", "n", F.posexplode(tokens).alias("at", "token")).join(told(classes)[0], "token")
-    bad = found.groupBy("target", "n").agg(F.array_sort(F.collect_list(F.struct("at", "class"))).alias("_bad"))
-    classed = paragraphs.select("target", "n", tokens.alias("t")).join(bad, ["target", "n"], "left")
+    bad = _classed(paragraphs, vocabulary).groupBy("target", "n").agg(F.array_sort(F.collect_list(F.col("at") * 4 + F.col("class"))).alias("_bad"))
+    classed = paragraphs.select("target", "n", "text").join(bad, ["target", "n"], "left").select("target", "n", _tokens(F.col("text")).alias("t"), "_bad")
     # A digit for each token, so runs are found by a pattern.
     zeros = lambda n: F.repeat(F.lit("0"), n)
-    upto = lambda x, i: F.concat(zeros(x["at"] - F.coalesce(F.get("_bad", i - 1)["at"], F.lit(-1)) - 1), x["class"].cast("string"))
-    digits = F.when(F.col("_bad").isNull(), zeros(F.size("t"))).otherwise(F.concat(F.array_join(F.transform("_bad", upto), ""), zeros(F.size("t") - 1 - F.element_at("_bad", -1)["at"])))
+    at = lambda x: F.shiftright(x, 2)
+    upto = lambda x, i: F.concat(zeros(at(x) - F.coalesce(at(F.get("_bad", i - 1)), F.lit(-1)) - 1), x.bitwiseAND(F.lit(3)).cast("string"))
+    digits = F.when(F.col("_bad").isNull(), zeros(F.size("t"))).otherwise(F.concat(F.array_join(F.transform("_bad", upto), ""), zeros(F.size("t") - 1 - at(F.element_at("_bad", -1)))))
     noise = rf"(?<![12])(?=[12]{{{least}}})[12]*2[12]*(?![12])"
     size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
-    at = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
     step = lambda s, p: F.struct((s["at"] + size(p["gap"]) + size(p["match"])).alias("at"), F.concat(s["parts"], F.array(F.struct(s["at"].alias("at"), size(p["gap"]).alias("size")))).alias("parts"))
     # Parts are made inside the generator: as a column they would be made again for the filter that Spark puts before it.
-    parts = F.filter(F.aggregate(pieces(F.col("_d"), noise), at, step)["parts"], lambda p: p["size"] > 0)
+    parts = F.filter(F.aggregate(pieces(F.col("_d"), noise), start, step)["parts"], lambda p: p["size"] > 0)
     cut = classed.withColumn("_d", digits).select("target", "n", "t", F.posexplode(parts).alias("part", "_p"))
     return cut.select("target", "n", "part", F.array_join(F.slice("t", F.col("_p.at"), F.col("_p.size")), " ").alias("text"))
 
 
+_OPENS = "\x01"
+
+
 def word_counts(texts: DataFrame, vocabulary: DataFrame, key: list[str]) -> DataFrame:
     """(key, good, bad): words of a text that are words, with possessives and the first part of contractions, and those that are not; names inside a sentence do not count, three marks of no print are a bad word."""
-    apostrophe = F.replace(F.lower("w.word"), F.lit("’"), F.lit("'"))
-    found = F.filter(pieces(F.col("text"), WORD), lambda p: p["match"].isNotNull())
-    opened = F.transform(found, lambda p: F.struct(p["match"].alias("word"), sentence_opens(p["gap"], p["first"]).alias("opens")))
+    # A mark before a word with a capital says that it opens a sentence; the texts' own such marks become others.
+    opened = F.regexp_replace(F.replace("text", F.lit(_OPENS), F.lit("#")), r"(?:\A|[.!?:\n])[ \"“‘'(]*+(?=\p{Lu})", "$0" + _OPENS)
     junk = F.regexp_count("text", F.lit(r"[<>{}=\\@#$%&+*\[\]]"))
-    each = texts.select(*key, junk.alias("junk"), F.explode_outer(opened).alias("w"))
-    spelt = each.withColumn("spelt", apostrophe)
+    # Beside a generator, marks would be counted anew for every word.
+    each = texts.withColumn("junk", junk).select(*key, "junk", F.explode_outer(F.regexp_extract_all(opened, F.lit(f"{_OPENS}?{WORD}"), F.lit(0))).alias("w"))
+    each = each.withColumn("spelt", F.replace(F.replace(F.lower("w"), F.lit("’"), F.lit("'")), F.lit(_OPENS), F.lit("")))
     # A word is good as it stands, or without its possessive, or by what lies before an apostrophe.
-    forms = F.array_distinct(F.array("spelt", F.regexp_replace("spelt", "'s$", ""), F.regexp_replace("spelt", "s'$", ""), F.substring_index("spelt", "'", 1)))
-    counted = spelt.groupBy(*key, "junk", "spelt", (is_capitalised(F.col("w.word")) & ~F.col("w.opens")).alias("name")).agg(F.count("w.word").alias("times"))
-    asked = counted.select("spelt").distinct().select("spelt", F.explode(forms).alias("word"))
-    good = asked.join(vocabulary.select("word"), "word", "left_semi").select("spelt").distinct().withColumn("good", F.lit(True))
-    marked = counted.join(good, "spelt", "left")
-    sums = marked.groupBy(*key).agg(F.sum(F.when(F.col("good"), F.col("times")).otherwise(0)).alias("good"), F.sum(F.when(F.col("good").isNull() & ~F.col("name"), F.col("times")).otherwise(0)).alias("bad"), F.max("junk").alias("junk"))
+    known = vocabulary.select("word").distinct()
+    quoted = texts.where(F.col("text").rlike(r"['’]\p{L}")).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<!\p{{L}}{{1,2}}){WORD[:-1]}+"), F.lit(0)))).alias("w"))
+    quoted = quoted.select(F.replace(F.lower("w"), F.lit("’"), F.lit("'")).alias("spelt")).distinct()
+    forms = F.array(F.regexp_replace("spelt", "'s$", ""), F.regexp_replace("spelt", "s'$", ""), F.substring_index("spelt", "'", 1))
+    parts = quoted.select("spelt", F.explode(forms).alias("word")).join(known, "word", "left_semi").select(F.col("spelt").alias("word"))
+    good = written(known.unionByName(parts).distinct(), "good-words").select(F.col("word").alias("spelt"), F.lit(True).alias("good"))
+    each = each.join(told(good)[0], "spelt", "left").select(*key, "junk", "w", F.coalesce("good", F.lit(False)).alias("good"))
+    count = lambda c: F.count_if(c).alias
+    sums = each.groupBy(*key).agg(count(F.col("w").isNotNull() & F.col("good"))("good"), count(F.col("w").isNotNull() & ~F.col("good") & ~is_capitalised(F.col("w")))("bad"), F.max("junk").alias("junk"))
     return sums.select(*key, "good", (F.col("bad") + F.floor(F.col("junk") / 3)).alias("bad"))
 
 
@@ -323,10 +361,11 @@ def scan_paragraphs(pages: DataFrame, vocabulary: DataFrame, mended_marks: Calla
     lines = with_joined_lines(pages.select(key, F.regexp_replace("text", "\r\n", "\n").alias("text")), vocabulary)
     split = lines.select("target", F.posexplode(F.split("text", r"\n[ \t]*\n+")).alias("n", "text"))
     # Written, since all that follows reads it several times.
-    scraps = split.select(F.struct("target.target", "target.page", "n").alias("target"), mended_marks(F.trim(F.regexp_replace("text", r"[ \t\n]+", " "))).alias("text"))
-    scraps = written(scraps, "scraps")
+    scraps = split.select("target.target", "target.page", "n", mended_marks(F.trim(F.regexp_replace("text", r"[ \t\n]+", " "))).alias("text"))
+    # A number for each, so words carry little; it is written with them and stays.
+    scraps = written(scraps.select(F.struct("target", "page", "n").alias("place"), F.monotonically_increasing_id().alias("target"), "text"), "scraps")
     scraps = once(with_repaired_words(scraps, vocabulary))
-    scraps = scraps.where((F.char_length("text") >= SCRAP) | fragment(F.col("text"))).select("target.target", "target.page", "target.n", "text")
+    scraps = scraps.where((F.char_length("text") >= SCRAP) | fragment(F.col("text"))).select("place.target", "place.page", "place.n", "text")
     order = Window.partitionBy("target").orderBy("page", "n")
     # Whether a paragraph ends is said once for each, before the window.
     ended = scraps.withColumns({"_ends": ends_sentence(F.col("text")), "_on": goes_on(F.col("text"))})
